@@ -34,6 +34,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.superminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.compression_quality import quality_scores
 
