@@ -8,12 +8,11 @@
    ranks are correlated and the variance is lower; it stops as soon as all slots are filled.
 3. Slots are cut into bands; classes that share a band share a bucket. With 32 bands of 4 slots a pair
    of similarity 0.85 is missed with a probability below 1e-10, one of 0.8 below 1e-7.
-4. In each bucket every class is paired with its least and its greatest member only, so pairs grow
+4. In each bucket every class is paired with one member only, another for each bucket, so pairs grow
    linearly. Pairs are confirmed on full sets, and components are found by alternating stars.
 5. Buckets of three or more that still hold several components are worked off exactly, in blocks: a
-   task compares two blocks of a bucket by sizes and signatures (8 bits a slot; a pair is left out only
-   when its estimate lies more than 5 deviations below the limit), confirms on full sets what is not
-   yet connected, from the likeliest down, and returns only the links that join components.
+   task takes two blocks of a bucket, finds all numbers of shared shingles as products of 0-1 matrices,
+   and returns only links that join components, as a union-find tells.
 
 Texts are shuffled once, to give the candidates their sets. Copies never meet in one task: they are
 classes from the first aggregate on, and come back by a join on the class that splits hot ones.
@@ -100,23 +99,22 @@ def signed(k: int, slots: int = SLOTS, bands: int = BANDS):
         import xxhash
 
         for batch in batches:
-            keys, sizes, brief, cells = [], [], [], []
+            keys, sizes, cells = [], [], []
             for text in batch.column(2):
                 elements = shingle_set(text.as_py() or b"", k)
                 sizes.append(len(elements))
                 if len(elements):
                     s = signature(elements, slots)
                     keys.append(xxhash.xxh3_128_digest(elements.tobytes()))
-                    brief.append((mix64(s) & np.uint64(255)).astype(np.uint8).tobytes())
                     cells.append(bands_of(s, bands))
                 else:
-                    keys.append(None), brief.append(None), cells.append(None)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(brief, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "text_key", "set_key", "n", "brief", "bands"])
+                    keys.append(None), cells.append(None)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "text_key", "set_key", "n", "bands"])
 
     return run
 
 
-SIGNED = "doc_id long, text_key binary, set_key binary, n long, brief binary, bands array<long>"
+SIGNED = "doc_id long, text_key binary, set_key binary, n long, bands array<long>"
 
 
 def sets(k: int):
@@ -133,34 +131,46 @@ def alike(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, perc
     return 100 * both >= percent * (a + b - both)
 
 
-def settle(percent: int, slots: int):
+def shared(items: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """The exact number of items that each row of `left` shares with each of `right`, by products of 0-1 matrices some columns at a time."""
+    flat, of = np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
+    _, at, many = np.unique(flat, return_inverse=True, return_counts=True)
+    often = many > 1
+    at, of = (np.cumsum(often) - 1)[at[often[at]]], of[often[at]]
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    found = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, int(often.sum()), columns):
+        lo, hi = np.searchsorted(at, [start, start + columns])
+        x = np.zeros((len(items), columns), np.float32)
+        x[of[lo:hi], at[lo:hi] - start] = 1
+        found += x[left] @ x[right].T
+    return found
+
+
+def settle(percent: int):
     """The exact work on two blocks of a bucket: links (a, b) that join components."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        left, right = (np.flatnonzero((rows["part"] == key[i]).to_numpy()) for i in (1, 2))
-        node, size = rows["node"].to_numpy(), rows["n"].to_numpy()
-        parent = {c: c for c in rows["component"]}
+        part, node, size, component = (rows[c].to_numpy() for c in ("part", "node", "n", "component"))
+        left, right = (np.flatnonzero(part == key[i]) for i in (1, 2))
+        linked = alike(shared(list(rows["items"]), left, right), size[left][:, None], size[right][None, :], percent)
+        linked &= component[left][:, None] != component[right][None, :]
+        parent = {c: c for c in component}
 
         def find(c: int) -> int:
             while parent[c] != c:
                 parent[c] = c = parent[parent[c]]
             return c
 
-        least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / slots)
-        brief = np.frombuffer(b"".join(rows["brief"]), np.uint8).reshape(len(rows), -1)
-        pairs = []
-        for i in left:
-            js = right[right > i] if key[1] == key[2] else right
-            js = js[(100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])) & (rows["component"].to_numpy()[js] != rows["component"][i])]
-            same = (brief[js] == brief[i]).mean(1)
-            pairs += [(-s, i, j) for s, j in zip(same[same >= least], js[same >= least])]
         links = []
-        for _, i, j in sorted(pairs):
-            a, b = find(rows["component"][i]), find(rows["component"][j])
-            if a != b and alike(len(np.intersect1d(rows["items"][i], rows["items"][j], assume_unique=True)), size[i], size[j], percent):
-                parent[max(a, b)] = min(a, b)
-                links.append((node[i], node[j]))
+        for i in np.flatnonzero(linked.any(1)):
+            js = right[linked[i]]
+            for j in js[np.unique(component[js], return_index=True)[1]]:
+                a, b = find(component[left[i]]), find(component[j])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((node[left[i]], node[j]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
@@ -177,18 +187,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
     rows = scratch.write(keyed.mapInArrow(signed(k, slots, bands), SIGNED), "signed")
     # the row that stands for a class: its least id (null last), then its least text
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "text_key"))
-    classes = rows.where("set_key is not null").groupBy("set_key").agg(first.alias("first"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("brief").alias("brief"), F.first("bands").alias("bands"))
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(first.alias("first"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    cells = classes.select(F.explode("bands").alias("cell"), F.struct("node", "n").alias("x"))
-    ends = cells.groupBy("cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("many")).where("many > 1")
-    ends = scratch.write(ends, "cells")
-    near = cells.join(ends, "cell").withColumn("end", F.explode(F.array_distinct(F.array("lo", "hi")))).where("x.node <> end.node")
-    near = near.where(100 * F.least("x.n", "end.n") >= percent * F.greatest("x.n", "end.n"))
-    pairs = scratch.write(near.select(F.greatest("x.node", "end.node").alias("a"), F.least("x.node", "end.node").alias("b")).distinct(), "pairs")
+    cells = classes.select(F.explode("bands").alias("cell"), "node", "n")
+    hub = F.min(F.struct(F.xxhash64("cell", "node").alias("turn"), "node", "n")).alias("hub")
+    ends = scratch.write(cells.groupBy("cell").agg(hub, F.count("*").alias("many")).where("many > 1"), "cells")
+    near = cells.join(ends, "cell").where("node <> hub.node").where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    pairs = scratch.write(near.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct(), "pairs")
 
     # buckets of three or more may need the exact work below, so their members get sets as well
-    members = cells.join(ends.where("many > 2"), "cell", "left_semi").select("x.node")
+    members = cells.join(ends.where("many > 2"), "cell", "left_semi").select("node")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members).distinct()
     source = classes.join(wanted, "node").select("node", F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key"))
     texts = keyed.withColumn("_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumnRenamed("text_key", "_key")
@@ -199,13 +208,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
     sure = scratch.write(sure, "links")
     found = scratch.write(components(sure, scratch, "graph"), "found")
 
-    left = with_component(cells.join(ends.where("many > 2").select("cell", "many"), "cell").select("cell", "many", F.col("x.node").alias("node")), found)
+    left = with_component(cells.join(ends.where("many > 2").select("cell", "many"), "cell").select("cell", "many", "node"), found)
     mixed = left.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("many"))
     mixed = mixed.where("c0 <> c1").groupBy("who", "many").agg(F.min("cell").alias("cell"))  # buckets with the same members once
     left = left.join(mixed.select("cell"), "cell", "left_semi").withColumn("parts", F.ceil(F.col("many") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-    left = left.join(classes.select("node", "n", "brief"), "node").join(items, "node")
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component", "n", "brief", "items")
-    more = left.groupBy("cell", "p", "q").applyInPandas(settle(percent, slots), "a long, b long")
+    left = left.join(classes.select("node", "n"), "node").join(items, "node")
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component", "n", "items")
+    more = left.groupBy("cell", "p", "q").applyInPandas(settle(percent), "a long, b long")
     more = scratch.write(more.distinct(), "more")
     if not more.isEmpty():
         found = scratch.write(components(sure.unionByName(more), scratch, "again"), "found-again")
