@@ -34,6 +34,18 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.substring_index import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.superminhash import near_duplicates
 
