@@ -15,6 +15,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ivf_pq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.ann import nearest_of_every_50th
+
+    return nearest_of_every_50th(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.quality_rules import quality_rules
 
