@@ -13,7 +13,7 @@ of the whole row's key (doc_id, source, text), so repeated rows go together.
 
 Nulls: a null text has size 0, a null source is a source of its own, a null doc_id is kept. Documents
 of size 0 are taken or not without effect. Empty tables give empty results. Other columns pass through
-`mix` untouched unless they clash with its own columns, which begin with `mix_`.
+`mix` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def keyed(docs: DataFrame, seed: str) -> DataFrame:
 def plan(docs: DataFrame, weights: tuple, budget: float, repeats: float, seed: str) -> tuple[DataFrame, DataFrame]:
     """The narrow rows (doc_id and what keyed() adds), and the sources with what they take."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.write(keyed(docs, seed).select("doc_id", "mix_source", "mix_hash", "mix_size"), "rows")
+    rows = scratch.write(keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "mix_source", "mix_hash", "mix_size"), "rows")
     sources = scratch.write(rows.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_source_size")), "sources")
     targets = scratch.write(with_targets(scratch.write(ranked(sources, scratch), "ranked"), weights, budget, repeats), "targets")
     return rows, thresholds(rows, targets, scratch).withColumnRenamed("mix_source", "_of")
@@ -121,8 +121,9 @@ def taken(rows: DataFrame, found: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: float = MAX_REPEATS, seed: str = "mix") -> DataFrame:
     """The mix: the rows of docs, each as often as it is taken."""
     _, found = plan(docs, weights, budget, repeats, seed)
-    rows = taken(keyed(docs, seed), found)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(docs.columns)
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("mix_row")
+    rows = taken(keyed(docs.select("doc_id", "source", "text", row), seed), found)
+    return rows.select("mix_row", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*(F.col("mix_row")[c].alias(c) for c in docs.columns))
 
 
 def mix_report(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: float = MAX_REPEATS, seed: str = "mix") -> DataFrame:

@@ -123,5 +123,6 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     index = FingerprintIndex(Scratch(docs.sparkSession, "substring-index"))
     for batch in batches_of(docs, batches):
         index.add(batch)
-    rows = with_spans(docs, index.spans(docs)).select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).cast("binary").alias("text"), "starts", "ends")
+    spans = index.spans(docs)
+    rows = with_spans(docs, spans).select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).cast("binary").alias("text"), spans["starts"], spans["ends"])
     return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")

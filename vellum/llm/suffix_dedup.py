@@ -117,7 +117,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs."""
     spans = repeated_spans(docs, Scratch(docs.sparkSession, "suffix-dedup"))
-    rows = with_spans(docs, spans).select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).cast("binary").alias("text"), "starts", "ends")
+    rows = with_spans(docs, spans).select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).cast("binary").alias("text"), spans["starts"], spans["ends"])
     return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -125,7 +125,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows of docs, their texts without what repeats; n_chars follows the text."""
     spans = repeated_spans(docs, Scratch(docs.sparkSession, "suffix-dedup"))
     rest = [c for c in docs.columns if c != "text"]
-    rows = with_spans(docs, spans).select(docs["text"].cast("string").alias("text"), "starts", "ends", F.struct(*(docs[c] for c in rest)).alias("rest"))
+    rows = with_spans(docs, spans).select(docs["text"].cast("string").alias("text"), spans["starts"], spans["ends"], F.struct(*(docs[c] for c in rest)).alias("rest"))
     kind = rows.schema["rest"].dataType
     done = rows.mapInArrow(kept_text, f"text string, rest {kind.simpleString()}")
     columns = {c: F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("rest")[c] for c in docs.columns}

@@ -232,4 +232,4 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     gone = Scratch(docs.sparkSession, "keep-one").write(gone, "gone")
     key = F.unhex(F.md5(text_or_empty(docs)))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (key == gone["_key"]), "left_anti")
