@@ -5,8 +5,10 @@ least hash among the trigger strings of a window is the window's trigger (the le
 it depends on nothing but the window, every window has one, and two equal windows have it at the same
 place. The windows that share a trigger are consecutive; with what they cover they are one phrase of
 the parse. A phrase's dictionary entry is told by `trigger_hash` and by `phrase_hash` over its whole
-content, 128 bits together. Equal phrases settle all their windows at once, however often they repeat,
-and only phrases with a common trigger and different content need their windows looked at one by one.
+content, 128 bits together. Equal phrases settle all their windows at once, however often they repeat.
+Phrases with a common trigger and different content are cut into stretches of windows at like distances
+from the trigger: all windows of a stretch hold its core, which is nearly a window long, and only where
+a core repeats are windows looked at one by one, by 96-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from vellum.llm.common import Scratch
 from vellum.llm.superminhash import mix64
 
 SEGMENT = 1 << 20
+KEY = ["id", "text_hash"]
 #: Odd multipliers of the two polynomial hashes.
 C1, C2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
@@ -33,11 +39,12 @@ def powers(base: int, room: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Units:
-    """How texts become units. `window` and `trigger` are in units; `hashes` gives a hash for each unit (or short run of `reach` units) of a text."""
+    """How texts become units. `window`, `trigger` and `stretch` are in units; `hashes` gives a hash for each unit (or short run of `reach` units) of a text."""
 
     kind: str  # bytes or words
     window: int
     trigger: int
+    stretch: int
 
     @property
     def reach(self) -> int:
@@ -89,7 +96,7 @@ def segments(n: int, window: int):
 
 
 def parse(units: Units, text: bytes) -> list[np.ndarray]:
-    """start and number of windows, trigger hash and phrase hash of each phrase."""
+    """start, number of windows, distance of the trigger from the start, trigger hash and phrase hash of each phrase."""
     cut, window = units.split(text), units.window
     out = []
     for first, many in segments(len(cut), window):
@@ -103,25 +110,36 @@ def parse(units: Units, text: bytes) -> list[np.ndarray]:
         at = at[start]
         content = spans(sums(u, C1), C1, start, end - 1 + window - units.reach + 1)
         content = mix64(content + mix64(((at - start).astype(np.uint64) << np.uint64(32)) + (end - start).astype(np.uint64)))
-        out.append(np.array([start + first, end - start, t[at].view(np.int64), content.view(np.int64)]))
-    return list(np.concatenate(out, axis=1)) if out else [np.empty(0, np.int64)] * 4
+        out.append(np.array([start + first, end - start, at - start, t[at].view(np.int64), content.view(np.int64)]))
+    return list(np.concatenate(out, axis=1)) if out else [np.empty(0, np.int64)] * 5
 
 
-def windows(units: Units, text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of the windows that begin at `starts`, as two columns."""
-    cut, window = units.split(text), units.window
-    found = np.empty((2, len(starts)), np.int64)
-    for first, many in segments(len(cut), window):
+def hashes_of(units: Units, text: bytes, starts: np.ndarray, length: int, bases: tuple) -> list[np.ndarray]:
+    """Hashes of the strings of `length` units that begin at `starts`, a column for each base."""
+    cut = units.split(text)
+    found = [np.empty(len(starts), np.int64) for _ in bases]
+    for first, many in segments(len(cut), length):
         here = (starts >= first) & (starts < first + many)
         if here.any():
-            u, s = units.hashes(cut[first : first + many + window - 1]), starts[here] - first
-            for k, base in enumerate((C1, C2)):
-                found[k, here] = spans(sums(u, base), base, s, s + window - units.reach + 1).view(np.int64)
-    return found[0], found[1]
+            u, s = units.hashes(cut[first : first + many + length - 1]), starts[here] - first
+            for column, base in zip(found, bases):
+                column[here] = spans(sums(u, base), base, s, s + length - units.reach + 1).view(np.int64)
+    return found
+
+
+def stretches(units: Units, start: np.ndarray, many: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of phrases: which one, first window, number of windows and begin of the core of each stretch."""
+    of = np.repeat(np.arange(len(start)), many)
+    window = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+    step = (start + at)[of] - window
+    step //= units.stretch
+    edge = np.flatnonzero(np.r_[True, (np.diff(of) != 0) | (np.diff(step) != 0)]) if len(of) else np.empty(0, np.int64)
+    return of[edge], window[edge], np.diff(np.append(edge, len(of))), (start + at)[of[edge]] - step[edge] * units.stretch
 
 
-PHRASES = "id long, text_hash long, start int, windows int, trigger_hash long, phrase_hash long"
-WINDOWS = "id long, text_hash long, start int, weight long, w1 long, w2 long"
+PHRASES = "id long, text_hash long, start int, windows int, at int, trigger_hash long, phrase_hash long"
+CORES = "id long, text_hash long, start int, windows int, weight long, core long"
+WINDOWS = "id long, text_hash long, start int, weight long, w1 long, w2 int"
 
 
 def phrases(units: Units):
@@ -131,27 +149,54 @@ def phrases(units: Units):
         for batch in batches:
             parsed = [parse(units, t.as_py()) for t in batch.column(2)]
             of = pa.array(np.repeat(np.arange(len(parsed)), [len(p[0]) for p in parsed]))
-            start, many, trigger, content = (np.concatenate([p[k] for p in parsed] or [np.empty(0, np.int64)]) for k in range(4))
-            yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(trigger), pa.array(content)], ["id", "text_hash", "start", "windows", "trigger_hash", "phrase_hash"])
+            start, many, at, trigger, content = (np.concatenate([p[k] for p in parsed] or [np.empty(0, np.int64)]) for k in range(5))
+            yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(trigger), pa.array(content)], ["id", "text_hash", "start", "windows", "at", "trigger_hash", "phrase_hash"])
+
+    return run
+
+
+def cores_of(units: Units):
+    """(id, text_hash, text, starts, windows, weights, ats) -> CORES: each stretch of the given phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                start, many, weight, at = (np.array(batch.column(k)[i].as_py(), np.int64) for k in (3, 4, 5, 6))
+                of, window, number, core = stretches(units, start, many, at)
+                (found,) = hashes_of(units, batch.column(2)[i].as_py(), core, units.window - units.stretch + 1, (C1,))
+                row = pa.array(np.full(len(of), i))
+                yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(window.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(weight[of]), pa.array(found)], ["id", "text_hash", "start", "windows", "weight", "core"])
 
     return run
 
 
 def windows_of(units: Units):
-    """(id, text_hash, text, starts, windows, weights) -> WINDOWS: each window of the given phrases."""
+    """(id, text_hash, text, starts, windows, weights) -> WINDOWS: each window of the given stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 start, many, weight = (np.array(batch.column(k)[i].as_py(), np.int64) for k in (3, 4, 5))
                 s = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                w1, w2 = windows(units, batch.column(2)[i].as_py(), s)
+                w1, w2 = hashes_of(units, batch.column(2)[i].as_py(), s, units.window, (C1, C2))
                 of = pa.array(np.full(len(s), i))
-                yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(s.astype(np.int32)), pa.array(np.repeat(weight, many)), pa.array(w1), pa.array(w2)], ["id", "text_hash", "start", "weight", "w1", "w2"])
+                yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array(s.astype(np.int32)), pa.array(np.repeat(weight, many)), pa.array(w1), pa.array((w2 >> 32).astype(np.int32))], ["id", "text_hash", "start", "weight", "w1", "w2"])
 
     return run
 
 
+def open_windows(texts: DataFrame, open_: DataFrame, units: Units, scratch: Scratch) -> DataFrame:
+    """WINDOWS of all stretches whose cores repeat. texts: id, text_hash, text; open_: KEY, start, windows, at, weight of phrases."""
+    open_ = open_.groupBy(*KEY).agg(*(F.collect_list(c).alias(c) for c in ("start", "windows", "weight", "at")))
+    cores = texts.join(scratch.write(open_, "open"), KEY).select(*KEY, "text", "start", "windows", "weight", "at").mapInArrow(cores_of(units), CORES)
+    cores = scratch.write(cores, "cores")
+    again = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    live = cores.join(again, "core", "left_semi").groupBy(*KEY).agg(*(F.collect_list(c).alias(c) for c in ("start", "windows", "weight")))
+    live = scratch.write(live, "live")
+    scratch.drop("open", "cores")
+    return texts.join(live, KEY).select(*KEY, "text", "start", "windows", "weight").mapInArrow(windows_of(units), WINDOWS)
+
+
 def covered(n: int, starts: list[int], ends: list[int]) -> np.ndarray:
     """For each of n units whether some [start, end) holds it."""
     edge = np.zeros(n + 1, np.int64)

@@ -5,8 +5,8 @@ documents (windows that share a trigger, see repeats.py) that no earlier run has
 their first occurrence. A new batch is parsed, its phrases are merge-joined with the runs, and what is
 new becomes the next run; when there are more than `MAX_RUNS`, they are compacted into one. Phrases
 settle most of a batch: an occurrence after the first loses all its windows. Where a trigger has
-several phrases, the windows of their first occurrences are compared one by one, by 128-bit hashes
-taken from the texts themselves, which is the verification.
+several phrases, the windows of their first occurrences are compared one by one, by hashes taken
+from the texts themselves, which is the verification.
 
 Batches are ranges of doc_id, so an earlier run never holds a later document. (A null doc_id counts as
 the greatest.) Order is by doc_id and place: rows that repeat a doc_id do not precede each other.
@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, text_or_empty
-from vellum.llm.repeats import PHRASES, WINDOWS, Units, covered, phrases, windows_of
-from vellum.llm.suffix_dedup import KEY, NO_ID, gathered, keyed, with_spans
+from vellum.llm.repeats import KEY, PHRASES, Units, covered, open_windows, phrases
+from vellum.llm.suffix_dedup import gathered, keyed, with_spans
 
-WORDS = Units("words", 20, 4)
+WORDS = Units("words", 20, 4, 4)
 BATCHES, MAX_RUNS = 2, 4
 ENTRY = ["trigger_hash", "phrase_hash"]
 
@@ -58,7 +58,7 @@ class FingerprintIndex:
         """Merge-joins a batch of documents with the runs and appends what is new."""
         name = f"batch-{self.written}"
         parsed = self.scratch.write(keyed(docs).mapInArrow(phrases(self.units), PHRASES), name)
-        own = parsed.groupBy(*ENTRY).agg(F.min(F.struct("id", "start", "text_hash", "windows")).alias("own"), F.count("*").alias("n"))
+        own = parsed.groupBy(*ENTRY).agg(F.min(F.struct("id", "start", "text_hash", "windows", "at")).alias("own"), F.count("*").alias("n"))
         if (old := self.history()) is None:
             firsts = own.select(*ENTRY, F.col("own").alias("first"), F.lit(True).alias("new"), "n")
         else:
@@ -82,13 +82,11 @@ class FingerprintIndex:
         index = self.compact()
         several = index.groupBy("trigger_hash").agg(F.count("*").alias("entries")).where("entries > 1").select("trigger_hash")
         open_ = index.join(several, "trigger_hash", "left_semi").select("first.*")
-        open_ = self.scratch.write(open_.groupBy(*KEY).agg(F.collect_list("start").alias("s"), F.collect_list("windows").alias("m")), "open")
-        texts = keyed(docs).join(open_, KEY).select(*KEY, "text", "s", "m", F.transform("s", lambda s: F.lit(1).cast("long")).alias("w"))
-        found = self.scratch.write(texts.mapInArrow(windows_of(self.units), WINDOWS), "windows")
+        found = self.scratch.write(open_windows(keyed(docs), open_.withColumn("weight", F.lit(1).cast("long")), self.units, self.scratch), "windows")
         firsts = found.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
         later = found.join(firsts, ["w1", "w2"]).where(after(F.col("first"))).select(*KEY, "start", (F.col("start") + self.units.window).alias("end"))
         later = self.scratch.write(later, "later")
-        self.scratch.drop("windows", "open")
+        self.scratch.drop("windows", "live")
         for part in self.settled:
             later = later.unionByName(part)
         return self.scratch.write(gathered(later.distinct()), "spans")

@@ -3,14 +3,14 @@
 The method named builds phrases between rolling-hash triggers and sorts all suffixes through the suffix
 arrays of the dictionary and of the parse. Only the order to a depth of 200 bytes counts here, and only
 whether neighbours are equal to that depth, so no suffix is sorted: suffixes are grouped by dictionary
-entry (trigger and content of a phrase), then, where a trigger has several entries, by the 128-bit hash
-of their first 200 bytes. One deviation besides: a trigger is the least rolling hash of a 200-byte
+entry (trigger and content of a phrase), then, where a trigger has several entries, by the hash of
+their first 200 bytes. One deviation besides: a trigger is the least rolling hash of a 200-byte
 window, not a fixed remainder, so that phrases are bounded and no string is without a trigger.
 
 1. Each scan task parses its texts and writes narrow rows, a phrase of each (a row for some 80 bytes).
 2. Entries are counted, with partial sums. All windows of an entry that occurs twice are repeated.
 3. Of triggers with several entries, the first occurrence of each entry gives its windows (an entry
-   that occurs more often weighs 2); windows that weigh 2 or more are repeated.
+   that occurs more often weighs 2), where their cores repeat; windows that weigh 2 or more are repeated.
 4. Repeated phrases and windows go back to their texts, which are cut.
 
 Nulls: a null text is empty, a null doc_id is kept. Repeated rows are documents of their own: they
@@ -29,10 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, text_or_empty
-from vellum.llm.repeats import PHRASES, WINDOWS, Units, covered, phrases, windows_of
+from vellum.llm.repeats import KEY, PHRASES, Units, covered, open_windows, phrases
 
-BYTES = Units("bytes", 200, 48)
-KEY = ["id", "text_hash"]
+BYTES = Units("bytes", 200, 48, 32)
 NO_ID = (1 << 63) - 1
 
 
@@ -51,7 +50,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, units: Units = BYTES) -> D
     texts = keyed(docs)
     parsed = scratch.write(texts.mapInArrow(phrases(units), PHRASES), "phrases")
     entry = ["trigger_hash", "phrase_hash"]
-    dictionary = parsed.groupBy(*entry).agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "text_hash", "windows")).alias("first"))
+    dictionary = parsed.groupBy(*entry).agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "text_hash", "windows", "at")).alias("first"))
     dictionary = scratch.write(dictionary, "dictionary")
     often = dictionary.where("n > 1").select(*entry)
     whole = scratch.write(parsed.join(often, entry, "left_semi").select(*KEY, "start", (F.col("start") + F.col("windows") + (units.window - 1)).alias("end")), "whole")
@@ -59,11 +58,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, units: Units = BYTES) -> D
 
     several = dictionary.groupBy("trigger_hash").agg(F.count("*").alias("entries")).where("entries > 1").select("trigger_hash")
     open_ = dictionary.join(several, "trigger_hash", "left_semi").select("first.*", F.least("n", F.lit(2)).alias("weight"))
-    open_ = scratch.write(open_.groupBy(*KEY).agg(F.collect_list("start").alias("s"), F.collect_list("windows").alias("m"), F.collect_list("weight").alias("w")), "open")
+    found = open_windows(texts, open_, units, scratch)
     # rows that repeat an id and text are one text here
-    found = texts.join(open_, KEY).select(*KEY, "text", "s", "m", "w").mapInArrow(windows_of(units), WINDOWS)
     found = scratch.write(found.dropDuplicates([*KEY, "start"]) if repeats_rows(docs) else found, "windows")
-    scratch.drop("open", "dictionary")
+    scratch.drop("live", "dictionary")
     twice = found.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
     single = scratch.write(found.where("weight = 1").join(twice, ["w1", "w2"], "left_semi").select(*KEY, "start", (F.col("start") + units.window).alias("end")), "single")
     spans = scratch.write(gathered(whole.unionByName(single)), "spans")
