@@ -42,11 +42,13 @@ class FingerprintIndex:
         self.scratch, self.units, self.max_runs = scratch, units, max_runs
         self.runs: list[DataFrame] = []
         self.settled: list[DataFrame] = []
+        self.names: list[str] = []
         self.written = 0
 
     def _run(self, rows: DataFrame, name: str) -> DataFrame:
         self.written += 1
-        return self.scratch.write(rows.select(*ENTRY, "first").sortWithinPartitions(*ENTRY), f"{name}-{self.written}")
+        self.names.append(f"{name}-{self.written}")
+        return self.scratch.write(rows.select(*ENTRY, "first").sortWithinPartitions(*ENTRY), self.names[-1])
 
     def history(self) -> DataFrame | None:
         found = None
@@ -74,7 +76,9 @@ class FingerprintIndex:
     def compact(self) -> DataFrame:
         """One sorted run of all; runs hold no phrase twice."""
         if len(self.runs) != 1:
+            old, self.names = self.names, []
             self.runs = [self._run(self.history().repartition(*ENTRY), "compacted")]
+            self.scratch.drop(*old)
         return self.runs[0]
 
     def spans(self, docs: DataFrame) -> DataFrame:

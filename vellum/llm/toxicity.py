@@ -74,23 +74,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Model:
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model({}, 40.0 if prior >= 1 and positive else -40.0)
-    sets = [[features(t) for t in x] for x in (positive, unlabelled)]
-    seen = [Counter(f for s in x for f in s) for x in sets]
-    n = [len(x) for x in sets]
+    # only counts are held, and of the unlabelled only those of the positives' features
+    often = Counter(f for t in positive for f in features(t))
+    often = {f: c for f, c in often.items() if c >= LEAST_ROWS}
+    seen = [often, Counter(f for t in unlabelled for f in features(t) if f in often)]
+    n = [len(positive), len(unlabelled)]
 
     def lift(f: str) -> float:
         p, u = (c[f] / k for c, k in zip(seen, n))
         return (p - u) / np.sqrt(p / n[0] + u / n[1] + 1e-9)
 
-    lifts = {f: x for f in seen[0] if seen[0][f] >= LEAST_ROWS and abs(x := lift(f)) >= LEAST_LIFT}
+    lifts = {f: x for f in often if abs(x := lift(f)) >= LEAST_LIFT}
     order = sorted(lifts, key=lambda f: (-lifts[f], f))
     chosen = list(dict.fromkeys([f for f in order[:MORE_USUAL] if lifts[f] > 0] + [f for f in order[-LESS_USUAL:] if lifts[f] < 0]))
     place = {f: i for i, f in enumerate(chosen)}
     xs = []
-    for rows in sets:
+    for rows in (positive, unlabelled):
         x = np.zeros((len(rows), len(chosen)), np.float32)
-        for i, s in enumerate(rows):
-            x[i, [place[f] for f in s & place.keys()]] = 1
+        for i, t in enumerate(rows):
+            x[i, [place[f] for f in features(t) if f in place]] = 1
         xs.append(x)
     xp, xu = xs
     w, b = np.zeros(len(chosen), np.float32), float(np.log(prior / (1 - prior)))
