@@ -446,3 +446,57 @@ def definition_injection(spark, sf_dir):
     picked = glossary.longest_matches(items, "item_id", "text", terms)
     texts = fused(spark, sf_dir, 3).join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return glossary.result_terms(texts, "item_id", "text", terms, picked)
+
+
+# ---- sequential folds
+
+
+@query()
+def numbering_expand(spark, sf_dir):
+    from vellum.operators.numbering import numbering_expand
+
+    rows = load(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("pos"), F.lit("l").alias("list_id"), F.expr("cast(turn % 3 as int)").alias("level"), F.expr("if(turn % 3 = 1, 'lowerLetter', 'decimal')").alias("format"), F.expr("case turn % 3 when 0 then '%1.' when 1 then '%1.%2' else '%1.%2.%3' end").alias("template"), F.lit(None).cast("double").alias("start"))
+    return numbering_expand(rows, "conv_id").select("conv_id", "pos", "label")
+
+
+@query("with c as (select conv_id, turn::int as pos, turn % 4 as n from conversations), s as (select *, 1 + count(case when n <= p then 1 end) over (partition by conv_id order by pos rows unbounded preceding) as scope from (select *, lag(n) over (partition by conv_id order by pos) as p from c)) select conv_id, pos, 'IE사례' || scope || '-' || n as synthetic_id from s")
+def synthetic_number_scope(spark, sf_dir):
+    from vellum.operators.numbering import synthetic_number_scope
+
+    rows = load(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("pos"), F.lit("IE").alias("zone"), F.expr("string(turn % 4)").alias("number"))
+    return synthetic_number_scope(rows, "conv_id").select("conv_id", "pos", "synthetic_id")
+
+
+# ---- sources and set operations
+
+
+@query("select doc_id, lang as title, length(text)::bigint as n from documents")
+def front_matter_scan(spark, sf_dir):
+    from vellum.sources.markdown import front_matter
+
+    d = load(spark, sf_dir, "documents").select("doc_id", front_matter(F.concat(F.lit('---\nsource_type: x\ntitle: "'), F.col("lang"), F.lit('"\n---\n'), F.col("text"))).alias("f"))
+    return d.select("doc_id", F.col("f.meta")["title"].alias("title"), F.length("f.body").cast("long").alias("n"))
+
+
+@query("select conv_id, turn, role as kind, 'true' as flag from conversations")
+def annotation_scan(spark, sf_dir):
+    from vellum.sources.markdown import annotations
+
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", annotations(F.concat(F.lit("<!-- kind: "), F.col("role"), F.lit(" | open -->"))).alias("m"))
+    return c.select("conv_id", "turn", F.col("m")["kind"].alias("kind"), F.col("m")["open"].alias("flag"))
+
+
+@query("select doc_id from documents where source in ('src1', 'src2') union select doc_id from labels where toxic = 1")
+def set_union(spark, sf_dir):
+    return load(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2")).select("doc_id").union(load(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")).distinct()
+
+
+@query("select source, lang, count(*) as n, count(case when n_chars > 1000 then 1 end) as n_long, min(n_chars) as lo, max(n_chars) as hi from documents group by all")
+def group_counts(spark, sf_dir):
+    return load(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 1000).alias("n_long"), F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+
+
+@query("select d.doc_id, d.lang, l.quality from documents d left join labels l using (doc_id) where l.quality is distinct from 1")
+def roundtrip_mismatches(spark, sf_dir):
+    joined = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return joined.where(~F.col("quality").eqNullSafe(F.lit(1))).select("doc_id", "lang", "quality")
