@@ -173,8 +173,8 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_substring_index(docs, rows, empty, batches):
+@pytest.mark.parametrize("batches, max_runs", [(1, 4), (3, 1)])
+def test_substring_index(docs, rows, empty, batches, max_runs):
     from vellum.llm.substring_index import substring_dedup
 
     first = {}
@@ -190,8 +190,8 @@ def test_substring_index(docs, rows, empty, batches):
             if (i, p) > first[tuple(w[p : p + 20])]:
                 gone[p : p + 20] = [True] * 20
         want[(r[0], len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())] += 1
-    assert bag(substring_dedup(docs, batches)) == want
-    assert substring_dedup(empty, batches).count() == 0
+    assert bag(substring_dedup(docs, batches, max_runs)) == want
+    assert substring_dedup(empty, batches, max_runs).count() == 0
 
 
 def brute_components(rows, k, percent):

@@ -73,17 +73,15 @@ class FingerprintIndex:
         if len(self.runs) > self.max_runs:
             self.compact()
 
-    def compact(self) -> DataFrame:
+    def compact(self) -> None:
         """One sorted run of all; runs hold no phrase twice."""
-        if len(self.runs) != 1:
-            old, self.names = self.names, []
-            self.runs = [self._run(self.history().repartition(*ENTRY), "compacted")]
-            self.scratch.drop(*old)
-        return self.runs[0]
+        old, self.names = self.names, []
+        self.runs = [self._run(self.history().repartition(*ENTRY), "compacted")]
+        self.scratch.drop(*old)
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """id, text_hash, starts, ends over all batches added; docs has their texts."""
-        index = self.compact()
+        index = self.history()
         several = index.groupBy("trigger_hash").agg(F.count("*").alias("entries")).where("entries > 1").select("trigger_hash")
         open_ = index.join(several, "trigger_hash", "left_semi").select("first.*")
         found = self.scratch.write(open_windows(keyed(docs), open_.withColumn("weight", F.lit(1).cast("long")), self.units, self.scratch), "windows")
@@ -120,9 +118,9 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: a row for each row of docs."""
-    index = FingerprintIndex(Scratch(docs.sparkSession, "substring-index"))
+    index = FingerprintIndex(Scratch(docs.sparkSession, "substring-index"), max_runs=max_runs)
     for batch in batches_of(docs, batches):
         index.add(batch)
     spans = index.spans(docs)
