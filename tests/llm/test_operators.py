@@ -360,6 +360,23 @@ def test_neighbours(spark):
     assert nearest_of_every_50th(few.limit(0)).count() == 0
 
 
+def test_neighbours_among_many_close_ones(spark, monkeypatch):
+    """With codes as coarse for 1,500 close vectors as 256 words are for a hot cluster of a large table."""
+    from vellum.llm import ann
+
+    monkeypatch.setattr(ann, "WORDS", 4)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    x[:1500] = x[0] + 1e-4 * rng.normal(size=(1500, 16))
+    found = ann.nearest_of_every_50th(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    y, right = x / np.sqrt((x * x).sum(1, keepdims=True)), 0
+    for q in range(0, 1500, 50):
+        s = ((y - y[q]) ** 2).sum(1)
+        s[q] = 9
+        right += len(set(np.argsort(s)[:5].tolist()) & {r.vec_id for r in found if r.query_id == q})
+    assert right == 30 * 5, right
+
+
 def test_components(spark):
     from vellum.llm.common import Scratch
     from vellum.llm.components import components

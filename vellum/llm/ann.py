@@ -3,15 +3,18 @@
 Rows with one and the same vector are a class: the index holds classes, with their first few ids, so a
 vector that a third of all rows share costs one entry. Centroids and codebooks are trained by k-means
 on a bounded sample of unit vectors (at most `SAMPLE`) on the driver; every class is assigned to its
-nearest centroid and its residual coded by one byte for each of `PARTS` parts.
+nearest centroid and its residual coded by one byte for each of `PARTS` parts. Beside the code stands its
+error, the distance of what the code says from the residual.
 
 A query class probes its `probes` nearest lists (7 in 10 of them unless told otherwise: vectors that
 fill all directions alike, as those of the tests, need so many for a recall of 0.9 and more). Short lists
 share a block, those longer than `BLOCK` are dealt over several. A task takes a block of codes and the
 queries that probe it, builds each query's asymmetric
-distance table (distances of its own residual to all codewords), and returns the block's best `keep`
-by table look-ups; the best `keep` of all blocks are reranked exactly: cosine in double precision on
-the original vectors, ties to the smaller id.
+distance table (distances of its own residual to all codewords) and, by table look-ups, the coded
+distance of every class in the probed lists. A class is at least its coded distance less its error away;
+where that does not exclude it from the block's best, it is reranked exactly, however many they are:
+cosine in double precision on the original vectors, ties to the smaller id. So the result is that of a
+full comparison with the probed lists, and only lists not probed can cost recall.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without an id; rows that repeat an id count as candidates of their own. With fewer
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 from vellum.llm.common import Scratch
 
 SAMPLE, PARTS, WORDS, ROUNDS = 20_000, 16, 256, 8
-BLOCK, KEEP = 8192, 100
+BLOCK = 8192
 MAX_LISTS = 1024
+#: What rounding may do to a distance of unit vectors (a root, so coarse near 0), and to a cosine.
+SLACK_DISTANCE, SLACK_COSINE = 1e-6, 1e-11
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -73,10 +78,13 @@ class Quantiser:
         cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         return cls(coarse, [kmeans(rest[:, a:b], min(WORDS, len(rest))) for a, b in zip(cuts, cuts[1:])], cuts)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, code and the code's error of each row."""
         of = nearest(x, self.coarse)
         rest = x - self.coarse[of]
-        return of, np.column_stack([nearest(rest[:, a:b], w) for a, b, w in zip(self.cuts, self.cuts[1:], self.words)]).astype(np.uint8)
+        codes = np.column_stack([nearest(rest[:, a:b], w) for a, b, w in zip(self.cuts, self.cuts[1:], self.words)]).astype(np.uint8)
+        coded = np.column_stack([w[codes[:, j]] for j, w in enumerate(self.words)])
+        return of, codes, np.sqrt(((rest - coded) ** 2).sum(1))
 
     def probes(self, x: np.ndarray, many: int) -> np.ndarray:
         return np.argsort(-(x @ self.coarse.T - (self.coarse**2).sum(1) / 2), 1, kind="stable")[:, :many]
@@ -89,6 +97,14 @@ class Quantiser:
         return total
 
 
+def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of the rows of x with y, or with those of y, added up in the order of the components."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total = total + x[:, j] * y[..., j]
+    return total
+
+
 def valid(rows: DataFrame) -> DataFrame:
     """vec_id, vector (array of doubles) of the rows that take part."""
     rows = rows.select(rows["vec_id"].cast("long").alias("vec_id"), rows["embedding"].cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
@@ -98,7 +114,7 @@ def valid(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("vector") == (usual["d"] if usual else 0))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, probes: int = 0, lists: int = 0, keep: int = KEEP) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, probes: int = 0, lists: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: for each of `queries` (vec_id, which are ids of rows too) its k nearest others."""
     scratch = Scratch(rows.sparkSession, "ann")
     rows = valid(rows)
@@ -115,16 +131,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probes: int = 0, lis
     asked = rows.join(asked, "vec_id", "left_semi").join(classes, "vector").select(F.col("vec_id").alias("query_id"), "node")
     asked = scratch.write(asked, "asked")
     if not len(sample):
-        model = None
-        near = classes.select(F.col("node").alias("query"), "node").limit(0)
+        near = classes.select(F.col("node").alias("query"), "ids", F.lit(0.0).alias("score")).limit(0)
     else:
-        model = Quantiser.fit(unit(np.array(sorted(map(list, sample)))), lists)
-        near = candidates(classes, asked, model, probes, keep, scratch)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    side = classes.select(F.col("node").alias("query"), F.col("vector").alias("_q"))
-    exact = near.join(side, "query").join(classes, "node")
-    cosine = dot("_q", "vector") / F.sqrt(dot("_q", "_q")) / F.sqrt(dot("vector", "vector"))
-    exact = exact.select("query", cosine.alias("score"), F.explode("ids").alias("vec_id"))
+        near = candidates(classes, asked, Quantiser.fit(unit(np.array(sorted(map(list, sample)))), lists), probes, k + 1, scratch)
+    exact = near.select("query", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     exact = exact.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
     found = asked.join(exact, asked["node"] == exact["query"]).where("vec_id <> query_id")
@@ -132,16 +142,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probes: int = 0, lis
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def candidates(classes: DataFrame, asked: DataFrame, model: Quantiser, probes: int, keep: int, scratch: Scratch) -> DataFrame:
-    """query, node: each query class's best `keep` classes by coded distance."""
+def candidates(classes: DataFrame, asked: DataFrame, model: Quantiser, probes: int, best: int, scratch: Scratch) -> DataFrame:
+    """query, ids, score: of each block that a query class probes its `best` classes, exactly."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                of, codes = model.encode(unit(np.array(f["vector"].tolist())))
-                yield pd.DataFrame({"list": of.astype(np.int32), "node": f["node"], "code": [c.tobytes() for c in codes]})
+                x = np.array(f["vector"].tolist())
+                of, codes, error = model.encode(unit(x))
+                raw = lambda rows: [r.tobytes() for r in rows]
+                yield pd.DataFrame({"list": of.astype(np.int32), "node": f["node"], "ids": f["ids"], "raw": raw(x), "code": raw(codes), "error": error})
 
-    coded = scratch.write(classes.select("node", "vector").mapInPandas(encode, "list int, node long, code binary"), "coded")
+    coded = scratch.write(classes.mapInPandas(encode, "list int, node long, ids array<long>, raw binary, code binary, error double"), "coded")
     # lists go side by side into blocks of about BLOCK codes; a longer one has blocks of its own: list -> first block, blocks
     place, used, free = {}, 0, 0
     for r in coded.groupBy("list").count().orderBy("list").collect():  # at most MAX_LISTS rows
@@ -153,35 +165,44 @@ def candidates(classes: DataFrame, asked: DataFrame, model: Quantiser, probes: i
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x = unit(np.array(f["vector"].tolist())) if len(f) else np.empty((0, 1))
+            x = np.array(f["vector"].tolist())
             hit: dict[tuple[int, int], list[int]] = {}
-            for i, row in enumerate(model.probes(x, probes) if len(f) else []):
+            for i, row in enumerate(model.probes(unit(x), probes) if len(f) else []):
                 for of in row.tolist():
                     start, many = place.get(of, (0, 0))
                     for b in range(start, start + many):
                         hit.setdefault((b, i), []).append(of)
-            yield pd.DataFrame([(b, f["node"].iloc[i], x[i].tobytes(), of) for (b, i), of in hit.items()], columns=["block", "query", "unit", "lists"])
+            yield pd.DataFrame([(b, f["node"].iloc[i], x[i].tobytes(), of) for (b, i), of in hit.items()], columns=["block", "query", "raw", "lists"])
 
     def scan(key: tuple, codes: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         codes = codes.sort_values(["list", "node"])
-        node, lists = codes["node"].to_numpy(), codes["list"].to_numpy()
+        lists, error, ids = codes["list"].to_numpy(), codes["error"].to_numpy(), codes["ids"].to_numpy()
         code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), len(model.words))
+        x = np.frombuffer(b"".join(codes["raw"])).reshape(len(codes), -1)
+        units, lengths, lead = unit(x) if len(x) else x, np.sqrt(dots(x, x)), np.array([i[0] for i in ids])
         out = []
-        for query, x, probed in zip(asks["query"], asks["unit"], asks["lists"]):
+        for query, raw, probed in zip(asks["query"], asks["raw"], asks["lists"]):
+            q = np.frombuffer(raw)
+            u = unit(q[None])[0]
             ranges = [(of, *np.searchsorted(lists, [of, of + 1])) for of in probed]
-            d = np.concatenate([model.distances(np.frombuffer(x), of, code[a:b]) for of, a, b in ranges])
-            who = np.concatenate([node[a:b] for _, a, b in ranges])
-            at = np.argpartition(d, keep)[:keep] if len(d) > keep else np.arange(len(d))
-            out.append(pd.DataFrame({"query": query, "node": who[at], "distance": d[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "node": [], "distance": []}).astype({"query": "int64", "node": "int64", "distance": "float64"})
+            at = np.concatenate([np.arange(a, b) for _, a, b in ranges])
+            if len(at) > best:
+                d = np.sqrt(np.concatenate([model.distances(u, of, code[a:b]) for of, a, b in ranges]))
+                some = at[np.argpartition(d, best)[:best]]
+                farthest = np.sqrt(((units[some] - u) ** 2).sum(1)).max()
+                at = at[d - error[at] <= farthest + SLACK_DISTANCE]
+                cosine = (units @ u)[at] if 2 * len(at) > len(units) else units[at] @ u
+                at = at[cosine >= np.partition(cosine, -best)[-best] - SLACK_COSINE]
+            score = dots(x[at], q) / np.sqrt(dots(q[None], q)) / lengths[at]
+            order = np.lexsort((lead[at], -score))[:best]
+            out.append(pd.DataFrame({"query": query, "ids": ids[at[order]], "score": score[order]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": np.empty(0, np.int64), "ids": np.empty(0, object), "score": np.empty(0)})
 
     wanted = classes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "vector")
-    asks = wanted.mapInPandas(probe, "block long, query long, unit binary, lists array<int>")
+    asks = wanted.mapInPandas(probe, "block long, query long, raw binary, lists array<int>")
     spot = F.create_map(*(x for of, (start, many) in place.items() for x in (F.lit(of), F.lit((start << 32) | many).cast("long"))))[F.col("list")]
     dealt = coded.withColumn("_p", spot).withColumn("block", F.shiftright("_p", 32) + F.pmod(F.xxhash64("node"), F.col("_p").bitwiseAND(0xFFFFFFFF)))
-    near = dealt.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(scan, "query long, node long, distance double")
-    best = Window.partitionBy("query").orderBy("distance", "node")
-    return scratch.write(near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= keep).select("query", "node"), "near")
+    return scratch.write(dealt.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(scan, "query long, ids array<long>, score double"), "near")
 
 
 def nearest_of_every_50th(rows: DataFrame, k: int = 5) -> DataFrame:
