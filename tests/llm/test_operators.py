@@ -377,6 +377,21 @@ def test_neighbours_among_many_close_ones(spark, monkeypatch):
     assert right == 30 * 5, right
 
 
+def test_neighbours_of_repeated_ids(spark):
+    from vellum.llm.ann import nearest_of_every_50th
+
+    def found(rows):
+        got = nearest_of_every_50th(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        assert sorted((r.query_id, r.rank) for r in got) == [(0, k + 1) for k in range(len(got))]
+        return [r.vec_id for r in sorted(got, key=lambda r: r.rank)]
+
+    near = lambda i: (i, [1.0, 0.1 * i])
+    own = (0, [1.0, 0.0])
+    assert found([own, own, *map(near, range(1, 8))]) == [1, 2, 3, 4, 5]
+    assert found([own] * 9 + [(i, own[1]) for i in range(1, 4)] + [near(8), near(8), near(9)]) == [1, 2, 3, 8, 8]
+    assert found([(0, [1.0, -0.001 * i]) for i in range(12)] + [*map(near, range(1, 8))]) == [1, 2, 3, 4, 5]
+
+
 def test_components(spark):
     from vellum.llm.common import Scratch
     from vellum.llm.components import components

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Rows with one and the same vector are a class: the index holds classes, with their first few ids, so a
-vector that a third of all rows share costs one entry. Centroids and codebooks are trained by k-means
+Rows with one and the same vector are a class: the index holds classes, with their first few ids and how
+often each is there, so a vector that a third of all rows share costs one entry. Centroids and codebooks are trained by k-means
 on a bounded sample of unit vectors (at most `SAMPLE`) on the driver; every class is assigned to its
 nearest centroid and its residual coded by one byte for each of `PARTS` parts. Beside the code stands its
 error, the distance of what the code says from the residual.
@@ -17,7 +17,8 @@ cosine in double precision on the original vectors, ties to the smaller id. So t
 full comparison with the probed lists, and only lists not probed can cost recall.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, nor do rows without an id; rows that repeat an id count as candidates of their own. With fewer
+part, nor do rows without an id; rows that repeat an id count as candidates of their own. An asked
+id that stands at several vectors finds each other row once, by the vector nearest to it. With fewer
 candidates than asked for, all are returned. Empty tables give empty results. Other columns are not read.
 """
 
@@ -119,8 +120,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probes: int = 0, lis
     scratch = Scratch(rows.sparkSession, "ann")
     rows = valid(rows)
     first = Window.partitionBy("vector").orderBy("vec_id")
-    members = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
-    classes = members.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("node", F.monotonically_increasing_id())
+    members = rows.groupBy("vector", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("n")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
+    members = members.groupBy("vector").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("_m"))
+    classes = members.select("vector", F.col("_m.vec_id").alias("ids"), F.col("_m.n").alias("counts")).withColumn("node", F.monotonically_increasing_id())
     classes = scratch.write(classes, "classes")
     n = classes.count()
     lists = lists or int(min(MAX_LISTS, max(1, np.sqrt(n))))
@@ -128,22 +130,23 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probes: int = 0, lis
     share = min(1 << 30, (1 << 30) * SAMPLE // max(1, n))
     sample = classes.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < share).select("vector").limit(SAMPLE).toPandas()["vector"]
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
-    asked = rows.join(asked, "vec_id", "left_semi").join(classes, "vector").select(F.col("vec_id").alias("query_id"), "node")
+    asked = rows.join(asked, "vec_id", "left_semi").join(classes, "vector").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).distinct()
     asked = scratch.write(asked, "asked")
     if not len(sample):
-        near = classes.select(F.col("node").alias("query"), "ids", F.lit(0.0).alias("score")).limit(0)
+        near = classes.select(F.col("node").alias("query"), "node", F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score")).limit(0)
     else:
         near = candidates(classes, asked, Quantiser.fit(unit(np.array(sorted(map(list, sample)))), lists), probes, k + 1, scratch)
-    exact = near.select("query", "score", F.explode("ids").alias("vec_id"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    exact = exact.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
-    found = asked.join(exact, asked["node"] == exact["query"]).where("vec_id <> query_id")
+    same = Window.partitionBy("query", "vec_id")
+    near = near.withColumn("_s", F.max("score").over(same)).withColumn("_r", F.row_number().over(same.orderBy(F.desc("score"), "node"))).where(F.col("_r") <= k)
+    exact = near.withColumn("_r", F.dense_rank().over(Window.partitionBy("query").orderBy(F.desc("_s"), "vec_id"))).where(F.col("_r") <= k + 1)
+    found = asked.join(exact, "query").where("vec_id <> query_id").groupBy("query_id", "node", "vec_id", "n").agg(F.max("score").alias("score"))
+    found = found.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def candidates(classes: DataFrame, asked: DataFrame, model: Quantiser, probes: int, best: int, scratch: Scratch) -> DataFrame:
-    """query, ids, score: of each block that a query class probes its `best` classes, exactly."""
+    """query, node, vec_id, n, score: of each block that a query class probes the `best` ids, exactly, in fewer than `best` classes each."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -151,9 +154,9 @@ def candidates(classes: DataFrame, asked: DataFrame, model: Quantiser, probes: i
                 x = np.array(f["vector"].tolist())
                 of, codes, error = model.encode(unit(x))
                 raw = lambda rows: [r.tobytes() for r in rows]
-                yield pd.DataFrame({"list": of.astype(np.int32), "node": f["node"], "ids": f["ids"], "raw": raw(x), "code": raw(codes), "error": error})
+                yield pd.DataFrame({"list": of.astype(np.int32), "node": f["node"], "ids": f["ids"], "counts": f["counts"], "raw": raw(x), "code": raw(codes), "error": error})
 
-    coded = scratch.write(classes.mapInPandas(encode, "list int, node long, ids array<long>, raw binary, code binary, error double"), "coded")
+    coded = scratch.write(classes.mapInPandas(encode, "list int, node long, ids array<long>, counts array<long>, raw binary, code binary, error double"), "coded")
     # lists go side by side into blocks of about BLOCK codes; a longer one has blocks of its own: list -> first block, blocks
     place, used, free = {}, 0, 0
     for r in coded.groupBy("list").count().orderBy("list").collect():  # at most MAX_LISTS rows
@@ -176,10 +179,20 @@ def candidates(classes: DataFrame, asked: DataFrame, model: Quantiser, probes: i
 
     def scan(key: tuple, codes: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         codes = codes.sort_values(["list", "node"])
-        lists, error, ids = codes["list"].to_numpy(), codes["error"].to_numpy(), codes["ids"].to_numpy()
+        lists, error, nodes, ids, counts = (codes[c].to_numpy() for c in ("list", "error", "node", "ids", "counts"))
         code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), len(model.words))
         x = np.frombuffer(b"".join(codes["raw"])).reshape(len(codes), -1)
         units, lengths, lead = unit(x) if len(x) else x, np.sqrt(dots(x, x)), np.array([i[0] for i in ids])
+        firsts, group = np.unique(lead, return_inverse=True)
+
+        def limit(at: np.ndarray, v: np.ndarray) -> float:
+            """What v is at most for the `best` classes with different first ids."""
+            if len(firsts) < len(lead):
+                least = np.full(len(firsts), np.inf)
+                np.minimum.at(least, group[at], v)
+                v = least
+            return np.partition(v, best - 1)[best - 1] if len(v) >= best else np.inf
+
         out = []
         for query, raw, probed in zip(asks["query"], asks["raw"], asks["lists"]):
             q = np.frombuffer(raw)
@@ -188,21 +201,27 @@ def candidates(classes: DataFrame, asked: DataFrame, model: Quantiser, probes: i
             at = np.concatenate([np.arange(a, b) for _, a, b in ranges])
             if len(at) > best:
                 d = np.sqrt(np.concatenate([model.distances(u, of, code[a:b]) for of, a, b in ranges]))
-                some = at[np.argpartition(d, best)[:best]]
+                some = at[d <= limit(at, d)]
                 farthest = np.sqrt(((units[some] - u) ** 2).sum(1)).max()
                 at = at[d - error[at] <= farthest + SLACK_DISTANCE]
                 cosine = (units @ u)[at] if 2 * len(at) > len(units) else units[at] @ u
-                at = at[cosine >= np.partition(cosine, -best)[-best] - SLACK_COSINE]
+                at = at[cosine >= -limit(at, -cosine) - SLACK_COSINE]
             score = dots(x[at], q) / np.sqrt(dots(q[None], q)) / lengths[at]
-            order = np.lexsort((lead[at], -score))[:best]
-            out.append(pd.DataFrame({"query": query, "ids": ids[at[order]], "score": score[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": np.empty(0, np.int64), "ids": np.empty(0, object), "score": np.empty(0)})
-
-    wanted = classes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "vector")
+            who, many = np.concatenate(ids[at]), np.concatenate(counts[at])
+            of = np.repeat(np.arange(len(at)), [len(i) for i in ids[at]])
+            order = np.lexsort((who, -score[of]))
+            which = pd.factorize(who[order])[0]
+            order, which = order[which < best], which[which < best]
+            if len(which) and which.max() + 1 < len(which):
+                order = order[pd.Series(which).groupby(which).cumcount().to_numpy() < best - 1]
+            out.append(pd.DataFrame({"query": query, "node": nodes[at][of[order]], "vec_id": who[order], "n": many[order], "score": score[of[order]]}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.float64 if c == "score" else np.int64) for c in ("query", "node", "vec_id", "n", "score")})
+
+    wanted = classes.join(asked.select(F.col("query").alias("node")).distinct(), "node", "left_semi").select("node", "vector")
     asks = wanted.mapInPandas(probe, "block long, query long, raw binary, lists array<int>")
     spot = F.create_map(*(x for of, (start, many) in place.items() for x in (F.lit(of), F.lit((start << 32) | many).cast("long"))))[F.col("list")]
     dealt = coded.withColumn("_p", spot).withColumn("block", F.shiftright("_p", 32) + F.pmod(F.xxhash64("node"), F.col("_p").bitwiseAND(0xFFFFFFFF)))
-    return scratch.write(dealt.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(scan, "query long, ids array<long>, score double"), "near")
+    return scratch.write(dealt.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(scan, "query long, node long, vec_id long, n long, score double"), "near")
 
 
 def nearest_of_every_50th(rows: DataFrame, k: int = 5) -> DataFrame:
