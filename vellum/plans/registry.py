@@ -291,6 +291,13 @@ def context_neighbors(spark, sf_dir):
     return search.context(c.where("turn % 3 = 0").select("conv_id", "seq"), c.select("conv_id", "seq"), "conv_id", 2).select("conv_id", "target_seq", "seq", "is_context")
 
 
+@query("with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as seq from conversations) select a.conv_id, a.seq as target_seq, b.seq, b.seq <> a.seq as is_context from c a join c b on a.conv_id = b.conv_id and abs(a.seq - b.seq) <= 2")
+def context_neighbors_every_turn(spark, sf_dir):
+    """context_neighbors with every turn as a target."""
+    c = load(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("seq"))
+    return search.context(c, c, "conv_id", 2).select("conv_id", "target_seq", "seq", "is_context")
+
+
 @query("select doc_id, lang, source, length(text)::bigint as n from documents where doc_id in (3, 5, 8, 13) or doc_id = 21")
 def point_lookup(spark, sf_dir):
     return load(spark, sf_dir, "documents").where(F.col("doc_id").isin(3, 5, 8, 13, 21)).select("doc_id", "lang", "source", F.length("text").cast("long").alias("n"))
