@@ -139,6 +139,13 @@ def chunk_fixed_width(spark, sf_dir):
     return load(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", T.chunks(F.col("text")).alias("c")).select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.col("c")[0].alias("first_chunk"))
 
 
+@query("select doc_id, i as chunk_no, substr(text, i * 40 + 1, 40) as chunk from (select doc_id, text, unnest(range((length(text) + 39) // 40)) as i from documents where length(text) > 0)")
+def chunk_fixed_width_every_chunk(spark, sf_dir):
+    """Every chunk of a text with its position, where chunk_fixed_width shows the first and the number."""
+    d = load(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return d.select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
 @query("select vec_id, sqrt(list_dot_product(embedding::double[], embedding::double[])) > 0.999 and sqrt(list_dot_product(embedding::double[], embedding::double[])) < 1.001 as unit from embeddings")
 def l2_norm_check(spark, sf_dir):
     n = T.l2_norm(F.col("embedding"))
