@@ -45,7 +45,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("source_mix", source_mix), ("packing", packing)]
 
-#: SQL cannot express the stages; tests hold each against a brute-force version.
+#: SQL cannot express the stages; tests hold near-duplicate components, suffix_dedup and pack against brute force,
+#: but what toxicity, keep_one and without_repeats keep, and run() as a whole, only by counts and subsets.
 ORACLE_SQL = None
 
 
