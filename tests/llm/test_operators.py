@@ -151,9 +151,8 @@ def test_mixing_comes_near(spark):
     assert len(found) == 41 and all(abs(r["sum(taken)"] - r.target) <= 50 for r in found)
 
 
-def test_suffix_dedup(docs, rows, empty):
-    from vellum.llm.suffix_dedup import suffix_dedup, without_repeats
-
+def brute_suffixes(rows) -> tuple[collections.Counter, collections.Counter]:
+    """What suffix_dedup gives, and the texts that without_repeats leaves."""
     seen = collections.Counter(b[p : p + 200] for _, b in raw(rows) for p in range(len(b) - 199))
     want, texts = collections.Counter(), collections.Counter()
     for i, b in raw(rows):
@@ -163,20 +162,71 @@ def test_suffix_dedup(docs, rows, empty):
                 gone[p : p + 200] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         want[(i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
-        if not gone.any():
-            texts[b.decode()] += 1
-    assert bag(suffix_dedup(docs)) == want
+        at = 0
+        kept = []
+        for ch in b.decode():
+            size = len(ch.encode())
+            if not gone[at : at + size].all():
+                kept.append(ch)
+            at += size
+        texts[(i, "".join(kept))] += 1
+    return want, texts
+
+
+@pytest.mark.parametrize("group", [20_000, 2])
+def test_suffix_dedup(docs, rows, empty, group):
+    """With a group of 2 the windows of most cores are counted one by one."""
+    from vellum.llm.suffix_dedup import suffix_dedup, without_repeats
+
+    want, texts = brute_suffixes(rows)
+    assert bag(suffix_dedup(docs, group)) == want
     left = without_repeats(docs)
     assert left.columns == docs.columns and left.count() == len(rows)
-    assert not texts - collections.Counter(r.text or "" for r in left.collect())
+    assert texts == collections.Counter((r.doc_id, r.text or "") for r in left.collect())
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in left.collect())
     assert suffix_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("batches, max_runs", [(1, 4), (3, 1)])
-def test_substring_index(docs, rows, empty, batches, max_runs):
+def test_suffix_arrays():
+    """Classes of windows out of the two orders, against the windows' bytes."""
+    from vellum.llm.suffix_dedup import BYTES, repeated_windows
+
+    rng = np.random.default_rng(3)
+    core = rng.integers(0, 3, 169, dtype=np.uint8)
+    cut, many, lead = [], [], []
+    for _ in range(400):
+        first, last = sorted(rng.integers(0, 32, 2).tolist())  # windows from `last` to `first` bytes before the core
+        before, after = rng.integers(0, 2, last, dtype=np.uint8), rng.integers(0, 2, 31 - first, dtype=np.uint8)
+        before[: max(0, last - 6)] = 0
+        after[6:] = 1
+        cut.append(bytes(np.concatenate([before, core if rng.random() < 0.8 else core[::-1], after])))
+        many.append(last - first + 1), lead.append(last)
+    weight = np.where(rng.random(400) < 0.1, 2, 1)
+    seen = collections.Counter()
+    for c, n, w in zip(cut, many, weight):
+        for j in range(n):
+            seen[c[j : j + 200]] += w
+    found = repeated_windows(BYTES, np.array(many), np.array(lead), weight, cut)
+    assert [[seen[c[j : j + 200]] > 1 for j in range(n)] for c, n in zip(cut, many)] == [row[:n].tolist() for row, n in zip(found, many)]
+    assert 0 < found.sum() < sum(many)
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Texts beyond the million units that are parsed at a time, with repeats across the seam."""
     from vellum.llm.substring_index import substring_dedup
+    from vellum.llm.suffix_dedup import suffix_dedup
 
+    rng = random.Random(8)
+    words = [f"{rng.randrange(10**6):x}" for _ in range(210_000)]
+    long = " ".join(words)
+    rows = [(1, long, "en", "a"), (2, long[1_048_300:1_048_900], "en", "a"), (3, " ".join(words[209_000:209_100]), "en", "a"), (4, "ab " * 400_000, "en", "a")]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert len(long) > 1 << 20
+    assert bag(suffix_dedup(frame)) == brute_suffixes(rows)[0]
+    assert bag(substring_dedup(frame)) == brute_substrings(rows)
+
+
+def brute_substrings(rows) -> collections.Counter:
     first = {}
     split = [((1 << 63) - 1 if i is None else i, words_of(b)) for i, b in raw(rows)]
     for i, w in split:
@@ -190,8 +240,39 @@ def test_substring_index(docs, rows, empty, batches, max_runs):
             if (i, p) > first[tuple(w[p : p + 20])]:
                 gone[p : p + 20] = [True] * 20
         want[(r[0], len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())] += 1
-    assert bag(substring_dedup(docs, batches, max_runs)) == want
-    assert substring_dedup(empty, batches, max_runs).count() == 0
+    return want
+
+
+@pytest.mark.parametrize("batches, max_runs, bits", [(1, 4, 64), (4, 2, 64), (3, 1, 9)])
+def test_substring_index(docs, rows, empty, batches, max_runs, bits):
+    """Hashes of 9 bits meet all the time: verification and what follows it must settle them."""
+    from vellum.llm.substring_index import substring_dedup
+
+    assert bag(substring_dedup(docs, batches, max_runs, bits)) == brute_substrings(rows)
+    assert substring_dedup(empty, batches, max_runs, bits).count() == 0
+
+
+@pytest.mark.parametrize("bits", [64, 9])
+def test_substring_index_opens_again(spark, docs, rows, tmp_path, bits):
+    """Batch after batch, each with the log as the last one left it; runs are compacted on the way, and hold each window once."""
+    from vellum.llm.common import Scratch
+    from vellum.llm.substring_index import FingerprintIndex, batches_of, cut, gathered, with_spans
+
+    found = collections.Counter()
+    for batch in batches_of(docs, 4):
+        index = FingerprintIndex(spark, str(tmp_path / "log"), 3, 2, bits=bits)
+        hits = index.add(batch)
+        spans = gathered(index.repeats(batch, hits, docs, Scratch(spark, "again"), 2).distinct())
+        index.compact_if_many()
+        assert len(index.runs) <= 2
+        found += bag(with_spans(batch, spans).select(batch["doc_id"], batch["text"].cast("binary").alias("text"), spans["starts"], spans["ends"]).where("text is not null").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    want = brute_substrings(rows)
+    assert found - want == collections.Counter() and sum((want - found).values()) == sum(r[1] is None for r in rows)
+    index = FingerprintIndex(spark, str(tmp_path / "log"))
+    assert index.version == 5 and index.buckets == 3
+    if bits == 64:
+        windows = {tuple(w[p : p + 20]) for _, b in raw(rows) for w in [words_of(b)] for p in range(len(w) - 19)}
+        assert sum(r.n for k in index.runs for r in index.table(k).collect()) == len(windows)
 
 
 def brute_components(rows, k, percent):

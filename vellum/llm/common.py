@@ -45,6 +45,11 @@ class Scratch:
         jvm.System.gc()
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference to it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 

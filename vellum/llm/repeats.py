@@ -1,4 +1,4 @@
-"""Repeated windows of a fixed length, found through prefix-free parsing. What the two operators on exact repeats share.
+"""Rolling hashes, triggers and phrases of texts: what the two operators on exact repeats share.
 
 A text is a row of units (bytes, or words). Its rolling hash over `trigger` units marks triggers: the
 least hash among the trigger strings of a window is the window's trigger (the leftmost of equals), so
@@ -7,8 +7,7 @@ place. The windows that share a trigger are consecutive; with what they cover th
 the parse. A phrase's dictionary entry is told by `trigger_hash` and by `phrase_hash` over its whole
 content, 128 bits together. Equal phrases settle all their windows at once, however often they repeat.
 Phrases with a common trigger and different content are cut into stretches of windows at like distances
-from the trigger: all windows of a stretch hold its core, which is nearly a window long, and only where
-a core repeats are windows looked at one by one, by 96-bit hashes.
+from the trigger: all windows of a stretch hold its core, which is nearly a window long.
 """
 
 from __future__ import annotations
@@ -19,10 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch
 from vellum.llm.superminhash import mix64
 
 SEGMENT = 1 << 20
@@ -138,7 +134,7 @@ def stretches(units: Units, start: np.ndarray, many: np.ndarray, at: np.ndarray)
 
 
 PHRASES = "id long, text_hash long, start int, windows int, at int, trigger_hash long, phrase_hash long"
-CORES = "id long, text_hash long, start int, windows int, weight long, core long"
+CORES = "id long, text_hash long, start int, windows int, lead int, weight long, core long"
 WINDOWS = "id long, text_hash long, start int, weight long, w1 long, w2 int"
 
 
@@ -165,7 +161,7 @@ def cores_of(units: Units):
                 of, window, number, core = stretches(units, start, many, at)
                 (found,) = hashes_of(units, batch.column(2)[i].as_py(), core, units.window - units.stretch + 1, (C1,))
                 row = pa.array(np.full(len(of), i))
-                yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(window.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(weight[of]), pa.array(found)], ["id", "text_hash", "start", "windows", "weight", "core"])
+                yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(window.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array((core - window).astype(np.int32)), pa.array(weight[of]), pa.array(found)], ["id", "text_hash", "start", "windows", "lead", "weight", "core"])
 
     return run
 
@@ -185,18 +181,6 @@ def windows_of(units: Units):
     return run
 
 
-def open_windows(texts: DataFrame, open_: DataFrame, units: Units, scratch: Scratch) -> DataFrame:
-    """WINDOWS of all stretches whose cores repeat. texts: id, text_hash, text; open_: KEY, start, windows, at, weight of phrases."""
-    open_ = open_.groupBy(*KEY).agg(*(F.collect_list(c).alias(c) for c in ("start", "windows", "weight", "at")))
-    cores = texts.join(scratch.write(open_, "open"), KEY).select(*KEY, "text", "start", "windows", "weight", "at").mapInArrow(cores_of(units), CORES)
-    cores = scratch.write(cores, "cores")
-    again = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    live = cores.join(again, "core", "left_semi").groupBy(*KEY).agg(*(F.collect_list(c).alias(c) for c in ("start", "windows", "weight")))
-    live = scratch.write(live, "live")
-    scratch.drop("open", "cores")
-    return texts.join(live, KEY).select(*KEY, "text", "start", "windows", "weight").mapInArrow(windows_of(units), WINDOWS)
-
-
 def covered(n: int, starts: list[int], ends: list[int]) -> np.ndarray:
     """For each of n units whether some [start, end) holds it."""
     edge = np.zeros(n + 1, np.int64)
