@@ -55,19 +55,45 @@ def raw(rows):
     return [(r[0], (r[1] or "").encode()) for r in rows]
 
 
-def test_quality_rules(docs, rows, empty):
-    from vellum.llm.quality_rules import quality_rules
-
-    want = collections.Counter()
+def judged_rows(rows) -> list[tuple]:
+    """The base metrics and verdict of each row."""
+    out = []
     for i, b in raw(rows):
         w, text = words_of(b), b.decode()
         seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
         again = {j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
         lines = [x for x in text.split("\n") if words_of(x.encode())]
-        want[(i, len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), len(w) < 20 or 100 * len(again) > 30 * len(w))] += 1
+        out.append((i, len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), len(w) < 20 or 100 * len(again) > 30 * len(w)))
+    return out
+
+
+def brute_hosts(rows: list[tuple]) -> tuple:
+    """The prior, the limit, and each host's shrunk rate with its low end, from (host, failed)."""
+    n, k = collections.Counter(h for h, _ in rows), collections.Counter(h for h, failed in rows if failed)
+    total, mean = len(rows), sum(k.values()) / len(rows)
+    noise = mean * (1 - mean)
+    spread = sum(n[h] * (k[h] / n[h] - mean) ** 2 for h in n) - noise * (len(n) - 1)
+    room = noise * (total - sum(x * x for x in n.values()) / total - (len(n) - 1))
+    share = min(max(spread / room, 1 / (total + 1)), 0.999) if room > 0 else 1 / (total + 1)
+    a, b = (max(x * (1 / share - 1), 1e-9) for x in (mean, 1 - mean))
+    var = lambda a, b: a * b / ((a + b) ** 2 * (a + b + 1))
+    hosts = {h: ((x := k[h] + a) / (total_h := n[h] + a + b), x / total_h - 2 * var(x, total_h - x) ** 0.5) for h in n}
+    return (a, b), min(0.5, a / (a + b) + 2 * var(a, b) ** 0.5), hosts
+
+
+def test_quality_rules(docs, rows, empty):
+    from vellum.llm.quality_rules import quality_rules
+
+    want = collections.Counter(judged_rows(rows))
     found = quality_rules(docs)
-    assert bag(found.drop("kept", "host_failure")) == want
-    assert all(not (r.kept and r.base_failed) for r in found.collect())
+    assert bag(found.drop("kept", "host_failure", "host_low", "host_kept")) == want
+    prior, limit, hosts = brute_hosts([(r[3], f[-1]) for r, f in zip(rows, judged_rows(rows))])
+    source = collections.defaultdict(set)
+    for r in rows:
+        source[r[0]].add(r[3])
+    for r in found.collect():
+        assert r.kept == (not r.base_failed and r.host_kept) and r.host_kept == (r.host_low <= limit)
+        assert any(abs(r.host_failure - hosts[h][0]) < 1e-9 and abs(r.host_low - hosts[h][1]) < 1e-9 for h in source[r.doc_id])
     assert quality_rules(empty).count() == 0
 
 
@@ -80,6 +106,19 @@ def test_hosts_are_rejected(spark):
     assert kept[1] and not kept[0] and not kept[1000] and not kept[1001]
 
 
+def test_unusual_host_among_many(spark):
+    """A host that fails four times as often as the thirty others goes, though far from the absolute limit; without it none does."""
+    from vellum.llm.quality_rules import quality_rules
+
+    good, rng = " ".join(f"w{i}" for i in range(40)), random.Random(4)
+    rows = [(h * 1000 + i, "bad" if rng.random() < 0.08 else good, f"h{h}") for h in range(30) for i in range(120)]
+    odd = [(90_000 + i, "bad" if i % 10 < 4 else good, "odd") for i in range(400)]
+    schema = "doc_id long, text string, source string"
+    gone = quality_rules(spark.createDataFrame(rows + odd, schema)).where("not host_kept and not base_failed").collect()
+    assert len(gone) == 240 and all(r.doc_id >= 90_000 for r in gone)
+    assert quality_rules(spark.createDataFrame(rows, schema)).where("not host_kept").isEmpty()
+
+
 def test_token_counts_and_cache(docs, rows, empty, tmp_path, spark):
     import sentencepiece
 

@@ -8,8 +8,8 @@ error, the distance of what the code says from the residual.
 
 A query class probes its `probes` nearest lists (7 in 10 of them unless told otherwise: vectors that
 fill all directions alike, as those of the tests, need so many for a recall of 0.9 and more). Short lists
-share a block, those longer than `BLOCK` are dealt over several. A task takes a block of codes and the
-queries that probe it, builds each query's asymmetric
+share a block, those longer than `BLOCK` are dealt over several. A task takes a block of codes and some
+`ASKS` of the queries that probe it, builds each query's asymmetric
 distance table (distances of its own residual to all codewords) and, by table look-ups, the coded
 distance of every class in the probed lists. A class is at least its coded distance less its error away;
 where that does not exclude it from the block's best, it is reranked exactly, however many they are:
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import Scratch
 
 SAMPLE, PARTS, WORDS, ROUNDS = 20_000, 16, 256, 8
-BLOCK = 8192
+#: Codes, and queries, that meet in one task.
+BLOCK, ASKS = 2048, 1024
 MAX_LISTS = 1024
 #: What rounding may do to a distance of unit vectors (a root, so coarse near 0), and to a cosine.
 SLACK_DISTANCE, SLACK_COSINE = 1e-6, 1e-11
@@ -218,10 +219,13 @@ def candidates(classes: DataFrame, asked: DataFrame, model: Quantiser, probes: i
         return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.float64 if c == "score" else np.int64) for c in ("query", "node", "vec_id", "n", "score")})
 
     wanted = classes.join(asked.select(F.col("query").alias("node")).distinct(), "node", "left_semi").select("node", "vector")
-    asks = wanted.mapInPandas(probe, "block long, query long, raw binary, lists array<int>")
+    rounds = -(-wanted.count() // ASKS)
+    asks = wanted.mapInPandas(probe, "block long, query long, raw binary, lists array<int>").withColumn("round", F.pmod(F.xxhash64("query"), F.lit(max(1, rounds))))
     spot = F.create_map(*(x for of, (start, many) in place.items() for x in (F.lit(of), F.lit((start << 32) | many).cast("long"))))[F.col("list")]
     dealt = coded.withColumn("_p", spot).withColumn("block", F.shiftright("_p", 32) + F.pmod(F.xxhash64("node"), F.col("_p").bitwiseAND(0xFFFFFFFF)))
-    return scratch.write(dealt.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(scan, "query long, node long, vec_id long, n long, score double"), "near")
+    # a block stands once for each round of queries, so both sides of a group are bounded
+    dealt = dealt.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, rounds) - 1).cast("long"))))
+    return scratch.write(dealt.groupBy("block", "round").cogroup(asks.groupBy("block", "round")).applyInPandas(scan, "query long, node long, vec_id long, n long, score double"), "near")
 
 
 def nearest_of_every_50th(rows: DataFrame, k: int = 5) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,33 +18,58 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local master (tests) gets a new temporary one, and any other is told."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="vellum-")
         atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A write whose shuffle files go when it ends: what it wrote is read instead."""
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 class Scratch:
-    """Tables of one run in the shared folder: they cut lineage and outlive executors."""
+    """Tables of one run in the shared folder: they cut lineage and outlive executors. They go when the program ends, as a result may be read until then."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._remove)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with cleaned_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing will read again, and lets Spark clean the shuffles of finished queries."""
-        jvm = self.spark._jvm
+        """Deletes tables that nothing will read again."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+            delete(self.spark, f"{self.root}/{name}")
+
+    def _remove(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            delete(self.spark, self.root)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def quoted(name: str) -> str:

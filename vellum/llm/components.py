@@ -30,4 +30,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "graph") -> DataF
         if state == (now["n"], now["h"]):
             break
         state = (now["n"], now["h"])
+    else:
+        raise RuntimeError("components did not settle in 63 rounds")
     return live.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(live.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -26,16 +26,18 @@ def sample_class(docs: DataFrame, labels: DataFrame, column: str, value: int, ro
     The ids that the labels give are at most about `rows`, so they are broadcast and no text is shuffled.
     """
     ids = labels.where((F.col(column) == value) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ids = ids.where(share_of(F.col("doc_id"), rows, ids.count(), seed)).limit(rows)
-    return sample_rows(docs.join(F.broadcast(ids), docs["doc_id"].cast("long") == ids["doc_id"], "left_semi"), rows)
+    ids = ids.where(share_of(F.col("doc_id"), rows, ids.count(), seed)).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
+    return sample_rows(docs.join(F.broadcast(ids), docs["doc_id"].cast("long") == ids["doc_id"], "left_semi"), rows, seed)
 
 
-def sample_rows(docs: DataFrame, rows: int) -> list[tuple[int, bytes]]:
-    text = docs["text"].cast("string").cast("binary")
-    found = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).limit(rows).collect()
+def sample_rows(docs: DataFrame, rows: int, seed: str) -> list[tuple[int, bytes]]:
+    """The first `rows` by a hash of their id, then by text, so that a rerun learns from the same."""
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string").cast("binary")
+    found = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(seed), doc_id).alias("_turn"))
+    found = found.orderBy("_turn", "doc_id", "text").limit(rows).collect()
     return sorted((x["doc_id"], bytes(x["text"])) for x in found)
 
 
 def sample_unlabelled(docs: DataFrame, rows: int, seed: str) -> list[tuple[int, bytes]]:
     """Up to `rows` of any documents with an id, by its hash."""
-    return sample_rows(docs.where(docs["doc_id"].isNotNull() & share_of(docs["doc_id"].cast("long"), rows, docs.count(), seed)), rows)
+    return sample_rows(docs.where(docs["doc_id"].isNotNull() & share_of(docs["doc_id"].cast("long"), rows, docs.count(), seed)), rows, seed)

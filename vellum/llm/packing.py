@@ -1,13 +1,13 @@
 """Best-fit packing: bounded-space online best-fit over token sequences of a fixed capacity.
 
 Every document becomes its ids and an end id; what is longer than the capacity is cut into full pieces
-and a rest. Full pieces are sequences of their own. The others are packed by one pass: at most
-`open_bins` bins are open, a piece goes to the open bin with the least free space that holds it, and if
-none does a new bin opens; beyond the bound the fullest closes first. Open bins are found by a bitset
-keyed by free space, so a step takes a few integer operations.
+and a rest. Full pieces are sequences of their own and meet no bin. The others are packed by one pass, the
+longest first: at most `open_bins` bins are open, a piece goes to the open bin with the least free space
+that holds it, and if none does a new bin opens; beyond the bound the fullest closes first. Open bins are
+found by a bitset keyed by free space, so a step takes a few integer operations.
 
-Packing needs lengths only, so texts stay in the scan and narrow rows are dealt by a hash of their key
-to packers of about `PIECES_PER_PACKER` pieces. Any one packer leaves at most its open bins unfilled.
+Packing needs lengths only, so texts stay in the scan: it writes narrow rows, which are then dealt by a hash
+of their key to packers of about `PIECES_PER_PACKER` pieces. Any one packer leaves at most its open bins unfilled.
 A task that runs again gets the same pieces in the same order, so it gives the same sequences.
 
 Nulls: a null text is an empty document (its end id alone); a null doc_id is kept. Repeated rows are
@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import Scratch
+
 CAPACITY, END_ID = 2048, 0
-OPEN_BINS = 512
+OPEN_BINS = 4096
 PIECES_PER_PACKER = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -61,7 +63,10 @@ class BestFit:
         self.open = 0
 
     def put(self, length: int) -> tuple[int, int]:
-        """The bin and the offset there of a piece of 1 to capacity tokens."""
+        """The bin and the offset there of a piece of 1 to capacity tokens. One that fills a bin leaves the open ones alone."""
+        if length == self.capacity:
+            self.next += 1
+            return self.next - 1, 0
         if fits := self.free >> length:
             free = length + (fits & -fits).bit_length() - 1
             number = self._take(free)
@@ -101,7 +106,7 @@ def place(capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS, pieces_per_packer: int = PIECES_PER_PACKER) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each document."""
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    pieces = narrow.mapInArrow(pieces_of(tokenizer, capacity, end_id), PIECES)
-    packers = max(1, -(-docs.count() // pieces_per_packer))
-    dealt = pieces.repartition(packers, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions("doc_id", "piece", "start", "length", "ids_crc32")
+    pieces = Scratch(docs.sparkSession, "packing").write(narrow.mapInArrow(pieces_of(tokenizer, capacity, end_id), PIECES), "pieces")
+    packers = max(1, -(-pieces.count() // pieces_per_packer))
+    dealt = pieces.repartition(packers, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
     return dealt.mapInPandas(place(capacity, open_bins), f"{PIECES}, sequence_id long, offset long")

@@ -3,7 +3,10 @@
 Each document gets base metrics and a base verdict from its whole text. Failures are summed by host
 (the column `source`), and each host's failure rate is shrunk to the corpus: a beta prior is fitted to
 the hosts by moments (beta-binomial, weights by size), and the shrunk rate is the posterior mean. A
-host whose shrunk rate passes `max_host_failure` is rejected with all its documents.
+host is rejected with all its documents where even the low end of what its rate may be (the posterior
+mean less `CERTAIN` posterior deviations) is above what hosts of this corpus reach (the prior's mean and
+`UNUSUAL` of its deviations), or above `max_host_failure` whatever the others do. Where hosts differ no
+more than chance would have them differ, none is rejected: what they fail by is in their documents.
 
 Texts never leave the scan: it writes narrow rows, which are then summed (partial sums first, so a
 host with a third of all rows costs no more than another) and joined to the hosts. Repeated windows
@@ -24,7 +27,7 @@ from vellum.llm.common import GAP, WORD, Scratch, text_or_empty
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
 #: The signs that count as symbols.
 SYMBOLS = "#*$%&|<>"
-MAX_HOST_FAILURE = 0.5
+MAX_HOST_FAILURE, UNUSUAL, CERTAIN = 0.5, 2.0, 2.0
 
 
 def repeated_words(docs: DataFrame, words: str, window: int, out: str) -> DataFrame:
@@ -79,14 +82,23 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return max(mean * weight, 1e-9), max((1 - mean) * weight, 1e-9)
 
 
+def variance(a, b):
+    """The variance of a beta distribution; numbers or Columns."""
+    return a * b / ((a + b) * (a + b) * (a + b + 1))
+
+
 def quality_rules(docs: DataFrame, max_host_failure: float = MAX_HOST_FAILURE) -> DataFrame:
-    """The base metrics of each document, its host's shrunk failure rate, base_failed and kept."""
+    """The base metrics of each document, its host's shrunk failure rate and the low end of it, base_failed and kept."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
     base = scratch.write(base_metrics(docs), "base")
     hosts = scratch.write(base.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("k")), "hosts")
     alpha, beta = beta_prior(hosts)
-    verdicts = scratch.write(hosts.select(F.col("host").alias("_host"), ((F.col("k") + alpha) / (F.col("n") + (alpha + beta))).alias("host_failure")), "verdicts")
+    limit = min(max_host_failure, alpha / (alpha + beta) + UNUSUAL * variance(alpha, beta) ** 0.5)
+    a, b = F.col("k") + alpha, F.col("n") - F.col("k") + beta
+    rate = a / (a + b)
+    verdicts = hosts.select(F.col("host").alias("_host"), rate.alias("host_failure"), (rate - CERTAIN * F.sqrt(variance(a, b))).alias("host_low"))
+    verdicts = scratch.write(verdicts.withColumn("host_kept", F.col("host_low") <= limit), "verdicts")
     return base.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("host_failure") <= max_host_failure)).alias("kept"), "host_failure",
+        (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host_failure", "host_low", "host_kept",
     )

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, text_or_empty
+from vellum.llm.common import Scratch, cleaned_shuffles, text_or_empty
 from vellum.llm.repeats import C1, KEY, Units, covered, segments, spans, sums
 from vellum.llm.suffix_dedup import gathered, keyed, with_spans
 
@@ -288,7 +288,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"run-{uuid.uuid4().hex}"
         table = self.tables[name] = f"vellum_{name.replace('-', '_')}"
-        rows.write.format("parquet").option("path", f"{self.path}/{name}").option("compression", "zstd").bucketBy(self.buckets, "bucket").saveAsTable(table)
+        with cleaned_shuffles(self.spark):
+            rows.write.format("parquet").option("path", f"{self.path}/{name}").option("compression", "zstd").bucketBy(self.buckets, "bucket").saveAsTable(table)
         return name
 
     def table(self, name: str) -> DataFrame:

@@ -10,8 +10,10 @@
    of similarity 0.85 is missed with a probability below 1e-10, one of 0.8 below 1e-7.
 4. In each bucket every class is paired with one member only, another for each bucket, so pairs grow
    linearly. Pairs are confirmed on full sets, and components are found by alternating stars.
-5. Buckets of three or more that still hold several components are worked off exactly, in blocks: a
-   task takes two blocks of a bucket, finds all numbers of shared shingles as products of 0-1 matrices,
+5. In buckets of three or more that still hold several components, one member of each component is paired
+   with one of the largest, another each round, as long as that finds links (at most `ROUNDS` times); this
+   too grows linearly, and joins what one unlucky hub kept apart.
+6. What is mixed even then is worked off exactly, in blocks: a task takes two blocks of a bucket, finds all numbers of shared shingles as products of 0-1 matrices,
    and returns only links that join components, as a union-find tells.
 
 Texts are shuffled once, to give the candidates their sets. Copies never meet in one task: they are
@@ -37,7 +39,7 @@ from vellum.llm.common import Scratch, text_or_empty
 from vellum.llm.components import components
 
 SLOTS, BANDS = 128, 32
-BLOCK = 512
+BLOCK, ROUNDS = 512, 4
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -180,6 +182,23 @@ def with_component(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def mixed_buckets(cells: DataFrame, ends: DataFrame, found: DataFrame) -> DataFrame:
+    """cell, many, node, n, component of the buckets of three or more that hold several components; of buckets with the same members one."""
+    left = with_component(cells.join(ends.where("many > 2").select("cell", "many"), "cell"), found)
+    mixed = left.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("many"))
+    mixed = mixed.where("c0 <> c1").groupBy("who", "many").agg(F.min("cell").alias("cell"))
+    return left.join(mixed.select("cell"), "cell", "left_semi")
+
+
+def between(left: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b): in each bucket one member of every component, another each turn, beside one of the largest component."""
+    pick = F.min(F.struct(F.xxhash64(F.lit(turn), "cell", "node").alias("t"), "node", "n")).alias("pick")
+    picks = left.groupBy("cell", "component").agg(pick, F.count("*").alias("size"))
+    hubs = picks.groupBy("cell").agg(F.max(F.struct("size", "component", "pick")).alias("hub"))
+    near = picks.join(hubs, "cell").where("component <> hub.component").select(F.col("pick.node").alias("x"), F.col("pick.n").alias("n"), F.col("hub.pick.node").alias("y"), F.col("hub.pick.n").alias("m"))
+    return near.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """doc_id, text_key (MD5), n_shingles, component_id, kept: a row for each row of docs."""
     scratch = Scratch(docs.sparkSession, "near-duplicates")
@@ -204,15 +223,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
     items = scratch.write(texts.join(source, ["_id", "_key"]).select("node", "text").mapInArrow(sets(k), "node long, items array<long>").dropDuplicates(["node"]), "items")
     items_of = lambda side: items.select(F.col("node").alias(side), F.col("items").alias(f"items_{side}"))
     both = F.size(F.array_intersect("items_a", "items_b"))
-    sure = pairs.join(items_of("a"), "a").join(items_of("b"), "b").where(alike(both, F.size("items_a"), F.size("items_b"), percent)).select("a", "b")
-    sure = scratch.write(sure, "links")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return pairs.join(items_of("a"), "a").join(items_of("b"), "b").where(alike(both, F.size("items_a"), F.size("items_b"), percent)).select("a", "b")
+
+    sure = scratch.write(confirmed(pairs), "links")
     found = scratch.write(components(sure, scratch, "graph"), "found")
+    left = mixed_buckets(cells, ends, found)
+    for turn in range(ROUNDS):
+        pairs = scratch.write(between(left, turn, percent), f"pairs-{turn}")
+        more = scratch.write(confirmed(pairs), f"links-{turn}")
+        if more.isEmpty():
+            break
+        sure = sure.unionByName(more)
+        found = scratch.write(components(sure, scratch, f"graph-{turn}"), f"found-{turn}")
+        left = mixed_buckets(cells, ends, found)
 
-    left = with_component(cells.join(ends.where("many > 2").select("cell", "many"), "cell").select("cell", "many", "node"), found)
-    mixed = left.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("many"))
-    mixed = mixed.where("c0 <> c1").groupBy("who", "many").agg(F.min("cell").alias("cell"))  # buckets with the same members once
-    left = left.join(mixed.select("cell"), "cell", "left_semi").withColumn("parts", F.ceil(F.col("many") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-    left = left.join(classes.select("node", "n"), "node").join(items, "node")
+    left = left.withColumn("parts", F.ceil(F.col("many") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    left = left.join(items, "node")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component", "n", "items")
     more = left.groupBy("cell", "p", "q").applyInPandas(settle(percent), "a long, b long")
     more = scratch.write(more.distinct(), "more")

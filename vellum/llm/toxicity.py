@@ -32,7 +32,8 @@ from vellum.llm.labelled import in_fold, sample_class, sample_unlabelled
 POSITIVES, UNLABELLED = 2000, 5000
 MORE_USUAL, LESS_USUAL, LEAST_ROWS, LEAST_LIFT = 400, 100, 3, 2.5
 BEGINNINGS = (4, 5, 6)
-RIDGE, STEPS, RATE = 1e-3, 250, 0.05
+#: The ridge; with few positives it is FEW / their number.
+RIDGE, FEW, STEPS, RATE = 1e-3, 1.5, 250, 0.05
 CUT = 0.3
 
 letters = re.compile(r"[^\W\d_]+").findall
@@ -102,7 +103,7 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Model:
         bracket = -np.log(1 - su + 1e-9).mean() + prior * np.log(1 - sp + 1e-9).mean()
         p_minus, u_minus = prior * sp / n[0], su / n[1]
         gp, gu = (prior * (sp - 1) / n[0] - p_minus, u_minus) if bracket >= 0 else (p_minus, -u_minus)
-        g = np.append(gp.astype(np.float32) @ xp + gu.astype(np.float32) @ xu + RIDGE * w, gp.sum() + gu.sum())
+        g = np.append(gp.astype(np.float32) @ xp + gu.astype(np.float32) @ xu + max(RIDGE, FEW / n[0]) * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), float(b - step[-1])
