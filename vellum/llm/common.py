@@ -29,18 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when the write ends, as what it wrote is read instead; and texts
+#: reach Python a thousand rows at a time, so that long ones do not add up.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 @contextlib.contextmanager
-def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
-    """A write whose shuffle files go when it ends: what it wrote is read instead."""
-    before = spark.conf.get(CLEAN)
-    spark.conf.set(CLEAN, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Scratch:
@@ -52,7 +55,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        with cleaned_shuffles(self.spark):
+        with writing(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

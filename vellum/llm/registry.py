@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, table
+from vellum.llm.oracles import BY_QUERY
 
 
 def vocabulary(name: str) -> str:
@@ -24,7 +26,8 @@ def op1_ivf_pq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.quality_rules import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"))
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumn("host_failure", F.round("host_failure", 9)).withColumn("host_low", F.round("host_low", 9))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(BY_QUERY)

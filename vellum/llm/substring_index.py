@@ -5,7 +5,7 @@ earlier run has, with the place of its first occurrence, sorted by hash: one row
 ranges of the hash, its columns packed (sorted hashes as differences, bytes of like weight together). Runs are bucketed tables, so they are
 never shuffled again.
 
-1. A batch of documents is hashed where it is scanned. Windows that repeat within some half a million are told there, so
+1. A batch of documents is hashed where it is scanned. Windows that repeat within some quarter of a million are told there, so
    that a passage of a third of all rows reaches its bucket once for each such stretch, not for each row.
 2. The batch's windows are dealt to the buckets and merge-joined with the runs: what no run has and
    comes first in the batch is the next run; the rest are candidates, with the place they repeat.
@@ -21,7 +21,7 @@ greatest), so an earlier run never holds a later document. Order is by doc_id an
 repeat a doc_id do not precede each other at the same place.
 
 Nulls: a null text has no words. Texts under 20 words lose nothing. Empty tables give empty results.
-Very long texts are hashed half a million windows at a time. Other columns are not read.
+Very long texts are hashed a quarter of a million windows at a time. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, cleaned_shuffles, text_or_empty
+from vellum.llm.common import Scratch, text_or_empty, writing
 from vellum.llm.repeats import C1, KEY, Units, covered, segments, spans, sums
 from vellum.llm.suffix_dedup import gathered, keyed, with_spans
 
 WORDS = Units("words", 20, 4, 4)
 BATCHES, MAX_RUNS = 4, 2
 #: Windows hashed at a time, windows of a bucket (about), bytes of text in a group.
-CHUNK, BUCKET, GROUP = 1 << 19, 1 << 19, 8 << 20
+CHUNK, BUCKET, GROUP = 1 << 18, 1 << 18, 4 << 20
 #: What a word and the gap after it take at least, on average, in any text worth the name.
 BYTES_PER_WORD = 6
 HIT = pa.struct([("id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("id0", pa.int64()), ("start0", pa.int32())])
@@ -288,7 +288,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"run-{uuid.uuid4().hex}"
         table = self.tables[name] = f"vellum_{name.replace('-', '_')}"
-        with cleaned_shuffles(self.spark):
+        with writing(self.spark):
             rows.write.format("parquet").option("path", f"{self.path}/{name}").option("compression", "zstd").bucketBy(self.buckets, "bucket").saveAsTable(table)
         return name
 
