@@ -24,14 +24,23 @@ def lengths(toks: DataFrame, key: str) -> DataFrame:
     return toks.groupBy(key).agg(F.count("*").alias("dl"))
 
 
+def weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """The document-side BM25 weight of a token."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def ordered_tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, pos, tok: as tokens(), with each token's place."""
+    return rows.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+
+
 def postings(rows: DataFrame, key: str, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """key, tok, w: document-side BM25 weights. The average length is one row beside the table."""
     toks = tokens(rows, key, text)
     tf = term_counts(toks, key)
     dl = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
     avg = dl.agg(F.avg("dl").alias("avgdl"))
-    w = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(dl, key).crossJoin(F.broadcast(avg)).select(key, "tok", w.alias("w"))
+    return tf.join(dl, key).crossJoin(F.broadcast(avg)).select(key, "tok", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b).alias("w"))
 
 
 def document_frequency(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -40,9 +49,12 @@ def document_frequency(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.select("tok", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
-def vocabulary(toks: DataFrame) -> DataFrame:
+def vocabulary(toks: DataFrame, folder: str | None = None) -> DataFrame:
     """tok, idx: dense ids by sorted order, from 0. Numbers are given inside sorted ranges and offset by the counts before them."""
     ranged = toks.select("tok").distinct().orderBy("tok").withColumn("_p", F.spark_partition_id())
+    if folder:  # the ranges are drawn from a sample: written once, both uses below see the same ones
+        ranged.write.mode("overwrite").parquet(folder)
+        ranged = toks.sparkSession.read.parquet(folder)
     counts = ranged.groupBy("_p").count()
     starts = counts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     return ranged.join(F.broadcast(starts), "_p").select("tok", (F.col("_s") + F.row_number().over(Window.partitionBy("_p").orderBy("tok")) - 1).alias("idx"))
@@ -55,7 +67,7 @@ def sparse_scores(queries: DataFrame, qid: str, posted: DataFrame, key: str, idf
 
 
 def dense_scores(queries: DataFrame, qid: str, vectors: DataFrame, key: str) -> DataFrame:
-    """qid, key, score: dot products of unit vectors. Every query meets every vector, in blocks of the queries' side."""
+    """qid, key, score: dot products of unit vectors. Exact, so every query meets every vector; top() keeps k a query in each task before anything is shuffled."""
     return vectors.join(queries.select(qid, F.col("vec").alias("_q")), F.lit(True)).select(qid, key, F.round(dot(F.col("vec"), F.col("_q")), 9).alias("score"))
 
 

@@ -13,34 +13,18 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import checks, evaluation, fingerprint, glossary, parse, search
-
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
+from vellum.plans.base import known, load, query, sql_of
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # the RFC's namespace for URLs
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return dict(known)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dict(sql_of)
 
 
 # ---- lines and paragraphs
@@ -514,3 +498,6 @@ def group_counts(spark, sf_dir):
 def roundtrip_mismatches(spark, sf_dir):
     joined = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return joined.where(~F.col("quality").eqNullSafe(F.lit(1))).select("doc_id", "lang", "quality")
+
+
+from vellum.plans import audit, conversion, service  # noqa: E402, F401 (they register themselves)
