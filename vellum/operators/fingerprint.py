@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def per_group(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\0")
-    return rows.groupBy(by).agg(F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
+def per_group(rows: DataFrame, by: str, order: str, text: str, first: str | None = None) -> DataFrame:
+    """by, fingerprint (16 hex digits). Texts stream through one digest a group in order, so no group is held; nulls are left out.
+
+    `first`, where given, stands before all texts, as the name of a model does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, digest, begun = None, None, False
+
+        def done() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([group], batch.schema.field(0).type), pa.array([digest.hexdigest()[:16]])], [by, "fingerprint"])
+
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if digest is None or key != group:
+                    if digest is not None:
+                        yield done()
+                    group, digest, begun = key, hashlib.sha256((first or "").encode()), first is not None
+                if value is not None:
+                    digest.update((b"\0" if begun else b"") + value.encode())
+                    begun = True
+        if digest is not None:
+            yield done()
+
+    ordered = rows.select(by, order, text).repartition(by).sortWithinPartitions(by, order, text)
+    return ordered.mapInArrow(run, f"{by} {rows.schema[by].dataType.simpleString()}, fingerprint string")

@@ -61,12 +61,11 @@ class SearchIndex:
         return first.groupBy(qid).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("oov"))
 
 
-def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.tokens, buckets: int = BUCKETS, k1: float = search.K1, b: float = search.B, contract: dict | None = None) -> SearchIndex:
-    """Writes the index of `points` (key, text and payload). `tokenizer` is any function like search.tokens."""
+def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.tokens, buckets: int = BUCKETS, k1: float = search.K1, b: float = search.B, contract: dict | None = None, payload: list[str] | None = None) -> SearchIndex:
+    """Writes the index of `points`, with those columns kept that `payload` names (all, if none). `tokenizer` is any function like search.tokens."""
     spark, path = points.sparkSession, path.rstrip("/")
     save = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
-    save(points, "points")
-    points = spark.read.parquet(f"{path}/points")
+    save(points if payload is None else points.select(*payload), "points")
     tf = search.term_counts(tokenizer(points, key, text), key)
     save(tf, "counts")
     tf = spark.read.parquet(f"{path}/counts")
@@ -76,6 +75,17 @@ def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.to
     posted = spark.read.parquet(f"{path}/postings")
     save(posted.groupBy("bucket", "tok").agg(F.count("*").alias("df")).sortWithinPartitions("bucket", "tok"), "terms", "bucket")
     sizes = dl.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("with_tokens")).first()
-    manifest = {"points": points.count(), "avgdl": sizes["avgdl"] or 0.0, "vocab_size": spark.read.parquet(f"{path}/terms").count(), "k1": k1, "b": b, "buckets": buckets, "key": key, "text": text, **(contract or {})}
+    manifest = {"points": spark.read.parquet(f"{path}/points").count(), "avgdl": sizes["avgdl"] or 0.0, "vocab_size": spark.read.parquet(f"{path}/terms").count(), "k1": k1, "b": b, "buckets": buckets, "key": key, "text": text, **(contract or {})}
     spark.createDataFrame([manifest]).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return SearchIndex(spark, path)
+
+
+def hybrid(index: SearchIndex, queries: DataFrame, qid: str, vectors: DataFrame, query_vectors: DataFrame, k: int = 10, must: dict | None = None, must_not: dict | None = None, text: str = "text") -> DataFrame:
+    """Both branches see the same filter before their first PREFETCH; statistics are the whole corpus's. The corpus is not read."""
+    key, p = index.manifest["key"], search.allowed(must, must_not)
+    sparse = index.sparse_scores(search.tokens(queries, qid, text).distinct(), qid)
+    if p is not None:
+        ids = index.points.where(p).select(key)
+        sparse, vectors = sparse.join(ids, key, "left_semi"), vectors.join(ids, key, "left_semi")
+    dense = search.dense_scores(query_vectors, qid, vectors, key)
+    return search.fuse([search.top(sparse, qid, key), search.top(dense, qid, key)], qid, key, k)

@@ -97,26 +97,15 @@ def allowed(must: dict[str, list] | None = None, must_not: dict[str, list] | Non
     return found
 
 
-def hybrid(queries: DataFrame, qid: str, docs: DataFrame, key: str, vectors: DataFrame, query_vectors: DataFrame, k: int = 10, must: dict | None = None, must_not: dict | None = None) -> DataFrame:
-    """Both branches see the same filter before their first PREFETCH; statistics are the whole corpus's."""
-    posted = postings(docs, key)
-    idf = document_frequency(posted, docs.agg(F.count("*").alias("n")))
-    p = allowed(must, must_not)
-    ids = docs if p is None else docs.where(p)
-    ids = ids.select(key)
-    sparse = top(sparse_scores(queries, qid, posted if p is None else posted.join(ids, key, "left_semi"), key, idf), qid, key)
-    dense = top(dense_scores(query_vectors, qid, vectors if p is None else vectors.join(ids, key, "left_semi"), key), qid, key)
-    return fuse([sparse, dense], qid, key, k)
-
-
 def exclusion_counts(baseline: DataFrame, qid: str, docs: DataFrame, key: str, excluded: Column) -> DataFrame:
     """qid, n_hits, n_excluded: how many hits of the search without opt-outs they would hide."""
     return baseline.join(docs, key).groupBy(qid).agg(F.count("*").alias("n_hits"), F.count(F.when(excluded, 1)).alias("n_excluded"))
 
 
-def one_per_logical(hits: DataFrame, qid: str, logical: Column) -> DataFrame:
-    """The best-ranked hit of each logical paragraph."""
-    return hits.withColumn("logical", logical).withColumn("_r", F.row_number().over(Window.partitionBy(qid, "logical").orderBy("rank"))).where("_r = 1").drop("_r")
+def one_per_logical(hits: DataFrame, qid: str, logical: Column, k: int | None = None) -> DataFrame:
+    """The best-ranked hit of each logical paragraph, and of these the first k."""
+    best = hits.withColumn("logical", logical).withColumn("_r", F.row_number().over(Window.partitionBy(qid, "logical").orderBy("rank"))).where("_r = 1").drop("_r")
+    return best if k is None else best.withColumn("_r", F.row_number().over(Window.partitionBy(qid).orderBy("rank"))).where(F.col("_r") <= k).drop("_r")
 
 
 def context(targets: DataFrame, rows: DataFrame, scope: str, width: int) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import checks, evaluation, fingerprint, glossary, parse, search
-from vellum.plans.base import known, load, query, sql_of
+from vellum.operators import checks, evaluation, fingerprint, glossary, index, parse, search
+from vellum.plans.base import known, load, new_folder, once, query, sql_of
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # the RFC's namespace for URLs
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -192,9 +192,14 @@ def dense_sides(spark, sf_dir):
     return v.select(F.col("vec_id").alias("doc_id"), "vec"), load(spark, sf_dir, "benchmark").join(v, F.col("item_id") == F.col("vec_id")).select("item_id", "vec")
 
 
+def doc_index(spark, sf_dir) -> index.SearchIndex:
+    """Built once; the searches below read its buckets and never the documents."""
+    docs = load(spark, sf_dir, "documents")
+    return once(spark, sf_dir, "doc-index", lambda path: index.build(docs, path, "doc_id", "text", payload=["doc_id", "lang", "source"]))
+
+
 def sparse_hits(spark, sf_dir):
-    _, posted, idf = corpus(spark, sf_dir)
-    return search.sparse_scores(load(spark, sf_dir, "benchmark"), "item_id", posted, "doc_id", idf)
+    return doc_index(spark, sf_dir).sparse_scores(search.tokens(load(spark, sf_dir, "benchmark"), "item_id").distinct(), "item_id")
 
 
 @query(f"with {TF} select doc_id, tok, round(w, 9) as w from post")
@@ -215,13 +220,13 @@ def doc_length_avgdl(spark, sf_dir):
 
 @query(f"with {TF}, v as (select distinct tok from t) select tok, (row_number() over (order by tok) - 1)::bigint as idx from v")
 def vocab_ids(spark, sf_dir):
-    return search.vocabulary(search.tokens(load(spark, sf_dir, "documents"), "doc_id"))
+    return search.vocabulary(search.tokens(load(spark, sf_dir, "documents"), "doc_id"), new_folder(spark, "vocabulary"))
 
 
 @query(f"with {TF} select distinct item_id, tok from q where tok not in (select tok from idf)")
 def oov_tokens(spark, sf_dir):
-    q = search.tokens(load(spark, sf_dir, "benchmark"), "item_id").distinct()
-    return q.join(search.tokens(load(spark, sf_dir, "documents"), "doc_id").select("tok").distinct(), "tok", "left_anti").select("item_id", "tok")
+    found = doc_index(spark, sf_dir).out_of_vocabulary(search.ordered_tokens(load(spark, sf_dir, "benchmark"), "item_id"), "item_id")
+    return found.select("item_id", F.explode("oov").alias("tok"))
 
 
 RANKED = "row_number() over (partition by item_id order by score desc, doc_id) as rank"
@@ -248,7 +253,7 @@ f as (select item_id, doc_id, round(sum(1 / (60.0::double + rank)), 9) as score
 
 def fused(spark, sf_dir, k=10, must=None, must_not=None):
     vectors, asked = dense_sides(spark, sf_dir)
-    return search.hybrid(load(spark, sf_dir, "benchmark"), "item_id", load(spark, sf_dir, "documents"), "doc_id", vectors, asked, k, must, must_not).select("item_id", "doc_id", "rank", "score")
+    return index.hybrid(doc_index(spark, sf_dir), load(spark, sf_dir, "benchmark"), "item_id", vectors, asked, k, must, must_not).select("item_id", "doc_id", "rank", "score")
 
 
 @query(fused_sql())
@@ -268,12 +273,13 @@ def rrf_sparse_only_when_no_dense(spark, sf_dir):
 
 @query(f"with h as ({fused_sql()}) select item_id, count(*) as n_hits, count(case when lang in ('de', 'es') then 1 end) as n_excluded from h join documents using (doc_id) group by item_id")
 def search_exclusion_counts(spark, sf_dir):
-    return search.exclusion_counts(fused(spark, sf_dir), "item_id", load(spark, sf_dir, "documents"), "doc_id", F.col("lang").isin("de", "es"))
+    return search.exclusion_counts(fused(spark, sf_dir), "item_id", doc_index(spark, sf_dir).points, "doc_id", F.col("lang").isin("de", "es"))
 
 
-@query(f"with h as ({fused_sql()}), r as (select *, doc_id // 10 as logical, row_number() over (partition by item_id, doc_id // 10 order by rank) as n from h) select item_id, logical, doc_id, rank from r where n = 1")
+@query(f"with h as ({fused_sql().replace('rank <= 10', 'rank <= 100')}), r as (select *, doc_id // 10 as logical, row_number() over (partition by item_id, doc_id // 10 order by rank) as n from h), o as (select *, row_number() over (partition by item_id order by rank) as place from r where n = 1) select item_id, logical, doc_id, rank from o where place <= 10")
 def logical_dedupe(spark, sf_dir):
-    return search.one_per_logical(fused(spark, sf_dir), "item_id", F.floor(F.col("doc_id") / 10).cast("long")).select("item_id", "logical", "doc_id", "rank")
+    """The best hit of each logical paragraph, before the limit of ten."""
+    return search.one_per_logical(fused(spark, sf_dir, 2 * search.PREFETCH), "item_id", F.floor(F.col("doc_id") / 10).cast("long"), 10).select("item_id", "logical", "doc_id", "rank")
 
 
 @query("with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as seq from conversations) select a.conv_id, a.seq as target_seq, b.seq, b.seq <> a.seq as is_context from c a join c b on a.conv_id = b.conv_id and abs(a.seq - b.seq) <= 2 where a.turn % 3 = 0")
@@ -348,7 +354,7 @@ select conv_id, count(gc) as n_gold, count(case when gc is not null and ec is no
 def citation_recall(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     cited = c.select("conv_id", F.explode(T.citations(cited_text())).alias("code"))
-    return evaluation.cited_recall(c.select("conv_id", F.expr("concat('KSA:', conv_id % 5)").alias("code")), cited, "conv_id", "code")
+    return evaluation.cited_recall(c.select("conv_id", F.expr("concat('KSA:', conv_id % 5)").alias("code")), cited, "conv_id", "code").drop("hit", "missed", "extra")
 
 
 @query("""with s as (select page_id % 5 as scope, string_agg(regexp_replace(html, '<[^>]*>', '', 'g'), ' ' order by page_id) as stream from pages group by 1),
@@ -359,9 +365,8 @@ c as (select item_id, there, case when there then greatest(1, length(line) // 40
 select item_id, case when there then 'OK' when hit / n >= 0.5 then 'PARTIAL' else 'MISSING' end as bucket, case when there then 1.0 else round(hit / n, 3) end as rate from c""")
 def containment_audit(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("scope"), "page_id", F.regexp_replace("html", "<[^>]*>", "").alias("t"))
-    streams = pages.groupBy("scope").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "t"))), lambda x: x["t"]), " ").alias("stream"))
     lines = load(spark, sf_dir, "benchmark").select("item_id", F.lit(0).alias("line_no"), F.col("text").alias("line"), (F.col("item_id") % 5).alias("scope"))
-    return evaluation.containment(lines, streams, "item_id", "scope")
+    return evaluation.containment(lines, pages, "item_id", "scope", "page_id", "t").select("item_id", "bucket", "rate")
 
 
 # ---- sets, windows, checks
