@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 U = "(?U)"  # Unicode classes, as the patterns of the domain expect
 
 
+#: Marks of footnotes in a text and at its end.
+FOOTNOTE_MARK, FOOTNOTE_TAIL = r"\[\^\d+\]", rf"{U}한\d+\)\s*$"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at either end, of any kind that Unicode knows."""
+    return F.regexp_replace(c, rf"{U}^\s+|\s+$", "")
+
+
 def gloss_disp(c: Column) -> Column:
     """A term as shown: footnote marks, bold marks and doubled spaces go."""
-    c = F.regexp_replace(F.regexp_replace(c, r"\[\^\d+\]", ""), rf"{U}^\s+|\s+$", "")
-    c = F.regexp_replace(F.replace(F.regexp_replace(c, rf"{U}한\d+\)\s*$", ""), F.lit("*"), F.lit("")), rf"{U}\s+", " ")
-    return F.trim(c)
+    bare = F.regexp_replace(strip(F.regexp_replace(c, FOOTNOTE_MARK, "")), FOOTNOTE_TAIL, "")
+    return F.trim(F.regexp_replace(F.translate(bare, "*", ""), rf"{U}\s+", " "))
 
 
 def gloss_norm(c: Column) -> Column:
@@ -97,13 +105,15 @@ def lower_latin(c: Column) -> Column:
     return F.when(c.rlike("^[A-Za-z]+$"), F.lower(c)).otherwise(c)
 
 
+#: The forms of synthetic numbers that hold the original one.
+EXAMPLE_NUMBER, APPENDIX_NUMBER, BASIS_NUMBER = r"^IE사례\d+[A-Z]?-(.+)$", r"^(?:IE|BC)부록([A-Z])-(.+)$", r"^BC-(.+)$"
+
+
 def original_number(c: Column) -> Column:
     """The number in the source that a synthetic id was made from, or null."""
-    return (
-        F.when(c.rlike(r"^IE사례\d+[A-Z]?-.+$"), F.regexp_extract(c, r"^IE사례\d+[A-Z]?-(.+)$", 1))
-        .when(c.rlike(r"^(IE|BC)부록[A-Z]-.+$"), F.concat(F.regexp_extract(c, r"부록([A-Z])-", 1), F.regexp_extract(c, r"부록[A-Z]-(.+)$", 1)))
-        .when(c.rlike(r"^BC-.+$"), F.substring(c, 4, 10_000))
-    )
+    part = lambda form, k: F.regexp_extract(c, form, k)
+    found = F.when(c.rlike(EXAMPLE_NUMBER), part(EXAMPLE_NUMBER, 1)).when(c.rlike(APPENDIX_NUMBER), F.concat(part(APPENDIX_NUMBER, 1), part(APPENDIX_NUMBER, 2)))
+    return found.when(c.rlike(BASIS_NUMBER), part(BASIS_NUMBER, 1))
 
 
 def nfkc(c: Column) -> Column:
@@ -113,31 +123,37 @@ def nfkc(c: Column) -> Column:
     return F.pandas_udf(run, "string")(c)
 
 
-#: Signs that count as the same when texts are compared.
+#: Signs that count as the same when texts are compared, and signs that count for nothing.
 SAME_FROM, SAME_TO = "‘’“”–—−―∼〜ㆍ•…‥", "''\"\"----~~··.."
+IGNORED = r"[:：「」『』〈〉《》녂녃\[\]{}'\"\s]"
+#: What a line of markdown holds beside its text: rules of tables, notes, bullets, marks of items.
+RULE, INLINE_NOTE, BULLET = r"^[\s\-:|]+$", r"\[각주:[^\]]*\]", r"^[-*•·▪◦>]\s*"
+APPENDIX_ITEM, ITEM = r"^부록-\([a-z0-9]{1,3}\)[\s.]*", r"^\((?:[a-zA-Z]{1,4}|\d{1,2}|[ⅰ-ⅻ]{1,4})\)[\s.]*"
 
 
 def audit_norm(c: Column) -> Column:
     """Comparable form of a text: NFKC, quotes, dashes and dots folded, brackets, colons and all white space gone."""
-    c = F.translate(nfkc(F.translate(c, "․", "·")), SAME_FROM, SAME_TO)
-    return F.regexp_replace(c, rf"{U}[:：「」『』〈〉《》녂녃\[\]{{}}'\"\s]", "")
+    folded = F.translate(nfkc(F.translate(c, "․", "·")), SAME_FROM, SAME_TO)
+    return F.regexp_replace(folded, U + IGNORED, "")
 
 
 def markdown_norm(c: Column) -> Column:
     """Comparable form of a line of markdown; rules between table rows become empty."""
-    t = F.replace(F.regexp_replace(F.regexp_replace(c, rf"{U}^\s+|\s+$", ""), r"^\|", ""), F.lit("|"), F.lit(" "))
-    u = F.replace(F.regexp_replace(F.regexp_replace(t, r"\*+", ""), r"\[\^\d+\]", " "), F.lit("<br>"), F.lit(" "))
-    u = F.regexp_replace(F.regexp_replace(u, r"\[각주:[^\]]*\]", " "), r"^[-*•·▪◦>]\s*", "")
-    u = F.regexp_replace(u, r"^부록-\([a-z0-9]{1,3}\)[\s.]*", "")
-    u = F.regexp_replace(u, r"^\((?:[a-zA-Z]{1,4}|\d{1,2}|[ⅰ-ⅻ]{1,4})\)[\s.]*", "")
-    return F.when(t.rlike(rf"{U}^[\s\-:|]+$"), F.lit("")).otherwise(audit_norm(u))
+    cells = F.translate(F.regexp_replace(strip(c), r"^\|", ""), "|", " ")
+    text = F.translate(cells, "*", "")
+    for pattern, instead in ((FOOTNOTE_MARK, " "), ("<br>", " "), (INLINE_NOTE, " "), (BULLET, ""), (APPENDIX_ITEM, ""), (ITEM, "")):
+        text = F.regexp_replace(text, pattern, instead)
+    return F.when(cells.rlike(U + RULE), F.lit("")).otherwise(audit_norm(text))
 
 
-def restore_shifted(shift: int, low: int, high: int, share: float = 1 / 3):
-    """A Pandas UDF that moves code points in [low, high] by shift where at least `share` of a line's are in it."""
+def restore_shifted(shift: int, low: int, high: int, parts: int = 3):
+    """A Pandas UDF that moves code points in [low, high] by shift, in lines of which one in `parts` is there, not counting blanks at the ends and rounding down, and one at least."""
 
     def fix(line: str) -> str:
-        inside = sum(low <= ord(ch) <= high for ch in line)
-        return line if not line or inside < share * len(line) else "".join(chr(ord(ch) + shift) if low <= ord(ch) <= high else ch for ch in line)
+        shifted = lambda ch: low <= ord(ch) <= high
+        bare = line.strip()
+        if not bare or sum(map(shifted, bare)) < max(1, len(bare) // parts):
+            return line
+        return "".join(chr(ord(ch) + shift) if shifted(ch) else ch for ch in line)
 
     return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else fix(x)), "string")

@@ -5,50 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import gloss_norm, last_segment, occurrences
+from vellum.functions.text import gloss_norm, last_segment, occurrences, strip
 
 MAX_DEFINITIONS = 5
+#: The title of a section of definitions; the forms in which texts define a term.
+DEFINITION_SECTION = r"^(용어의\s*)?정의\s*(\([^)]*\))?$"
+MARKED_TERM = r"\*([^*\n:：]{1,60}?)\s*(?:[:：]\s*\*|\*\s*[:：])"
+ITEM_TERM, DASH, BULLET = r"^\s*\(([a-z]{1,4})\)\s*(.+)$", r"(?:\s*[–—―-]\s+|\s+[–—―-]\s*)", r"^\s*[-•]\s*"
+STOPPED_TERM = r"^([^.]{2,50}?(?:\([A-Za-z ,'-]+\))?)\.\s+(.{10,})"
+PROSE_TERM = r"사용(?:하는|되는)\s*[“\"]?([^“”\"\s]{2,25}?)[”\"]?이?란\s"
+ITEM_MARK = r"^[a-z]{1,3}\.\s*"
+#: Kinds of paragraphs that define nothing, and the kind that always does.
+NO_SOURCE, DEFINES = ["결론도출근거", "적용사례"], "정의"
 
 
 def colon_terms(rows: DataFrame, key: str, document: str = "document") -> DataFrame:
     """key, term, definition of paragraphs of the form `term: definition`."""
     d = F.col(document)
-    return rows.where(F.instr(d, ":") > 0).select(key, F.trim(F.substring_index(d, ":", 1)).alias("term"), F.trim(F.expr(f"substring({document}, instr({document}, ':') + 1)")).alias("definition"))
+    return rows.where(F.instr(d, ":") > 0).select(key, strip(F.substring_index(d, ":", 1)).alias("term"), strip(F.expr(f"substring({document}, instr({document}, ':') + 1)")).alias("definition"))
 
 
 def in_definition_section(section: Column) -> Column:
-    return last_segment(section).rlike(r"^(용어의\s*)?정의\s*(\([^)]*\))?$")
+    return last_segment(section).rlike(DEFINITION_SECTION)
 
 
 def marked_terms(rows: DataFrame, key: str, document: str = "document") -> DataFrame:
     """key, pos, term, definition: from each *term:* mark to the next."""
-    mark = r"\*([^*\n:：]{1,60}?)\s*(?:[:：]\s*\*|\*\s*[:：])"
-    terms = F.regexp_extract_all(F.col(document), F.lit(mark), F.lit(1))
-    bodies = F.slice(F.split(F.col(document), mark), 2, 1_000_000)
+    terms = F.regexp_extract_all(F.col(document), F.lit(MARKED_TERM), F.lit(1))
+    cut = F.split(F.col(document), MARKED_TERM)
+    bodies = F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0)))
     both = rows.select(key, F.posexplode(F.arrays_zip(terms.alias("term"), bodies.alias("body"))).alias("pos", "x"))
-    return both.select(key, "pos", F.trim(F.replace(F.col("x.term"), F.lit("*"), F.lit(""))).alias("term"), F.trim(F.regexp_replace(F.col("x.body"), r"\*+", "")).alias("definition"))
+    return both.select(key, "pos", strip(F.translate("x.term", "*", "")).alias("term"), strip(F.translate("x.body", "*", "")).alias("definition"))
 
 
 def dash_terms(rows: DataFrame, key: str, document: str = "document") -> DataFrame:
     """key, pos, term, definition of lines `(a) term - definition` (dash within 40 characters) or `(a) term. definition`."""
-    dash = r"(?:\s*[–—―-]\s+|\s+[–—―-]\s*)"
-    line = rows.select(key, F.posexplode(F.split(document, "\n")).alias("pos", "line")).withColumn("line", F.regexp_replace(F.trim("line"), r"^[-•]\s*", ""))
-    item = F.regexp_extract("line", r"^\s*\(([a-z]{1,4})\)\s*(.+)$", 2)
+    line = rows.select(key, F.posexplode(F.split(document, "\n")).alias("pos", "line")).withColumn("line", F.regexp_replace(strip(F.col("line")), BULLET, ""))
+    item = F.regexp_extract("line", ITEM_TERM, 2)
     line = line.withColumn("marked", item != "").withColumn("body", F.when(item != "", item).otherwise(F.col("line")))
-    by_dash = F.regexp_extract("body", rf"^(.{{0,40}}?){dash}(.*)$", 1), F.regexp_extract("body", rf"^.{{0,40}}?{dash}(.*)$", 1)
-    stop = r"^([^.]{2,50}?(?:\([A-Za-z ,'-]+\))?)\.\s+(.{10,})"
-    by_stop = F.regexp_extract("body", stop, 1), F.regexp_extract("body", stop, 2)
-    dashed = F.col("body").rlike(rf"^.{{0,40}}?{dash}")
-    pick = [F.when(dashed, a).when(F.col("marked"), b).otherwise(F.lit("")) for a, b in zip(by_dash, by_stop)]
-    found = line.select(key, "pos", F.trim(pick[0]).alias("term"), F.trim(pick[1]).alias("definition"))
+    dashed = F.col("body").rlike(rf"^.{{0,40}}?{DASH}")
+    term = F.when(dashed, F.regexp_extract("body", rf"^(.{{0,40}}?){DASH}(.*)$", 1)).when(F.col("marked"), F.regexp_extract("body", STOPPED_TERM, 1)).otherwise(F.lit(""))
+    definition = F.when(dashed, F.regexp_extract("body", rf"^.{{0,40}}?{DASH}(.*)$", 1)).when(F.col("marked"), F.regexp_extract("body", STOPPED_TERM, 2)).otherwise(F.lit(""))
+    found = line.select(key, "pos", strip(term).alias("term"), strip(definition).alias("definition"))
     found = found.where((F.length("term") > 0) & (F.length("term") <= 40) & (F.length("definition") >= 5))
-    return found.withColumn("term", F.regexp_replace("term", r"^[a-z]{1,3}\.\s*", ""))
+    return found.withColumn("term", F.regexp_replace("term", ITEM_MARK, ""))
 
 
 def prose_terms(rows: DataFrame, key: str, found: DataFrame, document: str = "document") -> DataFrame:
     """key, term, definition of paragraphs without other terms that say `... used term means`."""
-    term = F.regexp_extract(document, r"사용(?:하는|되는)\s*[“\"]?([^“”\"\s]{2,25}?)[”\"]?이?란\s", 1)
-    return rows.join(found.select(key).distinct(), key, "left_anti").where(term != "").select(key, term.alias("term"), F.trim(document).alias("definition"))
+    term = F.regexp_extract(document, PROSE_TERM, 1)
+    return rows.join(found.select(key).distinct(), key, "left_anti").where(term != "").select(key, term.alias("term"), strip(F.col(document)).alias("definition"))
+
+
+def extracted(records: DataFrame) -> DataFrame:
+    """The glossary of a corpus: source_id, pos, term, term_norm, definition, standard_no, source_type, form.
+
+    records: composite_id, standard_no, source_type, para_type, section_path, document. Definition paragraphs give one
+    term each; sections of definitions give marked terms in accounting standards, in auditing standards terms by line and,
+    where a paragraph has none, by prose. Conclusions and examples define nothing.
+    """
+    rows = records.where(~F.col("para_type").isin(NO_SOURCE)).withColumnRenamed("composite_id", "source_id")
+    dedicated = rows.where(F.col("para_type") == DEFINES)
+    inside = rows.where((F.col("para_type") != DEFINES) & in_definition_section(F.col("section_path")))
+    auditing = inside.where("source_type = '감사기준'")
+    lines = dash_terms(auditing, "source_id")
+    forms = {
+        "paragraph": colon_terms(dedicated, "source_id").withColumn("pos", F.lit(0)),
+        "marked": marked_terms(inside.where("source_type = '회계기준'"), "source_id"),
+        "line": lines,
+        "prose": prose_terms(auditing, "source_id", lines).withColumn("pos", F.lit(0)),
+    }
+    out = None
+    for name, found in forms.items():
+        found = found.select("source_id", "pos", "term", "definition", F.lit(name).alias("form"))
+        out = found if out is None else out.unionByName(found)
+    return out.join(rows.select("source_id", "standard_no", "source_type"), "source_id").withColumn("term_norm", gloss_norm(F.col("term")))
 
 
 def longest_matches(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
@@ -60,8 +91,9 @@ def longest_matches(texts: DataFrame, key: str, text: str, terms: DataFrame) ->
 
 
 def result_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, picked: DataFrame) -> DataFrame:
-    """key, term, cnt: terms counted in result texts, not nested in what the query itself named; most frequent first, up to twice MAX_DEFINITIONS in all."""
-    bare = texts.groupBy(key).agg(F.concat_ws(" ", F.collect_list(text)).alias("_t")).withColumn("_t", F.regexp_replace("_t", r"(?U)\s+", ""))
+    """key, term, cnt: terms counted in result texts (key, rank, text), not nested in what the query itself named; most frequent first, up to twice MAX_DEFINITIONS in all."""
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("rank", text))), lambda x: x[text])
+    bare = texts.groupBy(key).agg(F.array_join(inside, " ").alias("_t")).withColumn("_t", F.regexp_replace("_t", r"(?U)\s+", ""))
     hits = bare.join(terms.select("term", "ord"), F.expr("instr(_t, term) > 0")).select(key, "term", "ord", occurrences(F.col("_t"), F.col("term")).alias("cnt"))
     own = picked.select(F.col(key).alias("_k"), F.col("term").alias("_p"))
     hits = hits.join(own, (F.col(key) == F.col("_k")) & F.expr("instr(_p, term) > 0"), "left_anti")

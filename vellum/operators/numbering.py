@@ -2,66 +2,117 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: The formats a number may have; any other gives none. Letters go round after z.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def formatted(kind: str, n: int) -> str | None:
+    if kind == "decimal":
+        return str(n)
+    if kind in ("lowerLetter", "upperLetter"):
+        at = LETTERS[(n - 1) % len(LETTERS)]
+        return at.upper() if kind == "upperLetter" else at
+    return None
+
 
-def letter(n: int) -> str:
-    out = ""
-    while n > 0:
-        n, r = divmod(n - 1, 26)
-        out = chr(97 + r) + out
-    return out
+def given(x) -> bool:
+    return x is not None and not pd.isna(x)
 
 
 def expand(rows: pd.DataFrame) -> pd.DataFrame:
-    """Adds label: counters per list and level; a start override counts at its first use, deeper levels start anew, %k in a template is level k."""
+    """Adds label. Counters belong to the abstract list, which several lists may share; a list's own start counts at its first use.
+
+    A number takes the deeper levels back to their starts; %k in a template is level k, empty if the list has no
+    such level. A bullet, an empty template and a level of another format give no label.
+    """
     rows = rows.sort_values("pos")
-    counters: dict[tuple, int] = {}
-    formats: dict[tuple, str] = {}
-    labels = []
-    for r in rows.itertuples():
-        if r.list_id is None or pd.isna(r.list_id):
+    abstract = rows["abstract_id"] if "abstract_id" in rows else rows["list_id"]
+    override = rows["override"] if "override" in rows else [None] * len(rows)
+    levels: dict = {}
+    for a, level, kind, start in zip(abstract, rows["level"], rows["format"], rows["start"]):
+        if given(a):
+            levels.setdefault(a, {}).setdefault(level, (kind, int(start) if given(start) else 1))
+    counters: dict = {}
+    begun, labels = set(), []
+    for a, own, level, kind, template, first in zip(abstract, rows["list_id"], rows["level"], rows["format"], rows["template"], override):
+        if not given(own) or not given(a):
             labels.append(None)
             continue
-        key = (r.list_id, r.level)
-        counters[key] = counters.get(key, (1 if pd.isna(r.start) else int(r.start)) - 1) + 1
-        formats[key] = r.format
-        for other in [k for k in counters if k[0] == r.list_id and k[1] > r.level]:
-            del counters[other]
-        label = r.template
-        for level in range(r.level + 1):
-            n = counters.get((r.list_id, level), 1)
-            label = label.replace(f"%{level + 1}", letter(n) if formats.get((r.list_id, level)) == "lowerLetter" else str(n))
-        labels.append(label)
+        here = counters.setdefault(a, {})
+        if (own, level) not in begun:
+            begun.add((own, level))
+            if given(first):
+                here[level] = int(first) - 1
+        here[level] = here.get(level, levels[a][level][1] - 1) + 1
+        counters[a] = here = {k: n for k, n in here.items() if k <= level}
+        parts = {k: formatted(f, here.get(k, s)) for k, (f, s) in levels[a].items()}
+        wanted = [int(k) - 1 for k in re.findall(r"%(\d)", template or "")]
+        if kind == "bullet" or not template or any(k in parts and parts[k] is None for k in wanted):
+            labels.append(None)
+        else:
+            labels.append(re.sub(r"%(\d)", lambda m: parts.get(int(m[1]) - 1, ""), template))
     return rows.assign(label=labels)
 
 
 def numbering_expand(rows: DataFrame, by: str) -> DataFrame:
-    """rows: by, pos int, list_id, level int, format, template, start double."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    """rows: by, pos int, list_id, level int, format, template, start double, and perhaps abstract_id and override (a list's own start) -> with label."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.groupBy(by).applyInPandas(expand, f"{kinds}, label string")
 
 
+class SyntheticNumbers:
+    """Numbers for what hangs on a standard, line by line.
+
+    Native numbers stay. In zone BC the number follows `BC-`; in the others a letter series gives `IE부록X-n`, and so does a number
+    under an appendix section; any other number is in the scope of an example, which rises when a number does not,
+    begins anew at a section (with the number that names, if any) and is 1 at least. What makes no number gives None.
+    """
+
+    plain, lettered = re.compile(r"^\d+[0-9A-Za-z.]*$"), re.compile(r"^([A-Z])(\d+[A-Z]?)$")
+
+    def __init__(self):
+        self.scope, self.last, self.title = 0, None, ""
+
+    def section(self, title: str) -> None:
+        named = re.search(r"사례\s*(\d+)", title)
+        self.scope, self.last, self.title = int(named[1]) if named else self.scope + 1, None, title
+
+    def number(self, zone: str, number: str) -> str | None:
+        letter, plain = self.lettered.match(number), self.plain.match(number)
+        if number.startswith(("BC", "IE", "IG")):
+            return number
+        if number.startswith("CU") or not (letter or plain):
+            return None
+        if zone.upper() == "BC":
+            return f"BC-{number}"
+        if letter:
+            return f"IE부록{letter[1]}-{letter[2]}"
+        if appendix := re.match(r"부록\s*([A-Z])\b", self.title):
+            return f"IE부록{appendix[1]}-{number}"
+        digits = tuple(map(int, re.findall(r"\d+", number)))
+        self.scope = max(1, self.scope + (self.last is not None and digits <= self.last))
+        self.last = digits
+        return f"IE사례{self.scope}-{number}"
+
+
 def scoped(rows: pd.DataFrame) -> pd.DataFrame:
-    """Adds synthetic_id: the zone's prefix and number; the scope of examples rises when a number does not."""
+    """Adds synthetic_id, null where a number makes none."""
     rows = rows.sort_values("pos")
-    scope, last, out = 1, None, []
-    for r in rows.itertuples():
-        number = tuple(int(x) for x in "".join(c if c.isdigit() else " " for c in r.number).split())
-        if r.number[:2] in ("BC", "IE", "IG"):
-            out.append(r.number)
-        elif r.zone == "BC":
-            out.append(f"BC-{r.number}")
-        else:
-            if last is not None and number <= last:
-                scope += 1
-            last = number
-            out.append(f"IE사례{scope}-{r.number}")
+    numbers, before, out = SyntheticNumbers(), None, []
+    for zone, number, section in zip(rows["zone"], rows["number"], rows["section"] if "section" in rows else [None] * len(rows)):
+        if given(section) and section != before:
+            numbers.section(section)
+            before = section
+        out.append(numbers.number(zone if given(zone) else "", number) if given(number) else None)
     return rows.assign(synthetic_id=out)
 
 
 def synthetic_number_scope(rows: DataFrame, by: str) -> DataFrame:
-    """rows: by, pos, zone, number."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    """rows: by, pos, zone, number, and perhaps section (the heading in force)."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.groupBy(by).applyInPandas(scoped, f"{kinds}, synthetic_id string")

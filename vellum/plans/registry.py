@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import checks, evaluation, fingerprint, glossary, index, parse, search
+from vellum.plans import more_sql
 from vellum.plans.base import known, load, new_folder, once, query, sql_of
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # the RFC's namespace for URLs
@@ -166,7 +167,7 @@ def para_series(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy("source", T.para_series(F.upper("source")).alias("series"), F.substring("source", 1, 3).alias("head")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(more_sql.NORMS)
 def norm_nfkc(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", T.audit_norm(F.col("text")).alias("norm"), T.markdown_norm(F.concat(F.lit("| **"), F.col("text"), F.lit("** |"))).alias("line"))
 
@@ -412,7 +413,7 @@ def next_marker_slice(spark, sf_dir):
 # ---- glossary
 
 
-@query("with d as (select doc_id, replace(text, '.', ':') as text from documents) select doc_id, trim(substr(text, 1, strpos(text, ':') - 1), ' ') as term, sha256(trim(substr(text, strpos(text, ':') + 1), ' ')) as digest from d where strpos(text, ':') > 0")
+@query(more_sql.COLON)
 def glossary_extract(spark, sf_dir):
     return glossary.colon_terms(load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("."), F.lit(":")).alias("text")), "doc_id", "text").select("doc_id", "term", F.sha2("definition", 256).alias("digest"))
 
@@ -435,16 +436,17 @@ def representative_pick(spark, sf_dir):
     return glossary.representative(e, "label", F.col("ord") % 7 == 0, F.col("ord") % 3 == 0).select("label", F.col("ord").alias("vec_id"))
 
 
-@query()
+@query(more_sql.LEVELS)
 def term_match_levels(spark, sf_dir):
     terms = load(spark, sf_dir, "benchmark").select(F.expr("concat_ws(' ', slice(split(text, ' '), 1, 3))").alias("term"), F.col("item_id").alias("ord"), F.concat(F.lit("DOC::"), F.col("item_id").cast("string")).alias("source_id"))
     asked = terms.select(F.expr("element_at(split(term, ' '), cast(1 + ord % 3 as int))").alias("raw")).distinct()
     return glossary.term_levels(asked, terms)
 
 
-@query()
+@query(more_sql.injected(fused_sql().replace("rank <= 10", "rank <= 3")))
 def definition_injection(spark, sf_dir):
-    terms = some_terms(spark, sf_dir).withColumn("ord", F.xxhash64("term"))
+    cut = F.expr("substring(regexp_replace(text, '\\\\s+', ''), 1, cast(3 + item_id % 20 as int))")
+    terms = load(spark, sf_dir, "benchmark").select(cut.alias("term"), "item_id").groupBy("term").agg(F.min("item_id").alias("ord"))
     items = load(spark, sf_dir, "benchmark")
     picked = glossary.longest_matches(items, "item_id", "text", terms)
     texts = fused(spark, sf_dir, 3).join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -454,7 +456,7 @@ def definition_injection(spark, sf_dir):
 # ---- sequential folds
 
 
-@query()
+@query(more_sql.LABELS)
 def numbering_expand(spark, sf_dir):
     from vellum.operators.numbering import numbering_expand
 

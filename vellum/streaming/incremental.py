@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def upsert(spark: SparkSession, target: str, batch: DataFrame, key: str, epoch: int) -> None:
-    """Appends a batch under its epoch; a batch that runs again replaces itself, so a retry changes nothing."""
-    batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(target)
+    """Appends a batch, the last row of each key in it, under its epoch; a batch that runs again replaces itself, so a retry changes nothing."""
+    one = batch.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in batch.columns if c != key) or [key]))).where("_r = 1").drop("_r")
+    one.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(target)
 
 
 def current(spark: SparkSession, target: str, key: str) -> DataFrame:
@@ -18,6 +19,13 @@ def current(spark: SparkSession, target: str, key: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("epoch")))).where("_r = 1").drop("_r", "epoch")
 
 
+def compact(spark: SparkSession, target: str, key: str, compacted: str) -> DataFrame:
+    """Writes the latest row of each key to a new target under the last epoch, so that epochs do not pile up; later batches go there."""
+    last = spark.read.parquet(target).agg(F.max("epoch")).first()[0]
+    current(spark, target, key).withColumn("epoch", F.lit(last)).write.mode("overwrite").partitionBy("epoch").parquet(compacted)
+    return spark.read.parquet(compacted)
+
+
 def build(rows: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
     """rows: a streaming frame of paragraphs."""
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda b, epoch: upsert(b.sparkSession, target, b, key, epoch)).start()
