@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: While a table is written: shuffle files go when the write ends, as what it wrote is read instead; and texts
 #: reach Python a thousand rows at a time, so that long ones do not add up.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+CLEANUP, ROWS_AT_ONCE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextlib.contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
-    before = {k: spark.conf.get(k) for k in WRITING}
-    for k, v in WRITING.items():
-        spark.conf.set(k, v)
+def writing(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in (CLEANUP, ROWS_AT_ONCE)}
+    spark.conf.set(CLEANUP, "true")
+    spark.conf.set(ROWS_AT_ONCE, str(rows))
     try:
         yield
     finally:

@@ -2,16 +2,16 @@
 
 The log is a folder of immutable runs. A run holds the 64-bit rolling hash of every window that no
 earlier run has, with the place of its first occurrence, sorted by hash: one row for each of `buckets`
-ranges of the hash, its columns packed (sorted hashes as differences, bytes of like weight together). Runs are bucketed tables, so they are
-never shuffled again.
+ranges of the hash, its columns packed (sorted hashes as differences, bytes of like weight together), some
+`RANGES` rows a file. Runs are bucketed tables, so they are never shuffled again.
 
-1. A batch of documents is hashed where it is scanned. Windows that repeat within some quarter of a million are told there, so
+1. A batch of documents is hashed where it is scanned. Windows that repeat within some million are told there, so
    that a passage of a third of all rows reaches its bucket once for each such stretch, not for each row.
 2. The batch's windows are dealt to the buckets and merge-joined with the runs: what no run has and
    comes first in the batch is the next run; the rest are candidates, with the place they repeat.
 3. Candidates go to their documents, where those that run on in both places become one stretch, told by
    the digest (128 bits, BLAKE2) of its words. Each is verified: the words at the place it repeats must
-   have that digest. Should two different windows share a hash, the stretch is tried window by window,
+   have that digest (what goes round within a text is held against the text itself). Should two different windows share a hash, the stretch is tried window by window,
    and windows that only share the hash are settled among themselves by digest; the log keeps those.
 4. With more than `max_runs` runs, all are compacted into one, bucket by bucket.
 
@@ -21,7 +21,7 @@ greatest), so an earlier run never holds a later document. Order is by doc_id an
 repeat a doc_id do not precede each other at the same place.
 
 Nulls: a null text has no words. Texts under 20 words lose nothing. Empty tables give empty results.
-Very long texts are hashed a quarter of a million windows at a time. Other columns are not read.
+Very long texts are hashed a million windows at a time. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,8 +42,10 @@ from vellum.llm.suffix_dedup import gathered, keyed, with_spans
 
 WORDS = Units("words", 20, 4, 4)
 BATCHES, MAX_RUNS = 4, 2
-#: Windows hashed at a time, windows of a bucket (about), bytes of text in a group.
-CHUNK, BUCKET, GROUP = 1 << 18, 1 << 18, 4 << 20
+#: Windows hashed at a time, windows of a bucket (about: its row stays well below a megabyte), buckets of a file, bytes of text in a group.
+CHUNK, BUCKET, RANGES, GROUP = 1 << 20, 1 << 15, 32, 4 << 20
+#: Rows of buckets that reach Python at once.
+AT_ONCE = 8
 #: What a word and the gap after it take at least, on average, in any text worth the name.
 BYTES_PER_WORD = 6
 HIT = pa.struct([("id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("id0", pa.int64()), ("start0", pa.int32())])
@@ -200,6 +202,8 @@ def compacted(runs: int):
             for r in range(len(batch)):
                 row = [batch.column(k)[r].as_py() for k in range(1 + 3 * runs)]
                 there = [row[1 + 3 * k : 4 + 3 * k] for k in range(runs) if row[1 + 3 * k] is not None]
+                if not there:
+                    continue
                 h = np.concatenate([unpack_sorted(t[0]) for t in there])
                 order = np.argsort(h, kind="stable")
                 ids, start = (np.concatenate([unpack(t[k], kind) for t in there])[order] for k, kind in ((1, np.int64), (2, np.int32)))
@@ -214,9 +218,14 @@ def digest(words: list[bytes]) -> bytes:
 
 
 def stretches(units: Units, apart: bool):
-    """(group, id, text_hash, text), (group, HIT) -> REQUEST: hits joined as far as they run on; one by one if `apart`, or where rows share an id."""
+    """(group, id, text_hash, text), (group, HIT) -> REQUEST: hits joined as far as they run on; one by one if `apart`, or where rows share an id.
+
+    A window that names the same place as an earlier one of its own text is held against that one, here and
+    now; found equal it repeats it, and stands in a row without a place. So what goes round in a text asks once.
+    """
     names = [c.split()[0] for c in REQUEST.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    width = units.window
 
     def run(texts: pa.Table, hits: pa.Table) -> pa.Table:
         found = ordered([np.asarray(hits.column(c).combine_chunks()).astype(np.int64) for c in ("id", "start", "windows", "id0", "start0")])
@@ -224,20 +233,32 @@ def stretches(units: Units, apart: bool):
         twice = {i for i, n in zip(*np.unique(np.array(ids, np.int64), return_counts=True)) if n > 1}
         rows = []
         for i, text_hash, text in zip(ids, texts.column("text_hash").to_pylist(), texts.column("text")):
-            lo, hi = np.searchsorted(found[0], [i, i + 1]) if i < (1 << 63) - 1 else (np.searchsorted(found[0], i), len(found[0]))
+            lo, hi = np.searchsorted(found[0], i), np.searchsorted(found[0], i, "right")
             if lo == hi:
                 continue
-            own = [x[lo:hi] for x in found]
-            if apart or i in twice:
-                step = np.concatenate([np.arange(n) for n in own[2]])
-                own = [np.repeat(x, own[2]) for x in own]
-                own = [own[0], own[1] + step, np.ones(len(step), np.int64), own[3], own[4] + step]
-            else:
-                own = aligned(own)
             words = units.split(text.as_py())
-            for _, s, n, i0, s0 in zip(*(x.tolist() for x in own)):
-                if s + n + units.window - 1 <= len(words):
-                    rows.append((i, text_hash, s, n, i0, s0, digest(words[s : s + n + units.window - 1])))
+            many = found[2][lo:hi]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            start, i0, s0 = (np.repeat(found[k][lo:hi], many) for k in (1, 3, 4))
+            start, s0 = start + step, s0 + step
+            start, i0, s0 = np.unique(np.column_stack([start, i0, s0])[start + width <= len(words)], axis=0).T  # rows that repeat an id and text give a hit each
+            if not apart:
+                order = np.lexsort((start, s0, i0))
+                first = np.r_[True, (np.diff(i0[order]) != 0) | (np.diff(s0[order]) != 0)][: len(order)]
+                earlier = np.empty(len(order), np.int64)
+                earlier[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
+                again = np.flatnonzero(earlier != np.arange(len(order)))
+                equal = again[[words[a : a + width] == words[b : b + width] for a, b in zip(start[again].tolist(), start[earlier[again]].tolist())]] if len(again) else again
+                if len(equal):
+                    s = np.sort(start[equal])
+                    edge = np.flatnonzero(np.r_[True, np.diff(s) > 1])
+                    rows += [(i, text_hash, a, n, None, None, None) for a, n in zip(s[edge].tolist(), np.diff(np.append(edge, len(s))).tolist())]
+                    rest = np.ones(len(start), bool)
+                    rest[equal] = False
+                    start, i0, s0 = start[rest], i0[rest], s0[rest]
+            own = [np.full(len(start), i), start, np.ones(len(start), np.int64), i0, s0]
+            for _, s, n, a, b in zip(*(x.tolist() for x in (own if apart or i in twice else aligned(own)))):
+                rows.append((i, text_hash, s, n, a, b, digest(words[s : s + n + width - 1])))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
     return run
@@ -276,6 +297,10 @@ class FingerprintIndex:
             state = json.loads(spark.read.text(f"{self.path}/manifest-{known[-1]}").first()[0])
             self.version, self.runs, self.buckets, self.bits = known[-1], state["runs"], state["buckets"], state["bits"]
 
+    @property
+    def files(self) -> int:
+        return -(-self.buckets // RANGES)
+
     def _commit(self, runs: list[str]) -> None:
         """The next manifest; only then are runs that it does not name deleted."""
         state = json.dumps({"runs": runs, "buckets": self.buckets, "bits": self.bits})
@@ -288,29 +313,30 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"run-{uuid.uuid4().hex}"
         table = self.tables[name] = f"vellum_{name.replace('-', '_')}"
-        with writing(self.spark):
-            rows.write.format("parquet").option("path", f"{self.path}/{name}").option("compression", "zstd").bucketBy(self.buckets, "bucket").saveAsTable(table)
+        with writing(self.spark, AT_ONCE):
+            rows.write.format("parquet").option("path", f"{self.path}/{name}").option("compression", "zstd").bucketBy(self.files, "bucket").sortBy("bucket").saveAsTable(table)
         return name
 
     def table(self, name: str) -> DataFrame:
         """A run as a table bucketed by hash range."""
         if name not in self.tables:
             table = self.tables[name] = f"vellum_{uuid.uuid4().hex}"
-            self.spark.sql(f"create table {table} ({RUN}) using parquet clustered by (bucket) into {self.buckets} buckets location '{self.path}/{name}'")
+            self.spark.sql(f"create table {table} ({RUN}) using parquet clustered by (bucket) sorted by (bucket) into {self.files} buckets location '{self.path}/{name}'")
         return self.spark.table(self.tables[name])
 
-    def _joined(self, rows: DataFrame | None, how: str) -> DataFrame:
+    def _joined(self, rows: DataFrame) -> DataFrame:
+        """A row a bucket, and beside it what each run has there: all are dealt alike, so no run moves."""
         for k, name in enumerate(self.runs):
             run = self.table(name).select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("hash", "id", "start")))
-            rows = run if rows is None else rows.hint("merge").join(run.hint("merge"), "bucket", how)
+            rows = rows.hint("merge").join(run.hint("merge"), "bucket", "left")
         return rows
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Merge-joins a batch of documents with the runs, appends what is new, and gives the candidates: HIT rows."""
         texts = keyed(docs).select("id", "text")
         parts = texts.mapInArrow(windows(self.units, self.buckets, self.bits), "bucket int, hash binary, id binary, start binary, hits binary")
-        parts = parts.repartition(self.buckets, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("hash", "id", "start", "hits")).alias("parts"))
-        rows = self._joined(parts, "left")
+        parts = parts.repartition(self.files, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("hash", "id", "start", "hits")).alias("parts"))
+        rows = self._joined(parts)
         name = self._write(rows.mapInArrow(merged(len(self.runs)), RUN))
         self._commit([*self.runs, name])
         return self.table(name).select(F.explode("hits").alias("h")).select("h.*")
@@ -318,7 +344,8 @@ class FingerprintIndex:
     def compact_if_many(self) -> None:
         """One run of all. Candidates of these runs are to be read before."""
         if len(self.runs) > self.max_runs:
-            rows = self._joined(None, "full")
+            every = self.spark.range(self.buckets).select(F.col("id").cast("int").alias("bucket"))
+            rows = self._joined(every.repartition(self.files, "bucket"))
             self._commit([self._write(rows.mapInArrow(compacted(len(self.runs)), RUN))])
 
     def _grouped(self, rows: DataFrame, key: str, groups: int) -> DataFrame:
@@ -336,23 +363,28 @@ class FingerprintIndex:
 
     def repeats(self, docs: DataFrame, hits: DataFrame, corpus: DataFrame, scratch: Scratch, groups: int) -> DataFrame:
         """KEY, start, end of the words of docs that repeat. corpus: the texts of all batches so far, of which those that candidates name are read."""
+        return self.settled(docs, scratch.write(self.requests(docs, hits, groups), f"asked-{self.version}"), corpus, scratch, groups)
+
+    def settled(self, docs: DataFrame, told: DataFrame, corpus: DataFrame, scratch: Scratch, groups: int) -> DataFrame:
+        """KEY, start, end of requests (of one batch, or of several at once) that hold."""
         key = ["id0", "start0", "windows", "digest"]
-        asked = scratch.write(self.requests(docs, hits, groups), f"asked-{self.version}")
+        here, asked = told.where("id0 is null").select(*KEY, "start", "windows"), told.where("id0 is not null")
         good = scratch.write(self.borne_out(corpus, asked, groups), f"good-{self.version}")
         sure, doubt = asked.join(good, key, "left_semi"), asked.join(good, key, "left_anti")
         side = f"{self.path}/collisions"
         if not doubt.isEmpty():
             alone = scratch.write(self.requests(docs, doubt.select("id", "start", "windows", "id0", "start0").distinct(), groups, apart=True), f"alone-{self.version}")
             good = scratch.write(self.borne_out(corpus, alone, groups), f"good-alone-{self.version}")
-            sure = sure.unionByName(alone.join(good, key, "left_semi"))
+            sure = sure.select(*KEY, "start", "windows").unionByName(alone.join(good, key, "left_semi").select(*KEY, "start", "windows"))
             left = scratch.write(alone.join(good, key, "left_anti").select(*KEY, "start", "windows", "digest"), f"left-{self.version}")
             firsts = left.select("digest", "id", "start")
             if self._files.exists(self._path(side)):
                 firsts = firsts.unionByName(self.spark.read.parquet(side))
             firsts = firsts.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"))
             later = left.join(firsts, "digest").where((F.col("id") > F.col("first.id")) | ((F.col("id") == F.col("first.id")) & (F.col("start") > F.col("first.start"))))
-            sure = sure.select(*KEY, "start", "windows").unionByName(scratch.write(later.select(*KEY, "start", "windows"), f"later-{self.version}"))
+            sure = sure.unionByName(scratch.write(later.select(*KEY, "start", "windows"), f"later-{self.version}"))
             left.select("digest", "id", "start").write.mode("append").parquet(side)
+        sure = sure.select(*KEY, "start", "windows").unionByName(here)
         return sure.select(*KEY, "start", (F.col("start") + F.col("windows") + (self.units.window - 1)).alias("end"))
 
 
@@ -385,12 +417,12 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring-index")
     size = docs.agg(F.sum(F.octet_length(text_or_empty(docs)))).first()[0] or 0
     index = FingerprintIndex(spark, f"{scratch.root}/log", size // BYTES_PER_WORD // BUCKET + 1, max_runs, bits=bits)
-    groups, found = size // GROUP + 1, None
+    groups, hits = size // GROUP + 1, None
     for number, batch in enumerate(batches_of(docs, batches)):
-        hits = index.add(batch)
-        part = scratch.write(index.repeats(batch, hits, docs, scratch, groups), f"repeats-{number}")
-        found = part if found is None else found.unionByName(part)
+        part = scratch.write(index.add(batch), f"hits-{number}")
+        hits = part if hits is None else hits.unionByName(part)
         index.compact_if_many()
+    found = index.repeats(docs, hits, docs, scratch, groups)
     spans_ = scratch.write(gathered(found.distinct()), "spans")
     rows = with_spans(docs, spans_).select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).cast("binary").alias("text"), spans_["starts"], spans_["ends"])
     return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
