@@ -201,3 +201,62 @@ def test_library_without_the_training_operators():
     """With that subpackage absent the rest imports, and registers the same queries."""
     code = "import sys; sys.modules['vellum.llm'] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'rrf_hybrid_topk' in q and 'pipeline' not in q and not any(k.startswith('op1') for k in q) and set(o) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_contained_strings(spark):
+    """Every string in every text, short and long, by scope and without, against Python."""
+    import random
+
+    from vellum.operators.containment import contained
+
+    rng = random.Random(2)
+    texts = [(i, i % 2, "".join(rng.choice("ab é") for _ in range(n))) for i, n in enumerate([0, 5, 22, 23, 24, 60, 300, 300, 2000])] + [(9, 1, None), (10, 0, "a" * 500)]
+    cuts = [(t, t[a : a + n]) for _, _, t in texts if t for n in (1, 7, 22, 23, 24, 40, 290) for a in [rng.randrange(max(1, len(t) - n))] if len(t) >= n]
+    strings = sorted({(s, k) for _, s in cuts for k in (0, 1)} | {("zz", 0), ("a" * 100, 0), ("x" * 50, 1)})
+    left, right = spark.createDataFrame(texts, "k int, scope int, t string"), spark.createDataFrame(strings, "s string, scope int")
+    found = {(r.k, r.s) for r in contained(left, ["k"], "t", right, "s", ["scope"]).collect()}
+    assert found == {(k, s) for k, g, t in texts if t for s, h in strings if g == h and s in t}
+    whole = {(r.k, r.s) for r in contained(left, ["k"], "t", right.select("s").distinct(), "s").collect()}
+    assert whole == {(k, s) for k, _, t in texts if t for s, _ in strings if s in t}
+
+
+def test_external_vectors(spark):
+    from vellum.operators import checks
+
+    records = spark.createDataFrame([("a",), ("b",)], "cid string")
+    vectors = lambda *v: spark.createDataFrame([(k, x) for k, x in zip("abc", v)], "cid string, v array<double>")
+    found, warnings = checks.external_vectors(records, vectors([3.0, 4.0], [0.6, 0.8]), "cid", "v", 2)
+    assert {r.cid: [round(x, 9) for x in r.v] for r in found.collect()} == {"a": [0.6, 0.8], "b": [0.6, 0.8]} and len(warnings) == 1
+    for wrong in (vectors([1.0], [0.6, 0.8]), vectors([float("nan"), 1.0], [0.6, 0.8]), vectors([1.0, 0.0]), vectors([1.0, 0.0], [1.0, 0.0], [1.0, 0.0])):
+        with pytest.raises(ValueError):
+            checks.external_vectors(records, wrong, "cid", "v", 2)
+    tokens = spark.createDataFrame([("a", "x")] * 3 + [("b", "x")], "cid string, tok string")
+    checks.refuse_over_limit(tokens, "cid", 3)
+    with pytest.raises(ValueError, match="'a', 3"):
+        checks.refuse_over_limit(tokens, "cid", 2)
+
+
+def test_own_tokenizer_and_encoder(spark, tmp_path):
+    from vellum.operators import search
+    from vellum.operators.index import build
+
+    def letters(rows, key, text="text"):
+        return rows.select(key, F.posexplode(F.split(F.col(text), "")).alias("pos", "tok"))
+
+    made = build(spark.createDataFrame([(1, "abca"), (2, "bd")], "k int, text string"), str(tmp_path / "i"), "k", "text", letters, 2)
+    asked = spark.createDataFrame([(7, "axbx")], "q int, text string")
+    assert sorted(r.tok for r in made.tokens(asked, "q", "text").collect()) == ["a", "b", "x"]
+    assert made.out_of_vocabulary(made.tokenizer(asked, "q", "text"), "q").first().oov == ["x"]
+    assert {r.k for r in made.sparse_scores(made.tokens(asked, "q", "text"), "q").collect()} == {1, 2} and made.manifest["avgdl"] == 3.0
+    found = search.encoded(asked, "q", "text", lambda texts: [[len(t), 0.5] for t in texts]).first()
+    assert found.vec == [4.0, 0.5]
+
+
+def test_whole_responses(spark, made):
+    from vellum.operators.service import search_responses
+
+    request = spark.createDataFrame([(1, "joint control of revenue", None, None, None, 2, None, None, None), (2, "", None, None, None, None, None, None, None)], "qid int, query string, standard_no array<string>, source_type array<string>, para_type string, top_k int, include_examples boolean, include_bc boolean, include_framework boolean")
+    vectors = made.points.select("point", F.array(F.lit(1.0), F.lit(0.0)).alias("vec"))
+    found = {r.qid: r for r in search_responses(made, request, spark.createDataFrame([(1, [1.0, 0.0])], "qid int, vec array<double>"), vectors, entries(spark)).collect()}
+    assert [r.rank for r in found[1].results] == [1, 2] and found[1].definitions[0].term == "joint control" and found[1].applied.bc_excluded >= 0 and found[1].error is None
+    assert found[2].error.code == "INVALID_INPUT" and found[2].results is None and found[2].definitions is None and found[2].applied is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import l2_norm
+from vellum.functions.text import l2_norm, l2_normalise
 
 
 def continuity(rows: DataFrame, by: str, seq: str, first: int = 1) -> DataFrame:
@@ -157,6 +157,21 @@ def over_token_limit(tokens: DataFrame, key: str, limit: int = 8192) -> DataFram
     return tokens.groupBy(key).agg(F.count("*").alias("n_tokens")).where(F.col("n_tokens") > limit)
 
 
+def refuse_over_limit(tokens: DataFrame, key: str, limit: int = 8192) -> None:
+    """Stops a build that holds a text beyond the limit, with some of their keys."""
+    if over := [(r[0], r["n_tokens"]) for r in over_token_limit(tokens, key, limit).orderBy(key).limit(10).collect()]:
+        raise ValueError(f"beyond {limit} tokens: {over}")
+
+
+def external_vectors(records: DataFrame, vectors: DataFrame, key: str, vector: str, dim: int) -> tuple[DataFrame, list[str]]:
+    """Records with vectors computed elsewhere, by key, and warnings. Other keys, lengths or values that are not finite are refused; vectors that are not of length 1 are made so."""
+    problems = {r["problem"]: r["count"] for r in vector_problems(vectors, key, vector, dim).groupBy("problem").count().collect()}  # a row for each kind
+    if fatal := {k: n for k, n in problems.items() if k != "norm"}:
+        raise ValueError(f"vectors refused: {fatal}")
+    joined = joined_by_key(records, vectors, key)
+    return joined.withColumn(vector, l2_normalise(F.col(vector))), [f"{problems['norm']} vectors were not of length 1"] if problems else []
+
+
 def roundtrip(records: DataFrame, stored: DataFrame, key: str, text: str) -> DataFrame:
     """key: records whose stored copy is missing or differs."""
     kept = stored.select(key, F.col(text).alias("_s"), F.lit(True).alias("_there"))

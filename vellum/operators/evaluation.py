@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import original_number, strip_pattern
+from vellum.operators.containment import contained
 
 
 def recall_at(hits: DataFrame, gold: DataFrame, qid: str, item: str, ks: tuple = (5, 10, 20)) -> DataFrame:
@@ -47,6 +48,17 @@ def segments(pages: DataFrame, scope: str, order: str, text: str, overlap: int,
     return rows.groupBy(scope, "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_t"))), lambda x: x["_t"]), "").alias("stream"))
 
 
+def with_fallbacks(pages: DataFrame, fallbacks: DataFrame, scope: str, order: str) -> DataFrame:
+    """The pages of every scope with those of the scopes it falls back on. fallbacks: scope, source, rank (its own rank first, as 0); order becomes (rank, order)."""
+    named = fallbacks.select(F.col(scope).alias("_to"), F.col("source").alias(scope), "rank")
+    return pages.join(named, scope).withColumn(order, F.struct("rank", F.col(order))).drop(scope, "rank").withColumnRenamed("_to", scope)
+
+
+def probe_ranks(hits: DataFrame, targets: DataFrame, qid: str, item: str) -> DataFrame:
+    """qid, rank: where each probe's target came, null if it did not. Recorded, not a gate."""
+    return targets.select(qid, item).distinct().join(hits.groupBy(qid, item).agg(F.min("rank").alias("rank")), [qid, item], "left").groupBy(qid).agg(F.min("rank").alias("rank"))
+
+
 def containment(lines: DataFrame, pages: DataFrame, key: str, scope: str, order: str, text: str, width: int = 40, guide: Column | None = None) -> DataFrame:
     """key, bucket, rate, n_failed: are a paragraph's lines (key, scope, line_no, line; comparable forms) in their scope's pages (scope, order, text)?
 
@@ -67,7 +79,7 @@ def containment(lines: DataFrame, pages: DataFrame, key: str, scope: str, order:
     plain, bare = (segments(x, scope, order, text, longest).withColumn("bare", F.lit(b)) for x, b in ((pages, False), (pages.withColumn(text, F.replace(text, F.lit("-"), F.lit(""))), True)))
     streams = plain.unionByName(bare.join(lines.where("_guide").select(scope).distinct(), scope, "left_semi"))
     asked = rows.select(scope, "bare", "probe").distinct()
-    there = asked.join(streams, (asked[scope] == streams[scope]) & (asked["bare"] == streams["bare"]) & F.contains("stream", "probe"), "left_semi").withColumn("there", F.lit(True))
+    there = contained(streams, [scope, "bare", "segment"], "stream", asked, "probe", [scope, "bare"]).select(scope, "bare", "probe").distinct().withColumn("there", F.lit(True))
     rows = rows.join(there, [scope, "bare", "probe"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
     per_line = rows.groupBy(key, "line_no", "_n").agg(F.max(F.col("whole") & F.col("there")).alias("ok"), F.count(F.when(~F.col("whole"), 1)).alias("_c"), F.count(F.when(~F.col("whole") & F.col("there"), 1)).alias("_h"))
     n = F.when(F.col("ok"), F.greatest(F.lit(1), F.floor(F.col("_n") / width))).otherwise(F.col("_c"))

@@ -19,10 +19,10 @@ def bucket(tok: Column, buckets: int) -> Column:
 
 
 class SearchIndex:
-    """An index in `path`, as `build` left it."""
+    """An index in `path`, as `build` left it. `tokenizer` gives (key, pos, tok) of rows, and is to be the one it was built with."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, tokenizer=search.ordered_tokens):
+        self.spark, self.path, self.tokenizer = spark, path.rstrip("/"), tokenizer
         self.manifest = spark.read.json(f"{self.path}/manifest").first().asDict()
 
     def table(self, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ class SearchIndex:
         n = F.lit(float(self.manifest["points"]))
         return self.table("terms").withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
+    def tokens(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+        """key, tok: each token of a row once."""
+        return self.tokenizer(rows, key, text).select(key, "tok").distinct()
+
     def _of(self, asked: DataFrame) -> tuple[DataFrame, list[int]]:
         """The tokens asked for with their buckets, and these buckets: at most as many numbers as there are buckets."""
         asked = asked.withColumn("bucket", bucket(F.col("tok"), self.manifest["buckets"]))
@@ -61,8 +65,8 @@ class SearchIndex:
         return first.groupBy(qid).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("oov"))
 
 
-def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.tokens, buckets: int = BUCKETS, k1: float = search.K1, b: float = search.B, contract: dict | None = None, payload: list[str] | None = None) -> SearchIndex:
-    """Writes the index of `points`, with those columns kept that `payload` names (all, if none). `tokenizer` is any function like search.tokens."""
+def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.ordered_tokens, buckets: int = BUCKETS, k1: float = search.K1, b: float = search.B, contract: dict | None = None, payload: list[str] | None = None) -> SearchIndex:
+    """Writes the index of `points`, with those columns kept that `payload` names (all, if none). `tokenizer` is any function like search.ordered_tokens."""
     spark, path = points.sparkSession, path.rstrip("/")
     save = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
     save(points if payload is None else points.select(*payload), "points")
@@ -77,13 +81,13 @@ def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.to
     sizes = dl.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("with_tokens")).first()
     manifest = {"points": spark.read.parquet(f"{path}/points").count(), "avgdl": sizes["avgdl"] or 0.0, "vocab_size": spark.read.parquet(f"{path}/terms").count(), "k1": k1, "b": b, "buckets": buckets, "key": key, "text": text, **(contract or {})}
     spark.createDataFrame([manifest]).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return SearchIndex(spark, path)
+    return SearchIndex(spark, path, tokenizer)
 
 
 def hybrid(index: SearchIndex, queries: DataFrame, qid: str, vectors: DataFrame, query_vectors: DataFrame, k: int = 10, must: dict | None = None, must_not: dict | None = None, text: str = "text") -> DataFrame:
     """Both branches see the same filter before their first PREFETCH; statistics are the whole corpus's. The corpus is not read."""
     key, p = index.manifest["key"], search.allowed(must, must_not)
-    sparse = index.sparse_scores(search.tokens(queries, qid, text).distinct(), qid)
+    sparse = index.sparse_scores(index.tokens(queries, qid, text), qid)
     if p is not None:
         ids = index.points.where(p).select(key)
         sparse, vectors = sparse.join(ids, key, "left_semi"), vectors.join(ids, key, "left_semi")

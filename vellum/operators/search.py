@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,12 @@ def ordered_tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
 
 
+def encoded(rows: DataFrame, key: str, text: str, encode) -> DataFrame:
+    """key, vec: texts through an encoder, a function from a list of texts to as many vectors, in Arrow batches."""
+    run = F.pandas_udf(lambda s: pd.Series([[float(x) for x in v] for v in encode(s.tolist())], dtype=object), "array<double>")
+    return rows.select(key, run(F.col(text)).alias("vec"))
+
+
 def postings(rows: DataFrame, key: str, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """key, tok, w: document-side BM25 weights. The average length is one row beside the table."""
     toks = tokens(rows, key, text)

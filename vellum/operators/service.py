@@ -130,7 +130,7 @@ def ranked_hits(index: SearchIndex, asked: DataFrame, query_vectors: DataFrame,
     key = index.manifest["key"]
     filters = asked.select("qid", F.col("standard_no").alias("f_standard"), F.col("source_type").alias("f_source"), F.col("para_type").alias("f_type"), "hide_types", "hide_standards")
     payload = index.points.select(key, "standard_no", "source_type", "para_type")
-    toks = search.tokens(asked, "qid", "query").distinct()
+    toks = index.tokens(asked, "qid", "query")
     lists = []
     for scored in (index.sparse_scores(toks, "qid"), search.dense_scores(query_vectors.join(asked.select("qid"), "qid", "left_semi"), "qid", vectors, key)):
         rows = scored.join(payload, key).join(filters, "qid").where(_wanted())
@@ -167,8 +167,8 @@ def search_points(index: SearchIndex, requests: DataFrame, query_vectors: DataFr
         count(hidden & F.col("para_type").isin(BC_TYPES)).alias("bc_excluded"),
         count(F.array_contains("hide_standards", F.col("standard_no"))).alias("framework_excluded"),
     )
-    oov = index.out_of_vocabulary(search.ordered_tokens(asked, "qid", "query"), "qid")
-    known = search.tokens(asked, "qid", "query").distinct().groupBy("qid").agg(F.count("*").alias("n_tokens"))
+    oov = index.out_of_vocabulary(index.tokenizer(asked, "qid", "query"), "qid")
+    known = index.tokens(asked, "qid", "query").groupBy("qid").agg(F.count("*").alias("n_tokens"))
     applied = asked.join(counts, "qid", "left").join(oov, "qid", "left").join(known, "qid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     no_tokens = F.coalesce(F.size("oov"), F.lit(0)) >= zero("n_tokens")
@@ -211,6 +211,18 @@ def injected_definitions(asked: DataFrame, results: DataFrame, entries: DataFram
     return picked.select("qid", "pos", "term", F.col("source_id").alias("source_cid"), "standard_no", F.col("definition").alias("text"))
 
 
+def search_responses(index: SearchIndex, requests: DataFrame, query_vectors: DataFrame, vectors: DataFrame, entries: DataFrame) -> DataFrame:
+    """The whole answer to each request in one row: qid, error, results and definitions in order, applied. One that is not valid has its error alone."""
+    results, applied, checked = search_points(index, requests, query_vectors, vectors)
+    definitions = injected_definitions(requests.select("qid", "query", "standard_no").join(applied.select("qid"), "qid", "left_semi"), results, entries)
+    listed = lambda rows, order, name: rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in rows.columns if c not in ("qid", order))))).alias(name))
+    whole = checked.join(applied.select("qid", F.struct(*(c for c in applied.columns if c != "qid")).alias("applied")), "qid", "left")
+    for rows, order, name in ((results, "rank", "results"), (definitions, "pos", "definitions")):
+        found = listed(rows, order, name)
+        whole = whole.join(found, "qid", "left").withColumn(name, F.when(F.col("error").isNull(), F.coalesce(name, F.array().cast(found.schema[name].dataType))))
+    return whole
+
+
 def define_terms(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """requests: rid, terms (array), context_standard -> rid, pos, raw, error, matched, source_cid, standard_no, text, alternates; a term that is not found has no match.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import checks, evaluation, parse, search
 from vellum.plans.base import load, query
-from vellum.plans.registry import RECALL, per_query
+from vellum.plans.registry import RECALL, fused, gold_pairs, per_query
 from vellum.plans.service import POINTS, points
 
 SENTENCES = "l as (select doc_id, row_number() over (partition by doc_id order by n) - 1 as line_no, line from (select doc_id, generate_subscripts(w, 1) as n, unnest(w) as line from (select doc_id, string_split(replace(replace(text, '. ', '.' || chr(10)), '? ', '?' || chr(10)), chr(10)) as w from documents where text is not null)))"
@@ -179,3 +179,18 @@ def load_gate(spark, sf_dir):
     dense = F.when(F.col("vec_id") % 9 == 0, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding"))
     vectors = made.select("composite_id", "doc_id").join(load(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id")).select("composite_id", dense.alias("dense"))
     return checks.load_gate(made, vectors, 1000, 64)
+
+
+@query("""with m as (select s.scope, f.source, f.rank from (select unnest(range(5)) as scope) s, lateral (select s.scope as source, 0 as rank union all select 4, 1 where s.scope <> 4) f)
+select m.scope, count(*) as n_pages, sum(length(html))::bigint as n_chars from m join pages on page_id % 5 = m.source group by m.scope""")
+def fallback_streams(spark, sf_dir):
+    """Each scope's pages with those of the pool that all share."""
+    pages = load(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("scope"), "page_id", "html")
+    own = [(s, s, 0) for s in range(5)] + [(s, 4, 1) for s in range(4)]
+    found = evaluation.with_fallbacks(pages, spark.createDataFrame(own, "scope long, source long, rank int"), "scope", "page_id")
+    return found.groupBy("scope").agg(F.count("*").alias("n_pages"), F.sum(F.length("html")).cast("long").alias("n_chars"))
+
+
+@query(f"with {RECALL}, t as (select distinct item_id, doc_id from gold) select item_id, min(rank) as rank from t left join h using (item_id, doc_id) group by item_id")
+def probe_ranks(spark, sf_dir):
+    return evaluation.probe_ranks(fused(spark, sf_dir, 20), gold_pairs(spark, sf_dir), "item_id", "doc_id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import checks, evaluation, fingerprint, glossary, index, parse, search
+from vellum.operators.containment import contained
 from vellum.plans import more_sql
 from vellum.plans.base import known, load, new_folder, once, query, sql_of
 
@@ -315,13 +316,19 @@ pq as (select item_id, count(*) as n_gold, round(count(case when rank <= 5 then
 
 def gold_pairs(spark, sf_dir):
     items = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("_b"))
-    return load(spark, sf_dir, "documents").join(items, F.expr("contains(text, _b)")).select("item_id", "doc_id")
+    return contained(load(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", items, "_b").select("item_id", "doc_id")
 
 
 def per_query(spark, sf_dir):
     return evaluation.recall_at(fused(spark, sf_dir, 20), gold_pairs(spark, sf_dir), "item_id", "doc_id")
 
 
+@query(f"with {GOLD} select distinct item_id, doc_id from gold")
+def gold_by_containment(spark, sf_dir):
+    """The documents that hold an item word for word."""
+    return gold_pairs(spark, sf_dir)
+
+
 @query(f"with {RECALL} select * from pq")
 def recall_per_query(spark, sf_dir):
     return per_query(spark, sf_dir)

@@ -108,6 +108,20 @@ def search_argument_errors(spark, sf_dir):
     return S.policy(requests(spark, sf_dir)).select("qid", F.col("error.code").alias("code"))
 
 
+@query(f"""with {RESULTS}, n as (select qid, count(*) as n, string_agg(cid, ' ' order by re.rank) as cids from re join ask using (qid) where re.rank <= top_k group by qid)
+select qid, case when bad then 'INVALID_INPUT' end as code, case when not bad then coalesce(n, 0) end as n_results, case when not bad then coalesce(cids, '') end as cids, case when not bad then to_json(struct_pack(standard_no := standard_no, source_type := source_type, para_type := para_type)) end as filters from bad left join n using (qid)""")
+def search_responses(spark, sf_dir):
+    """One row a request: its error, or its results, definitions and what was applied."""
+    made, vectors = built(spark, sf_dir), load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    asked = requests(spark, sf_dir)
+    load(spark, sf_dir, "benchmark").createOrReplaceTempView("vellum_benchmark")
+    of_points = made.points.select("point", "doc_id").join(vectors, F.col("doc_id") == F.col("vec_id")).select("point", "vec")
+    entries = spark.sql(ENTRIES.replace("from benchmark", "from vellum_benchmark"))
+    found = S.search_responses(made, asked, asked.join(vectors, F.col("qid") == F.col("vec_id")).select("qid", "vec"), of_points, entries)
+    filters = F.to_json("applied.filters", {"ignoreNullFields": "false"})
+    return found.select("qid", F.col("error.code").alias("code"), F.when(F.col("error").isNull(), F.size("results")).cast("long").alias("n_results"), F.array_join(F.transform("results", lambda r: r["cid"]), " ").alias("cids"), filters.alias("filters"))
+
+
 LOOKUP = "select item_id as rid, case item_id % 6 when 0 then concat(cid, '#1') when 1 then 'XX::1::2' when 2 then 'KSA::none::9' when 3 then 'KIFRS::1115' else cid end as cid, item_id % 5 as context"
 
 
