@@ -66,9 +66,3 @@ def test_incremental(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         build(spark.readStream.schema(schema).parquet(source), target, "cid", str(tmp_path / "cp")).awaitTermination()
     assert {r.cid: r.document for r in current(spark, target, "cid").collect()} == {"a": "1", "b": "2"}
-
-
-def test_without_training_operators():
-    import __spark_entry__
-
-    assert "rrf_hybrid_topk" in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

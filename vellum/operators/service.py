@@ -21,6 +21,7 @@ SOURCE_TYPES = {"KSA": "감사기준", "KIFRS": "회계기준", "GUIDE": "실무
 PARA_TYPES = ["정의", "참조", "부록", "요구사항", "적용지침", "본문", "결론도출근거", "적용사례"]
 EXAMPLE_TYPES, BC_TYPES, FRAMEWORK_NOS = ["부록", "적용사례"], ["결론도출근거"], ["CF", "MC", "PS2"]
 REFERENCE_TYPE, REFERENCE_NOTE = "참조", "발췌 대조표 — 원전 문단 우선 인용"
+REASSEMBLED = ("분할 문단 ", "조각 재조립")
 DEDICATED = "::정의-"
 MAX_QUERY, MAX_TOP, MAX_CONTEXT, MAX_TERMS, MAX_DEFINITIONS = 500, 20, 3, 10, 5
 
@@ -55,7 +56,7 @@ def reassembled_points(points: DataFrame) -> DataFrame:
 
 
 def reassembly_note(n_parts: Column) -> Column:
-    return F.when(n_parts > 1, F.concat(F.lit("분할 문단 "), n_parts.cast("string"), F.lit("조각 재조립")))
+    return F.when(n_parts > 1, F.concat(F.lit(REASSEMBLED[0]), n_parts.cast("string"), F.lit(REASSEMBLED[1])))
 
 
 def get_paragraph(requests: DataFrame, points: DataFrame) -> DataFrame:
