@@ -44,8 +44,8 @@ WORDS = Units("words", 20, 4, 4)
 BATCHES, MAX_RUNS = 4, 2
 #: Windows hashed at a time, windows of a bucket (about: its row stays well below a megabyte), buckets of a file, bytes of text in a group.
 CHUNK, BUCKET, RANGES, GROUP = 1 << 20, 1 << 15, 32, 4 << 20
-#: Rows of buckets that reach Python at once.
-AT_ONCE = 8
+#: Rows of buckets that reach Python at once, groups of a partition.
+AT_ONCE, GROUPS = 8, 4
 #: What a word and the gap after it take at least, on average, in any text worth the name.
 BYTES_PER_WORD = 6
 HIT = pa.struct([("id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("id0", pa.int64()), ("start0", pa.int32())])
@@ -349,7 +349,15 @@ class FingerprintIndex:
             self._commit([self._write(rows.mapInArrow(compacted(len(self.runs)), RUN))])
 
     def _grouped(self, rows: DataFrame, key: str, groups: int) -> DataFrame:
-        return rows.withColumn("group", F.pmod(F.xxhash64(key), F.lit(groups)))
+        """Rows with their group, dealt to partitions of a few groups, however much there is."""
+        return rows.withColumn("group", F.pmod(F.xxhash64(key), F.lit(groups))).repartition(-(-groups // GROUPS), "group")
+
+    def discard(self) -> None:
+        """Deletes the log, as one that served a single call."""
+        for name in self.tables.values():
+            self.spark.sql(f"drop table if exists {name}")
+        self._files.delete(self._path(self.path), True)
+        self.runs, self.tables = [], {}
 
     def requests(self, docs: DataFrame, hits: DataFrame, groups: int, apart: bool = False) -> DataFrame:
         left, right = self._grouped(keyed(docs), "id", groups), self._grouped(hits, "id", groups)
@@ -422,6 +430,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX
         part = scratch.write(index.add(batch), f"hits-{number}")
         hits = part if hits is None else hits.unionByName(part)
         index.compact_if_many()
+    index.discard()  # this call's alone; what the candidates name is in docs
     found = index.repeats(docs, hits, docs, scratch, groups)
     spans_ = scratch.write(gathered(found.distinct()), "spans")
     rows = with_spans(docs, spans_).select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).cast("binary").alias("text"), spans_["starts"], spans_["ends"])
