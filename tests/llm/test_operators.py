@@ -370,25 +370,26 @@ def test_superminhash_estimates():
     assert len(set(signature(x[:1]).tolist())) > 100 and (signature(x[:3]) < 1 << 63).all()
 
 
-def test_packing(docs, rows, empty):
+def brute_pieces(texts: list[tuple]) -> collections.Counter:
+    """(doc_id, piece, start, length, crc32 of the ids) of (doc_id, text as bytes)."""
     import struct
 
     from tokenizers import Tokenizer
 
-    from vellum.llm.packing import pack
     from vellum.llm.registry import vocabulary
 
-    path = vocabulary("word_bpe_49k.json")
-    lib, want = Tokenizer.from_file(path), collections.Counter()
-    for i, b in raw(rows):
+    lib, want = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), collections.Counter()
+    for i, b in texts:
         ids = lib.encode(b.decode(), add_special_tokens=False).ids + [0]
         for k, at in enumerate(range(0, len(ids), 2048)):
             part = ids[at : at + 2048]
             want[(i, k, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))] += 1
-    found = pack(docs, path, pieces_per_packer=7)
-    assert bag(found.drop("sequence_id", "offset")) == want
+    return want
+
+
+def check_sequences(found: list) -> None:
     by = collections.defaultdict(list)
-    for r in found.collect():
+    for r in found:
         by[r.sequence_id].append((r.offset, r.length))
     for pieces in by.values():
         end = 0
@@ -396,9 +397,35 @@ def test_packing(docs, rows, empty):
             assert at == end
             end += n
         assert end <= 2048
+
+
+def test_packing(docs, rows, empty):
+    from vellum.llm.packing import pack
+    from vellum.llm.registry import vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    found = pack(docs, path, pieces_per_packer=7)
+    assert bag(found.drop("sequence_id", "offset")) == brute_pieces(raw(rows))
+    check_sequences(found.collect())
     assert pack(empty, path).count() == 0
 
 
+def test_full_pieces_leave_open_bins_alone():
+    from vellum.llm.packing import BestFit
+
+    fit = BestFit(100, 1)
+    assert [fit.put(n) for n in (60, 100, 40)] == [(0, 0), (1, 0), (0, 60)] and fit.next == 2
+
+
+def test_longest_first_meets_the_bound():
+    from vellum.llm.packing import OPEN_BINS, BestFit
+
+    rng, fit = random.Random(3), BestFit(2048, OPEN_BINS)
+    lengths = sorted((min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20_000)), reverse=True)
+    used = len({fit.put(n)[0] for n in lengths})
+    assert used <= 1.002 * max(sum(lengths) / 2048, sum(n > 1024 for n in lengths)) + 1
+
+
 def test_best_fit_is_tight():
     from vellum.llm.packing import BestFit
 
@@ -442,6 +469,82 @@ def test_toxicity(spark):
     assert toxicity_scores(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_risk_and_its_gradient():
+    """The gradient against differences of the risk; where the bracket is negative, against the bracket's own, turned round."""
+    from vellum.llm.toxicity import risk, sigmoid
+
+    rng = np.random.default_rng(6)
+    xp, xu = (rng.random((30, 5)) < 0.4).astype(np.float64), (rng.random((60, 5)) < 0.3).astype(np.float64)
+    for w, b, prior, negative in ((rng.normal(size=5), -1.0, 0.2, False), (np.full(5, 0.5), 1.0, 0.95, True)):
+        def bracket(w, b):
+            return -np.log(1 - sigmoid(xu @ w + b)).mean() + prior * np.log(1 - sigmoid(xp @ w + b)).mean()
+
+        def whole(w, b):
+            return prior * -np.log(sigmoid(xp @ w + b)).mean() + bracket(w, b) + 0.05 * w @ w
+
+        assert (bracket(w, b) < 0) == negative
+        value, gradient = risk(xp, xu, w, b, prior, 0.1)
+        assert abs(value - (whole(w, b) - min(0, bracket(w, b)))) < 1e-6
+        goal = (lambda w, b: -bracket(w, b) + 0.05 * w @ w) if negative else whole
+        for k in range(6):
+            d = np.eye(6)[k] * 1e-5
+            slope = (goal(w + d[:5], b + d[5]) - goal(w - d[:5], b - d[5])) / 2e-5
+            assert abs(slope - gradient[k]) < 1e-4
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Every score is the sigmoid of the base and the weights of the words and beginnings there, whatever the text."""
+    from vellum.llm.toxicity import Model, drop_toxic, scored
+
+    model = Model({"vile": 2.0, "^vile": 0.5, "^vilen": 1.0, "été": -1.0}, -1.5)
+    texts = ["vile", "a VILE, vile thing", "vileness", "Été", "", None, "x " * 200_000 + "vile", "vil", "vile7"]
+    sums = [1.0, 1.0, 0.0, -2.5, -1.5, -1.5, 1.0, -1.5, 1.0]
+    rows = [(i, t, "c", 1.0) for i, t in enumerate(texts)] + [(0, "vile", "c", 1.0), (None, "vile", "c", 1.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `a b` string, score double")
+    want = collections.Counter((i, round(1 / (1 + np.exp(-x)), 12)) for i, x in [*enumerate(sums), (0, 1.0), (None, 1.0)])
+    assert collections.Counter((r.doc_id, round(r.score, 12)) for r in scored(frame, model).collect()) == want
+    assert bag(drop_toxic(frame, model, 0.6)) == collections.Counter(r for r, x in zip(rows, [*sums, 1.0, 1.0]) if 1 / (1 + np.exp(-x)) < 0.6)
+
+
+def test_samples_are_the_same_each_time(spark):
+    from vellum.llm.labelled import sample_class, sample_unlabelled
+
+    rows = [(i, f"text {i}") for i in range(500)] + [(7, "another"), (None, "none"), (8, "x" * 70_000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, toxic int")
+    first = sample_class(docs, labels, "toxic", 1, 40, "s"), sample_unlabelled(docs, 40, "s")
+    assert all(0 < len(x) <= 40 for x in first)
+    assert first == (sample_class(docs.repartition(7, "text"), labels.repartition(5), "toxic", 1, 40, "s"), sample_unlabelled(docs.repartition(7, "text"), 40, "s"))
+
+
+def test_compression_scores_by_hand(spark):
+    """A score is the logistic curve of the compressed sizes under both dictionaries, recomputed here."""
+    import math
+
+    import zstandard
+
+    from vellum.llm.compression_quality import Model, logistic, scored
+
+    good, bad = b"the quick brown fox jumps over the lazy dog " * 20, b"BUY NOW!!! CHEAP $$$ " * 40
+    weights = [30.0, 0.2, -1.0, 0.4]
+    texts = ["the quick brown fox", "BUY NOW!!!", "", None, "é" * 90_000, "same", "same"]
+    rows = [(i, t, 0.5, "p") for i, t in enumerate(texts)] + [(None, "same", 0.5, "p")]
+    found = scored(spark.createDataFrame(rows, "doc_id long, text string, score double, `a b` string"), Model(good, bad, weights)).collect()
+
+    def by_hand(text: str | None) -> float:
+        raw = (text or "").encode()
+        a, b = (len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False).compress(raw)) for d in (good, bad))
+        x = weights[0] * (b - a) / (b + a) + weights[1] * math.log1p(len(raw)) + weights[2] * (a + b) / (len(raw) + 10) + weights[3]
+        return 1 / (1 + math.exp(-x))
+
+    assert len(found) == len(rows)
+    assert collections.Counter((r.doc_id, round(r.score, 12)) for r in found) == collections.Counter((r[0], round(by_hand(r[1]), 12)) for r in rows)
+    assert found[0].score > found[1].score
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 2))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 0.5 * x[:, 1] + 0.3)))).astype(float)
+    assert np.allclose(logistic(x, y, np.ones(4000)), [1.5, -0.5, 0.3], atol=0.2)
+
+
 def test_compression_quality(spark):
     from vellum.llm.compression_quality import quality_scores
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import GAP, Scratch, text_or_empty
+from vellum.llm.common import GAP, Scratch, quoted, text_or_empty
 
 #: Fixed values of the production mix.
 WEIGHTS, BUDGET, MAX_REPEATS = (3, 1, 2), 1.5, 2
@@ -121,9 +121,9 @@ def taken(rows: DataFrame, found: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: float = MAX_REPEATS, seed: str = "mix") -> DataFrame:
     """The mix: the rows of docs, each as often as it is taken."""
     _, found = plan(docs, weights, budget, repeats, seed)
-    row = F.struct(*(docs[c] for c in docs.columns)).alias("mix_row")
+    row = F.struct(*(docs[quoted(c)].alias(c) for c in docs.columns)).alias("mix_row")
     rows = taken(keyed(docs.select("doc_id", "source", "text", row), seed), found)
-    return rows.select("mix_row", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*(F.col("mix_row")[c].alias(c) for c in docs.columns))
+    return rows.select("mix_row", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*(F.col("mix_row").getField(c).alias(c) for c in docs.columns))
 
 
 def mix_report(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: float = MAX_REPEATS, seed: str = "mix") -> DataFrame:

@@ -72,6 +72,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float, ridge: float = 0.0) -> tuple[float, np.ndarray]:
+    """The risk of positive rows xp and unlabelled rows xu, and its gradient (weights, then base); that of the bracket alone, turned round, where the bracket is negative."""
+    sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
+    bracket = -np.log(1 - su + 1e-9).mean() + prior * np.log(1 - sp + 1e-9).mean()
+    p_minus, u_minus = prior * sp / len(xp), su / len(xu)
+    gp, gu = (prior * (sp - 1) / len(xp) - p_minus, u_minus) if bracket >= 0 else (p_minus, -u_minus)
+    value = prior * -np.log(sp + 1e-9).mean() + max(0.0, bracket) + ridge / 2 * float(w @ w)
+    return float(value), np.append(gp.astype(np.float32) @ xp + gu.astype(np.float32) @ xu + ridge * w, gp.sum() + gu.sum())
+
+
 def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Model:
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model({}, 40.0 if prior >= 1 and positive else -40.0)
@@ -97,13 +107,9 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Model:
         xs.append(x)
     xp, xu = xs
     w, b = np.zeros(len(chosen), np.float32), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    m, v, ridge = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), max(RIDGE, FEW / n[0])
     for t in range(1, STEPS + 1):
-        sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
-        bracket = -np.log(1 - su + 1e-9).mean() + prior * np.log(1 - sp + 1e-9).mean()
-        p_minus, u_minus = prior * sp / n[0], su / n[1]
-        gp, gu = (prior * (sp - 1) / n[0] - p_minus, u_minus) if bracket >= 0 else (p_minus, -u_minus)
-        g = np.append(gp.astype(np.float32) @ xp + gu.astype(np.float32) @ xu + max(RIDGE, FEW / n[0]) * w, gp.sum() + gu.sum())
+        _, g = risk(xp, xu, w, b, prior, ridge)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), float(b - step[-1])
