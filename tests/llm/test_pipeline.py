@@ -50,24 +50,12 @@ def brute_kept(rows) -> list[tuple]:
 
 def brute_cut(rows) -> list[tuple]:
     left = []
-    for r, (key, n) in zip(rows, ordered_texts(rows)):
-        assert n == 1 and key[0] == r[0]
-        text = None if r[1] is None else key[1]
+    for r, (_, kept) in zip(rows, brute_suffixes(rows)[1]):
+        text = None if r[1] is None else kept
         left.append((r[0], text, *r[2:4], None if text is None else len(text), *r[5:]))
     return left
 
 
-def ordered_texts(rows) -> list[tuple]:
-    """What brute force leaves of each row, in the order of the rows."""
-    texts = brute_suffixes(rows)[1]
-    return [next((k, 1) for k in texts if k[0] == r[0] and fits(k[1], r[1] or "")) for r in rows]
-
-
-def fits(part: str, whole: str) -> bool:
-    at = iter(whole)
-    return all(c in at for c in part)
-
-
 def test_toxicity_stage(spark, rows, sf_dir):
     from vellum.llm.toxicity import CUT, train
 
@@ -89,10 +77,7 @@ def test_repeated_passage_stage(spark, rows, sf_dir):
     docs = documents(spark, sf_dir)
     found = stages()["repeated_passages"](spark, docs, sf_dir)
     assert found.columns == docs.columns
-    got = collections.Counter((r[0], r[1] or "") for r in found.collect())
-    assert got == brute_suffixes(rows)[1]
-    assert collections.Counter((r[0], *r[2:4], *r[5:]) for r in found.collect()) == collections.Counter((r[0], *r[2:4], *r[5:]) for r in rows)
-    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in found.collect())
+    assert bag(found) == collections.Counter(brute_cut(rows))
 
 
 def test_source_mix_stage(spark, rows, sf_dir):

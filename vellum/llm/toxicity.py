@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import quoted
 from vellum.llm.labelled import in_fold, sample_class, sample_unlabelled
 
 POSITIVES, UNLABELLED = 2000, 5000
@@ -135,15 +136,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """The rows of docs whose score is below the cut, unchanged."""
-    schema, at = docs.schema, docs.columns.index("text")
+    """The rows of docs whose score is below the cut, unchanged, whatever their other columns are called."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([score(None if t is None else t.encode()) < cut for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([score(None if t is None else str(t).encode()) < cut for t in batch.column(0).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(docs["text"], F.struct(*(docs[quoted(c)].alias(c) for c in rest)).alias("rest"))
+    kept = rows.mapInArrow(run, rows.schema)
+    return kept.select(*((F.col("text") if c == "text" else F.col("rest").getField(c)).alias(c) for c in docs.columns))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, cut: float = CUT) -> DataFrame:
