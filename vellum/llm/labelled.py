@@ -31,11 +31,16 @@ def sample_class(docs: DataFrame, labels: DataFrame, column: str, value: int, ro
 
 
 def sample_rows(docs: DataFrame, rows: int, seed: str) -> list[tuple[int, bytes]]:
-    """The first `rows` by a hash of their id, then by text, so that a rerun learns from the same."""
+    """The first `rows` by a hash of their id, then by one of their text, so that a rerun learns from the same. Which they are is found among narrow rows; only their texts leave the scan."""
     doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string").cast("binary")
-    found = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(seed), doc_id).alias("_turn"))
-    found = found.orderBy("_turn", "doc_id", "text").limit(rows).collect()
-    return sorted((x["doc_id"], bytes(x["text"])) for x in found)
+    turn = F.struct(F.xxhash64(F.lit(seed), doc_id).alias("turn"), doc_id.alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    short = docs.where((F.octet_length(text) <= SAMPLE_BYTES) & doc_id.isNotNull())
+    first = short.select(turn.alias("t")).orderBy("t").limit(rows).select("t.*").collect()
+    if not first:
+        return []
+    last = F.struct(*(F.lit(first[-1][c]).cast("long").alias(c) for c in ("turn", "doc_id", "text_hash")))
+    found = short.where(turn <= last).select(doc_id.alias("doc_id"), text.alias("text")).collect()
+    return sorted((x["doc_id"], bytes(x["text"])) for x in found)[:rows]
 
 
 def sample_unlabelled(docs: DataFrame, rows: int, seed: str) -> list[tuple[int, bytes]]:
