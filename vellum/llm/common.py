@@ -50,7 +50,7 @@ class Scratch:
     """Tables of one run in the shared folder: they cut lineage and outlive executors. They go when the program ends, as a result may be read until then."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.conf = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark._jsc.hadoopConfiguration()
         atexit.register(self._remove)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -62,17 +62,15 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing will read again."""
         for name in names:
-            delete(self.spark, f"{self.root}/{name}")
+            self._delete(f"{self.root}/{name}")
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.conf).delete(where, True)
 
     def _remove(self) -> None:
         with contextlib.suppress(Exception):  # the JVM may be gone
-            delete(self.spark, self.root)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(self.root)
 
 
 def quoted(name: str) -> str:
