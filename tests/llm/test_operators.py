@@ -346,7 +346,9 @@ def test_near_duplicates(docs, rows, empty, k, percent):
     assert set(bag(keep_one(docs, k, percent))) <= {tuple(r) for r in rows}
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("large", [2048, 50])
+def test_large_group_of_near_copies(spark, large):
+    """In blocks alone, and after rounds of pairing."""
     from vellum.llm.superminhash import near_duplicates
 
     rng = random.Random(2)
@@ -357,7 +359,7 @@ def test_large_group_of_near_copies(spark):
         for _ in range(rng.randint(0, 6)):
             words[rng.randrange(100)] = f"e{rng.randrange(40)}"
         rows.append((i, " ".join(words)))
-    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).drop("text_key")
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, large=large).drop("text_key")
     assert bag(found) == collections.Counter(brute_components(rows, 3, 85))
 
 

@@ -10,10 +10,10 @@
    of similarity 0.85 is missed with a probability below 1e-10, one of 0.8 below 1e-7.
 4. In each bucket every class is paired with one member only, another for each bucket, so pairs grow
    linearly. Pairs are confirmed on full sets, and components are found by alternating stars.
-5. In buckets of three or more that still hold several components, one member of each component is paired
+5. In buckets of more than `LARGE` (four blocks) that still hold several components, one member of each component is paired
    with one of the largest, another each round, as long as that finds links (at most `ROUNDS` times); this
    too grows linearly, and joins what one unlucky hub kept apart.
-6. What is mixed even then is worked off exactly, in blocks: a task takes two blocks of a bucket, finds all numbers of shared shingles as products of 0-1 matrices,
+6. Buckets of three or more that are mixed even then are worked off exactly, in blocks: a task takes two blocks of a bucket, finds all numbers of shared shingles as products of 0-1 matrices,
    and returns only links that join components, as a union-find tells.
 
 Texts are shuffled once, to give the candidates their sets. Copies never meet in one task: they are
@@ -39,7 +39,7 @@ from vellum.llm.common import Scratch, text_or_empty
 from vellum.llm.components import components
 
 SLOTS, BANDS = 128, 32
-BLOCK, ROUNDS = 512, 4
+BLOCK, LARGE, ROUNDS = 512, 2048, 4
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -182,12 +182,12 @@ def with_component(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def mixed_buckets(cells: DataFrame, ends: DataFrame, found: DataFrame) -> DataFrame:
-    """cell, many, node, n, component of the buckets of three or more that hold several components; of buckets with the same members one."""
-    left = with_component(cells.join(ends.where("many > 2").select("cell", "many"), "cell"), found)
+def mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """cell, many, node, n, component of the buckets (cell, many, node, n of all members) that hold several components; of buckets with the same members one."""
+    left = with_component(members, found)
     mixed = left.groupBy("cell").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("many"))
     mixed = mixed.where("c0 <> c1").groupBy("who", "many").agg(F.min("cell").alias("cell"))
-    return left.join(mixed.select("cell"), "cell", "left_semi")
+    return left.join(mixed.select("cell"), "cell", "left_semi").select("cell", "many", "node", "n", "component")
 
 
 def between(left: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -199,7 +199,7 @@ def between(left: DataFrame, turn: int, percent: int) -> DataFrame:
     return near.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS, large: int = LARGE) -> DataFrame:
     """doc_id, text_key (MD5), n_shingles, component_id, kept: a row for each row of docs."""
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty(docs))).alias("text_key"), text_or_empty(docs).cast("binary").alias("text"))
@@ -229,15 +229,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
 
     sure = scratch.write(confirmed(pairs), "links")
     found = scratch.write(components(sure, scratch, "graph"), "found")
-    left = mixed_buckets(cells, ends, found)
+    left = scratch.write(mixed_buckets(cells.join(ends.where("many > 2").select("cell", "many"), "cell"), found), "mixed")
     for turn in range(ROUNDS):
-        pairs = scratch.write(between(left, turn, percent), f"pairs-{turn}")
+        pairs = scratch.write(between(left.where(F.col("many") > large), turn, percent), f"pairs-{turn}")
+        if pairs.isEmpty():
+            break
         more = scratch.write(confirmed(pairs), f"links-{turn}")
         if more.isEmpty():
             break
         sure = sure.unionByName(more)
         found = scratch.write(components(sure, scratch, f"graph-{turn}"), f"found-{turn}")
-        left = mixed_buckets(cells, ends, found)
+        left = scratch.write(mixed_buckets(left.drop("component"), found), f"mixed-{turn}")  # only what was mixed can be
 
     left = left.withColumn("parts", F.ceil(F.col("many") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     left = left.join(items, "node")
