@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,13 @@ class Scratch:
             self._delete(self.root)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches as views of some rows each: what Python makes of their texts is then small, however many rows the engine sends at once."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def quoted(name: str) -> str:
     """A column's name as a reference to it, whatever it holds."""
     return "`" + name.replace("`", "``") + "`"

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import sliced
 from vellum.llm.labelled import in_fold, sample_class
 
 ROWS_PER_CLASS, DICTIONARY_BYTES, LEVEL, CHUNK = 3000, 65_536, 3, 2000
@@ -102,7 +103,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.record_batch([batch.column(0), pa.array([score(t.as_py() or b"") for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch
+from vellum.llm.common import Scratch, sliced
 
 CAPACITY, END_ID = 2048, 0
 OPEN_BINS = 4096
@@ -42,7 +42,7 @@ def pieces_of(tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID):
 
         encode, end = word_ids(tokenizer).ids, int(end_id).to_bytes(4, "little")
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
                 ids = memoryview(encode(text.as_py() or b"") + end)

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from vellum.llm.common import sliced
 from vellum.llm.superminhash import mix64
 
 SEGMENT = 1 << 20
@@ -142,7 +143,7 @@ def phrases(units: Units):
     """(id, text_hash, text) -> PHRASES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             parsed = [parse(units, t.as_py()) for t in batch.column(2)]
             of = pa.array(np.repeat(np.arange(len(parsed)), [len(p[0]) for p in parsed]))
             start, many, at, trigger, content = (np.concatenate([p[k] for p in parsed] or [np.empty(0, np.int64)]) for k in range(5))
@@ -155,7 +156,7 @@ def cores_of(units: Units):
     """(id, text_hash, text, starts, windows, weights, ats) -> CORES: each stretch of the given phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for i in range(len(batch)):
                 start, many, weight, at = (np.array(batch.column(k)[i].as_py(), np.int64) for k in (3, 4, 5, 6))
                 of, window, number, core = stretches(units, start, many, at)
@@ -170,7 +171,7 @@ def windows_of(units: Units):
     """(id, text_hash, text, starts, windows, weights) -> WINDOWS: each window of the given stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for i in range(len(batch)):
                 start, many, weight = (np.array(batch.column(k)[i].as_py(), np.int64) for k in (3, 4, 5))
                 s = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())

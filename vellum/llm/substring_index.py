@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, text_or_empty, writing
+from vellum.llm.common import Scratch, sliced, text_or_empty, writing
 from vellum.llm.repeats import C1, KEY, Units, covered, segments, spans, sums
 from vellum.llm.suffix_dedup import gathered, keyed, with_spans
 
@@ -408,7 +408,7 @@ def batches_of(docs: DataFrame, many: int) -> list[DataFrame]:
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, starts, ends) -> doc_id, n_words, n_removed, kept_sha256."""
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for text, starts, ends in zip(*(batch.column(k) for k in (1, 2, 3))):
             words = kept = text.as_py().split()

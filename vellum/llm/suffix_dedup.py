@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from vellum.llm.common import Scratch, quoted, text_or_empty
+from vellum.llm.common import Scratch, quoted, sliced, text_or_empty
 from vellum.llm.repeats import CORES, KEY, PHRASES, WINDOWS, Units, cores_of, covered, phrases, windows_of
 
 BYTES = Units("bytes", 200, 48, 32)
@@ -169,7 +169,7 @@ def neighbours(units: Units):
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, starts, ends) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for text, starts, ends in zip(*(batch.column(k) for k in (1, 2, 3))):
             text, kept = text.as_py(), text.as_py()
@@ -185,7 +185,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, starts, ends, rest) -> (text, rest): characters that are wholly covered go."""
-    for batch in batches:
+    for batch in sliced(batches):
         texts = []
         for text, starts, ends in zip(*(batch.column(k) for k in range(3))):
             text = text.as_py()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, text_or_empty
+from vellum.llm.common import Scratch, sliced, text_or_empty
 from vellum.llm.components import components
 
 SLOTS, BANDS = 128, 32
@@ -100,7 +100,7 @@ def signed(k: int, slots: int = SLOTS, bands: int = BANDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sizes, cells = [], [], []
             for text in batch.column(2):
                 elements = shingle_set(text.as_py() or b"", k)
@@ -123,7 +123,7 @@ def sets(k: int):
     """(node, text) -> (node, items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.record_batch([batch.column(0), pa.array([shingle_set(t.as_py() or b"", k).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "items"])
 
     return run

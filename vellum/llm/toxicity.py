@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import quoted
+from vellum.llm.common import quoted, sliced
 from vellum.llm.labelled import in_fold, sample_class, sample_unlabelled
 
 POSITIVES, UNLABELLED = 2000, 5000
@@ -129,7 +129,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.record_batch([batch.column(0), pa.array([score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -140,7 +140,7 @@ def drop_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([score(None if t is None else str(t).encode()) < cut for t in batch.column(0).to_pylist()], pa.bool_()))
 
     rest = [c for c in docs.columns if c != "text"]
