@@ -47,12 +47,19 @@ def writing(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """What an operator returns is run by its caller, under the session's settings: where these still send 10,000 rows to Python at once, as is usual for short rows, a thousand whole texts are enough."""
+    if spark.conf.get(ROWS_AT_ONCE) == "10000":
+        spark.conf.set(ROWS_AT_ONCE, "1000")
+
+
 class Scratch:
     """Tables of one run in the shared folder: they cut lineage and outlive executors. They go when the program ends, as a result may be read until then."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.conf = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark._jsc.hadoopConfiguration()
         atexit.register(self._remove)
+        modest_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

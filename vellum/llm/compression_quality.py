@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import sliced
+from vellum.llm.common import modest_batches, sliced
 from vellum.llm.labelled import in_fold, sample_class
 
 ROWS_PER_CLASS, DICTIONARY_BYTES, LEVEL, CHUNK = 3000, 65_536, 3, 2000
@@ -100,6 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, size:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score."""
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import quoted, sliced
+from vellum.llm.common import modest_batches, quoted, sliced
 from vellum.llm.labelled import in_fold, sample_class, sample_unlabelled
 
 POSITIVES, UNLABELLED = 2000, 5000
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """All rows of docs' doc_id and text, with score."""
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
@@ -137,6 +138,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """The rows of docs whose score is below the cut, unchanged, whatever their other columns are called."""
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
