@@ -53,4 +53,25 @@ c(node, component) as (select rep, rep from y union select g.b, c.component from
 l as (select t.doc_id, min(c.component) as component_id from t join y using (set_key) join c on c.node = y.rep group by t.doc_id)
 select doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id, coalesce(component_id, doc_id) = doc_id as kept from d left join n using (doc_id) left join l using (doc_id)"""
 
-BY_QUERY = {"op2_quality_rules": QUALITY, "op5_suffix_dedup": SUFFIX, "op6_substring_index": SUBSTRING, "op7_superminhash_dedup": NEAR}
+
+def _filled(c: str) -> str:
+    return rf"case when regexp_matches({c}, '[^\x20\x09-\x0D]') then {c} end as {c}"
+
+
+def _first(value: str, origin: str, order: str, name: str) -> str:
+    """The value and the client_id of the first row of each cluster whose value is not null."""
+    return f"{name} as (select c, {value}, client_id as {origin} from (select *, row_number() over (partition by c order by {order}, {value} desc) as k from t where {value} is not null) where k = 1)"
+
+
+RECENT = "updated_at desc nulls last, trust, client_id nulls last"
+GOLDEN = rf"""with r as (select coalesce(master_id, client_id) as c, client_id, updated_at, nation_id, balance, {", ".join(_filled(x) for x in ("source", "name", "email", "city", "segment"))} from clients),
+l as (select c, max(updated_at) as latest, count(*) as n_records from r group by c),
+t as (select r.*, case source when 'store' then 1 when 'crm' then 2 when 'partner' then 3 when 'web' then 4 else 5 end as trust, coalesce(updated_at < latest - interval 240 hour, true) as stale from r join l on r.c is not distinct from l.c),
+{_first("segment", "segment_from", RECENT, "sg")}, {_first("email", "email_from", "stale, trust, " + RECENT, "em")}, {_first("name", "name_from", "length(name) desc, stale, trust, " + RECENT, "nm")},
+b as (select c, balance, client_id as balance_from from (select t.*, row_number() over (partition by t.c order by t.segment is distinct from sg.segment, {RECENT}, balance desc) as k from t left join sg on t.c is not distinct from sg.c where balance is not null) where k = 1),
+a as (select c, city, nation_id, case when city is not null or nation_id is not null then client_id end as address_from from (select *, row_number() over (partition by c order by (city is not null)::int + (nation_id is not null)::int desc, {RECENT}, city desc nulls last, nation_id desc nulls last) as k from t) where k = 1),
+s as (select c, count(*) filter (stale) as n_stale from t group by c)
+select l.c as cluster_id, n_records, n_stale, name, email, segment, city, nation_id, case when abs(balance) < 9e16 then floor(100 * balance + 0.5)::bigint end as balance_cents, case when isnan(balance) then null else balance end as balance, name_from, email_from, segment_from, balance_from, address_from
+from l left join sg on l.c is not distinct from sg.c left join em on l.c is not distinct from em.c left join nm on l.c is not distinct from nm.c left join b on l.c is not distinct from b.c left join a on l.c is not distinct from a.c left join s on l.c is not distinct from s.c"""
+
+BY_QUERY = {"op2_quality_rules": QUALITY, "op5_suffix_dedup": SUFFIX, "op6_substring_index": SUBSTRING, "op7_superminhash_dedup": NEAR, "op13_golden_record": GOLDEN}

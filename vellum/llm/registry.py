@@ -79,6 +79,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.golden_record import golden_records
+
+    return golden_records(table(spark, sf_dir, "clients"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
