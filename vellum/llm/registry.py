@@ -79,6 +79,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op13_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.golden_record import golden_records
 
