@@ -74,4 +74,18 @@ s as (select c, count(*) filter (stale) as n_stale from t group by c)
 select l.c as cluster_id, n_records, n_stale, name, email, segment, city, nation_id, case when abs(balance) < 9e16 then floor(100 * balance + 0.5)::bigint end as balance_cents, case when isnan(balance) then null else balance end as balance, name_from, email_from, segment_from, balance_from, address_from
 from l left join sg on l.c is not distinct from sg.c left join em on l.c is not distinct from em.c left join nm on l.c is not distinct from nm.c left join b on l.c is not distinct from b.c left join a on l.c is not distinct from a.c left join s on l.c is not distinct from s.c"""
 
-BY_QUERY = {"op2_quality_rules": QUALITY, "op5_suffix_dedup": SUFFIX, "op6_substring_index": SUBSTRING, "op7_superminhash_dedup": NEAR, "op13_golden_record": GOLDEN}
+CRC = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(c::varchar, ''), lambda x: [ord(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295)"""
+TRIE = rf"""with s as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+t as (select c, row_number() over (partition by c order by turn nulls first, d) - 1 as i, d, n from (select c, turn, md5(length(role) || ':' || role || text) as d, length(text)::bigint as n from s)),
+q as (select c, {CRC} % 6 as h from (select distinct c from t)),
+o as (select q.c, 0 as own, b.i, b.d, b.n from q join t b on b.c = q.c - q.c % 100 and b.i < q.h union all select t.c, 1, t.i, t.d, t.n from t join q using (c) where t.i >= q.h),
+p as (select c, row_number() over w as depth, n, string_agg(d, '') over w as path from o window w as (partition by c order by own, i rows unbounded preceding) union all select c, 0, 0, '' from q),
+n as (select path, any_value(depth) as depth, min(c) as conv_id, count(*) as n_convs, any_value(n) as size from p group by path),
+e as (select path, string_agg(c::varchar, ',' order by c) as ends from (select c, arg_max(path, depth) as path from p group by c) group by path),
+k as (select left(path, 32 * (depth - 1)::int) as path, count(*) as n_children from n where depth > 0 group by 1),
+u as (select left(n.path, 32 * j::int) as path, sum((n_convs - 1) * size) as saved, count(*) filter (n_children is null) as n_leaves from (select *, unnest(range(0, depth + 1)) as j from n) n left join k using (path) group by 1)
+select n.conv_id, n.depth, m.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved::bigint as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from n join u using (path) left join k using (path) left join e using (path) left join n m on n.depth > 0 and m.path = left(n.path, 32 * (n.depth - 1)::int)"""
+
+BY_QUERY = {"op2_quality_rules": QUALITY, "op5_suffix_dedup": SUFFIX, "op6_substring_index": SUBSTRING, "op7_superminhash_dedup": NEAR, "op11_prefix_trie": TRIE, "op13_golden_record": GOLDEN}
