@@ -1,95 +1,292 @@
-"""The built search index: postings by hash bucket of their token, sorted by token, beside lengths, document frequencies and a manifest.
+"""The built search index: a log of immutable segments under snapshots, with block-max postings and a pruned top-k.
 
-A search reads the buckets of its own tokens and no text. The folder is written once, by overwriting, so a
-build that runs again replaces what it wrote; `manifest` comes last and tells that the index is whole.
+A segment holds the points of one batch: their payload, a forward table of token counts, and postings. Documents of a segment are
+numbered in order of `order`, their length and their key, so that those of a range weigh much the same; `RANGE` of them are a range, `RANGE` ranges a super-range. The postings of a token in a
+range are one row, a block: its entries, and beside them what bounds any weight in it (the greatest tf, the least length), so bounds are
+read without the entries. Blocks lie in buckets by token, as many as the postings ask for, and a bucket in files by token and group of
+ranges, so that a token which every document has is dealt to many tasks and files.
+
+A batch that comes later is a segment of its own. Keys that it changes or deletes are tombstones of the segments that had them, and
+their tokens are taken off the document frequencies, so statistics are sums over segments and equal to those of an index built at once. A
+snapshot (one JSON row) names the segments; it is written last, a reader takes the latest whole one, and two writers cannot write the same one.
+`compact` puts segments together from their counts and payload, without any text.
+
+A search for the best k of a table of queries reads bounds first: of the ranges that promise most to a query a few are scored, the k-th best
+score there is the query's threshold, and only blocks whose range may reach it are read. Tombstones and filters take part in both steps, so the result is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.operators import search
 
-BUCKETS = 64
+RANGE = 32
+LEADERS = 4
+SPREAD = 4096  # ranges of a token that may share a file
+PER_BUCKET, MOST_BUCKETS, PER_TASK = 4_000_000, 1024, 1_000_000  # postings
+PRUNED_FROM = 100_000_000  # postings
+SLACK = 1e-6  # scores are rounded to 9 places
 
+STATISTICS = "points long, with_tokens long, tokens long"
+SEGMENT = "struct<id: string, buckets: int, postings: bigint, points: bigint, dead: boolean>"
+SNAPSHOT = f"segments array<{SEGMENT}>, {STATISTICS}, key string, text string, order array<string>, payload array<string>, k1 double, b double, contract string, epochs map<string, bigint>, version long"
 
-def bucket(tok: Column, buckets: int) -> Column:
+
+def bucket(tok: Column, buckets: int | Column) -> Column:
     return F.pmod(F.xxhash64(tok), F.lit(buckets)).cast("int")
 
 
+def put(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 class SearchIndex:
-    """An index in `path`, as `build` left it. `tokenizer` gives (key, pos, tok) of rows, and is to be the one it was built with."""
+    """The index in `path` as of its latest snapshot, or of `version`. `tokenizer` gives (key, pos, tok) of rows, and is to be the one it was built with."""
 
-    def __init__(self, spark: SparkSession, path: str, tokenizer=search.ordered_tokens):
+    def __init__(self, spark: SparkSession, path: str, tokenizer=search.ordered_tokens, version: int | None = None):
         self.spark, self.path, self.tokenizer = spark, path.rstrip("/"), tokenizer
-        self.manifest = spark.read.json(f"{self.path}/manifest").first().asDict()
+        found = spark.read.schema(SNAPSHOT).json(f"{self.path}/snapshots")
+        latest = found.where(F.lit(version is None) | (F.col("version") == F.lit(version))).orderBy(F.desc("version")).limit(1).first()
+        if latest is None:
+            raise ValueError(f"no such snapshot in {self.path}")
+        self.manifest = latest.asDict(recursive=True)
+        self.manifest["avgdl"] = self.manifest["tokens"] / self.manifest["with_tokens"] if self.manifest["with_tokens"] else 0.0
+        self.key = self.manifest["key"]
+
+    # ---- tables
+
+    def segment_table(self, segment: dict, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/segments/{segment['id']}/{name}").withColumn("segment", F.lit(self.manifest["segments"].index(segment)))
+
+    def every(self, name: str, prune: Callable[[DataFrame, dict], DataFrame] | None = None) -> DataFrame:
+        """A table of all segments, with the segment's place among them."""
+        tables = [prune(self.segment_table(s, name), s) if prune else self.segment_table(s, name) for s in self.manifest["segments"]]
+        whole = tables[0]
+        for t in tables[1:]:
+            whole = whole.unionByName(t)
+        return whole
+
+    @property
+    def tombstones(self) -> DataFrame | None:
+        """segment, key: what later segments have changed or deleted. None where nothing was."""
+        ids = F.array(*(F.lit(s["id"]) for s in self.manifest["segments"]))
+        found = None
+        for s in self.manifest["segments"]:
+            if s["dead"]:
+                rows = self.spark.read.parquet(f"{self.path}/segments/{s['id']}/dead").select((F.array_position(ids, F.col("id")) - 1).cast("int").alias("segment"), self.key)
+                found = rows if found is None else found.unionByName(rows)
+        return found
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def live(self, rows: DataFrame, dead: DataFrame | None = None) -> DataFrame:
+        """Rows with segment and key whose point is not changed or deleted."""
+        dead = self.tombstones if dead is None else dead
+        return rows if dead is None else rows.join(dead, ["segment", self.key], "left_anti").select(*rows.columns)
 
     @property
     def points(self) -> DataFrame:
-        return self.table("points")
+        return self.live(self.every("points")).drop("segment")
+
+    @property
+    def postings(self) -> DataFrame:
+        """tok, key, tf, dl of every live point."""
+        rows = self.every("blocks").select("segment", "tok", F.explode("entries").alias("e")).select("segment", "tok", "e.*")
+        return self.live(rows).drop("segment")
+
+    def frequencies(self, prune: Callable[[DataFrame, dict], DataFrame] | None = None) -> DataFrame:
+        """tok, df: each segment's, less what tombstones take off."""
+        rows = self.every("terms", prune).select("tok", "df")
+        for s in self.manifest["segments"]:
+            if s["dead"]:
+                rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/segments/{s['id']}/removed").select("tok", "df"))
+        return rows
 
     @property
     def terms(self) -> DataFrame:
-        """tok, df, idf, by bucket."""
+        """tok, df, idf."""
+        return self._with_idf(self.frequencies().groupBy("tok").agg(F.sum("df").alias("df")).where("df > 0"))
+
+    def _with_idf(self, rows: DataFrame) -> DataFrame:
         n = F.lit(float(self.manifest["points"]))
-        return self.table("terms").withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+        return rows.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+
+    # ---- searches
 
     def tokens(self, rows: DataFrame, key: str, text: str) -> DataFrame:
         """key, tok: each token of a row once."""
         return self.tokenizer(rows, key, text).select(key, "tok").distinct()
 
-    def _of(self, asked: DataFrame) -> tuple[DataFrame, list[int]]:
-        """The tokens asked for with their buckets, and these buckets: at most as many numbers as there are buckets."""
-        asked = asked.withColumn("bucket", bucket(F.col("tok"), self.manifest["buckets"]))
-        return asked, sorted(r.bucket for r in asked.select("bucket").distinct().collect())
+    def _asked_buckets(self, asked: DataFrame) -> Callable[[DataFrame, dict], DataFrame]:
+        """Keeps the buckets of the tokens asked for: at most MOST_BUCKETS numbers, by the widest segment."""
+        most = max(s["buckets"] for s in self.manifest["segments"])
+        if most == 1:
+            return lambda rows, s: rows
+        asked_for = [r.b for r in asked.select(bucket(F.col("tok"), most).alias("b")).distinct().collect()]  # all bucket numbers are powers of two
+        return lambda rows, s: rows.where(F.col("bucket").isin(sorted({b % s["buckets"] for b in asked_for})))
 
-    def sparse_scores(self, asked: DataFrame, qid: str) -> DataFrame:
-        """asked: qid, tok (distinct) -> qid, key, score."""
+    def weighted(self, asked: DataFrame, qid: str) -> DataFrame:
+        """asked: qid, tok (distinct) -> qid, tok, idf of the tokens that some live point has."""
+        df = asked.join(self.frequencies(self._asked_buckets(asked)), "tok").groupBy(qid, "tok").agg(F.sum("df").alias("df")).where("df > 0")
+        return self._with_idf(df).select(qid, "tok", "idf")
+
+    def _weight(self, tf: str, dl: str) -> Column:
         m = self.manifest
-        asked, buckets = self._of(asked)
-        idf = self.terms.where(F.col("bucket").isin(buckets)).select("bucket", "tok", "idf")
-        posted = self.table("postings").where(F.col("bucket").isin(buckets))
-        w = search.weight(F.col("tf"), F.col("dl"), F.lit(m["avgdl"]), m["k1"], m["b"])
-        found = posted.join(asked.join(idf, ["bucket", "tok"]), ["bucket", "tok"])
-        return found.groupBy(qid, m["key"]).agg(F.round(F.sum(w * F.col("idf")), 9).alias("score"))
+        return search.weight(F.col(tf), F.col(dl), F.lit(m["avgdl"]), m["k1"], m["b"])
+
+    def _scored(self, found: DataFrame, qid: str) -> DataFrame:
+        """found: blocks with qid and idf -> qid, key, score of live points."""
+        dead = self.tombstones
+        by = [qid, self.key] if dead is None else ["segment", qid, self.key]
+        entries = found.select(*by[:-1], "idf", F.explode("entries").alias("e")).select(*by[:-1], "idf", "e.*")
+        scores = entries.groupBy(*by).agg(F.round(F.sum(self._weight("tf", "dl") * F.col("idf")), 9).alias("score"))
+        return self.live(scores, dead).select(qid, self.key, "score")
+
+    def sparse_scores(self, asked: DataFrame, qid: str) -> DataFrame:
+        """asked: qid, tok (distinct) -> qid, key, score of every point that has one of a query's tokens."""
+        return self._scored(self.every("blocks").join(self.weighted(asked, qid), "tok"), qid)
+
+    def candidates(self, weighted: DataFrame, qid: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """qid, segment, range: the ranges that may hold one of a query's best k. weighted: as from `weighted`; allowed: keys that pass a filter.
+
+        Bounds of super-ranges and ranges lead to a few ranges that promise most; these are scored, and the k-th best score
+        is the query's threshold (none, if there are fewer: then every range may). What cannot reach it is out, super-ranges first.
+        """
+        narrow = self.every("blocks").select("segment", "tok", "super", "range", "max_tf", "min_dl")
+        bound = F.sum(F.col("idf") * self._weight("max_tf", "min_dl")).alias("bound")
+        supers = self.every("supers").join(weighted, "tok").groupBy(qid, "segment", "super").agg(bound)
+
+        def leading(rows: DataFrame, n: int) -> DataFrame:
+            order = Window.partitionBy(qid).orderBy(F.desc("bound"), *(c for c in rows.columns if c not in (qid, "bound")))
+            return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k", "bound")
+
+        def ranges(of: DataFrame) -> DataFrame:
+            return narrow.join(of.join(weighted, qid), ["segment", "tok", "super"]).groupBy(qid, "segment", "range").agg(bound)
+
+        sample = self._scored(self._blocks_of(leading(ranges(leading(supers, LEADERS)), -(-k // RANGE) + LEADERS), weighted, qid), qid)
+        if allowed is not None:
+            sample = sample.join(allowed, self.key, "left_semi")
+        nth = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("score")))
+        threshold = sample.withColumn("_k", nth).where(F.col("_k") == k).select(qid, F.col("score").alias("threshold"))
+        reaching = lambda rows: rows.join(threshold, qid, "left").where(F.col("threshold").isNull() | (F.col("bound") + SLACK >= F.col("threshold"))).drop("threshold", "bound")
+        return reaching(ranges(reaching(supers)))
+
+    def _blocks_of(self, ranges: DataFrame, weighted: DataFrame, qid: str) -> DataFrame:
+        return self.every("blocks").select("segment", "tok", "range", "entries").join(ranges.join(weighted, qid), ["segment", "tok", "range"])
+
+    def top(self, asked: DataFrame, qid: str, k: int = search.PREFETCH, allowed: DataFrame | None = None, prune: bool | None = None) -> DataFrame:
+        """asked: qid, tok (distinct) -> qid, key, score, rank of the best k. allowed: keys that pass a filter.
+
+        The rows are those of ranking sparse_scores. Pruning takes a few more joins, which an index of many postings wins back; `prune` overrides the choice by their number.
+        """
+        weighted = self.weighted(asked, qid)
+        prune = sum(s["postings"] for s in self.manifest["segments"]) >= PRUNED_FROM if prune is None else prune
+        found = self._blocks_of(self.candidates(weighted, qid, k, allowed), weighted, qid) if prune else self.every("blocks").join(weighted, "tok")
+        scored = self._scored(found, qid)
+        return search.top(scored if allowed is None else scored.join(allowed, self.key, "left_semi"), qid, self.key, k)
 
     def out_of_vocabulary(self, toks: DataFrame, qid: str) -> DataFrame:
         """toks: qid, pos, tok -> qid, oov: tokens that no point has, each once, as first seen."""
-        toks, buckets = self._of(toks)
-        left = toks.join(self.table("terms").where(F.col("bucket").isin(buckets)).select("bucket", "tok"), ["bucket", "tok"], "left_anti")
+        known = self.frequencies(self._asked_buckets(toks)).groupBy("tok").agg(F.sum("df").alias("df")).where("df > 0")
+        left = toks.join(known, "tok", "left_anti")
         first = left.groupBy(qid, "tok").agg(F.min("pos").alias("pos"))
         return first.groupBy(qid).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("oov"))
 
+    def page(self, after: object = None, size: int = 500, where: Column | None = None) -> DataFrame:
+        """The next `size` points by key after `after`. Pages of one `version` belong together, whatever is written meanwhile."""
+        rows = self.points if where is None else self.points.where(where)
+        return (rows if after is None else rows.where(F.col(self.key) > F.lit(after))).orderBy(self.key).limit(size)
+
+    # ---- writing
+
+    def upsert(self, rows: DataFrame, deletes: DataFrame | None = None, epoch: tuple[str, int] | None = None) -> SearchIndex:
+        """The index after a batch: rows whose keys it has replace what stands under them, others are new; `deletes` has keys. Keys of rows are distinct.
+
+        An epoch (of a named stream) that was applied before, or one before it, changes nothing; so a batch may come again.
+        """
+        m = self.manifest
+        if epoch and m["epochs"].get(epoch[0], -1) >= epoch[1]:
+            return self
+        new = _write_segment(self.spark, self.path, rows, m, self.tokenizer)
+        where = f"{self.path}/segments/{new['id']}"
+        gone = self.spark.read.parquet(f"{where}/docs").select(self.key)
+        gone = gone if deletes is None else gone.unionByName(deletes.select(self.key)).distinct()
+        ids = F.array(*(F.lit(s["id"]) for s in m["segments"]))
+        dead = put(self.live(self.every("docs")).join(gone, self.key, "left_semi").select("segment", F.get(ids, "segment").alias("id"), self.key, "dl"), f"{where}/dead")
+        lost = dead.agg(F.count("*").alias("points"), F.count_if(F.col("dl") > 0).alias("with_tokens"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+        new["dead"] = lost.points > 0
+        if new["dead"]:
+            put(self.every("counts").join(dead.select("segment", self.key), ["segment", self.key]).groupBy("tok").agg((-F.count("*")).alias("df")), f"{where}/removed")
+        totals = {c: m[c] + new[c] - lost[c] for c in ("points", "with_tokens", "tokens")}
+        return self._publish(m["segments"] + [new], totals, m["epochs"] | (dict([epoch]) if epoch else {}))
+
+    def compact(self, most: int = 4) -> SearchIndex:
+        """If there are more than `most` segments, all become one, from their payload and counts; texts are not read. Older snapshots go on to work."""
+        m = self.manifest
+        if len(m["segments"]) <= most:
+            return self
+        new = _write_segment(self.spark, self.path, None, m, self.tokenizer, (self.points, self.live(self.every("counts")).select(self.key, "tok", "tf")))
+        return self._publish([new], {c: m[c] for c in ("points", "with_tokens", "tokens")}, m["epochs"])
+
+    def _publish(self, segments: list[dict], totals: dict, epochs: dict) -> SearchIndex:
+        segments = [{k: s[k] for k in ("id", "buckets", "postings", "points", "dead")} for s in segments]
+        _write_snapshot(self.spark, self.path, self.manifest | totals | {"segments": segments, "epochs": epochs, "version": self.manifest["version"] + 1})
+        return SearchIndex(self.spark, self.path, self.tokenizer)
+
+
+def _write_snapshot(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Fails where another writer has written this version."""
+    columns = [c.strip().split(" ")[0] for c in ("segments, points, with_tokens, tokens, key, text, order, payload, k1, b, contract, epochs, version").split(", ")]
+    row = tuple(manifest[c] for c in columns)
+    spark.createDataFrame([row], SNAPSHOT).drop("version").coalesce(1).write.mode("error").json(f"{path}/snapshots/version={manifest['version']}")
+
+
+def _write_segment(spark: SparkSession, path: str, rows: DataFrame | None, m: dict, tokenizer, made: tuple[DataFrame, DataFrame] | None = None) -> dict:
+    """Writes the segment of `rows`, or of payload and counts that are there, and gives what a snapshot says of it."""
+    key, segment = m["key"], uuid.uuid4().hex
+    where = f"{path}/segments/{segment}"
+    points, counts = made or (rows.select(*m["payload"]) if m["payload"] else rows, search.term_counts(tokenizer(rows, key, m["text"]), key))
+    points, counts = put(points, f"{where}/points"), put(counts, f"{where}/counts")
+    order = [*m["order"], key]
+    lengths = counts.groupBy(key).agg(F.sum("tf").alias("dl"))
+    docs = points.select(*dict.fromkeys(order)).distinct().join(lengths, key, "left").withColumn("dl", F.coalesce("dl", F.lit(0).cast("long")))
+    order, parts = [*m["order"], docs["dl"], key], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = put(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(key, "dl", F.floor(F.monotonically_increasing_id() / RANGE).alias("range")), f"{where}/docs")
+    postings = counts.count()
+    buckets = min(MOST_BUCKETS, 1 << (postings // PER_BUCKET).bit_length())
+    slices = -(-max(parts, postings // PER_TASK) // buckets)
+    posted = counts.join(docs, key).withColumn("bucket", bucket(F.col("tok"), buckets)).withColumn("slice", F.pmod(F.xxhash64("tok", F.floor(F.col("range") / SPREAD)), F.lit(slices)))
+    entry = F.struct(F.col(key), "tf", "dl")
+    blocks = posted.repartition(buckets * slices, "bucket", "slice").groupBy("bucket", "slice", "tok", "range").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    blocks = blocks.withColumn("super", F.floor(F.col("range") / RANGE)).drop("slice").sortWithinPartitions("bucket", "tok", "range")
+    blocks = put(blocks.withColumn("n", F.size("entries").cast("long")), f"{where}/blocks", "bucket")
+    supers = blocks.groupBy("bucket", "tok", "super").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+    supers = put(supers.repartition("bucket").sortWithinPartitions("bucket", "tok", "super"), f"{where}/supers", "bucket")
+    put(supers.groupBy("bucket", "tok").agg(F.sum("n").alias("df")).sortWithinPartitions("bucket", "tok"), f"{where}/terms", "bucket")
+    sizes = docs.agg(F.count("*").alias("points"), F.count_if(F.col("dl") > 0).alias("with_tokens"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+    return {"id": segment, "buckets": buckets, "postings": postings, "dead": False, **sizes.asDict()}
+
 
-def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.ordered_tokens, buckets: int = BUCKETS, k1: float = search.K1, b: float = search.B, contract: dict | None = None, payload: list[str] | None = None) -> SearchIndex:
-    """Writes the index of `points`, with those columns kept that `payload` names (all, if none). `tokenizer` is any function like search.ordered_tokens."""
+def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.ordered_tokens, k1: float = search.K1, b: float = search.B, contract: dict | None = None, payload: list[str] | None = None, order: list[str] | None = None) -> SearchIndex:
+    """Writes the index of `points`, whose keys are distinct, with those columns kept that `payload` names (all, if none). `order` puts alike documents side by side, which makes bounds tight."""
     spark, path = points.sparkSession, path.rstrip("/")
-    save = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
-    save(points if payload is None else points.select(*payload), "points")
-    tf = search.term_counts(tokenizer(points, key, text), key)
-    save(tf, "counts")
-    tf = spark.read.parquet(f"{path}/counts")
-    dl = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    posted = tf.join(dl, key).withColumn("bucket", bucket(F.col("tok"), buckets))
-    save(posted.repartition("bucket").sortWithinPartitions("bucket", "tok", key), "postings", "bucket")
-    posted = spark.read.parquet(f"{path}/postings")
-    save(posted.groupBy("bucket", "tok").agg(F.count("*").alias("df")).sortWithinPartitions("bucket", "tok"), "terms", "bucket")
-    sizes = dl.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("with_tokens")).first()
-    manifest = {"points": spark.read.parquet(f"{path}/points").count(), "avgdl": sizes["avgdl"] or 0.0, "vocab_size": spark.read.parquet(f"{path}/terms").count(), "k1": k1, "b": b, "buckets": buckets, "key": key, "text": text, **(contract or {})}
-    spark.createDataFrame([manifest]).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    m = {"key": key, "text": text, "order": order or [], "payload": payload or [], "k1": k1, "b": b, "contract": json.dumps(contract or {}), "epochs": {}, "version": 0}
+    new = _write_segment(spark, path, points, m, tokenizer)
+    segment = {k: new[k] for k in ("id", "buckets", "postings", "points", "dead")}
+    _write_snapshot(spark, path, m | {"segments": [segment], **{c: new[c] for c in ("points", "with_tokens", "tokens")}})
     return SearchIndex(spark, path, tokenizer)
 
 
 def hybrid(index: SearchIndex, queries: DataFrame, qid: str, vectors: DataFrame, query_vectors: DataFrame, k: int = 10, must: dict | None = None, must_not: dict | None = None, text: str = "text") -> DataFrame:
     """Both branches see the same filter before their first PREFETCH; statistics are the whole corpus's. The corpus is not read."""
-    key, p = index.manifest["key"], search.allowed(must, must_not)
-    sparse = index.sparse_scores(index.tokens(queries, qid, text), qid)
+    p, allowed = search.allowed(must, must_not), None
     if p is not None:
-        ids = index.points.where(p).select(key)
-        sparse, vectors = sparse.join(ids, key, "left_semi"), vectors.join(ids, key, "left_semi")
-    dense = search.dense_scores(query_vectors, qid, vectors, key)
-    return search.fuse([search.top(sparse, qid, key), search.top(dense, qid, key)], qid, key, k)
+        allowed = index.points.where(p).select(index.key)
+        vectors = vectors.join(allowed, index.key, "left_semi")
+    dense = search.dense_scores(query_vectors, qid, vectors, index.key)
+    return search.fuse([index.top(index.tokens(queries, qid, text), qid, search.PREFETCH, allowed), search.top(dense, qid, index.key)], qid, index.key, k)

@@ -197,11 +197,11 @@ def dense_sides(spark, sf_dir):
 def doc_index(spark, sf_dir) -> index.SearchIndex:
     """Built once; the searches below read its buckets and never the documents."""
     docs = load(spark, sf_dir, "documents")
-    return once(spark, sf_dir, "doc-index", lambda path: index.build(docs, path, "doc_id", "text", payload=["doc_id", "lang", "source"]))
+    return once(spark, sf_dir, "doc-index", lambda path: index.build(docs, path, "doc_id", "text", payload=["doc_id", "lang", "source"], order=["lang"]))
 
 
-def sparse_hits(spark, sf_dir):
-    return doc_index(spark, sf_dir).sparse_scores(search.tokens(load(spark, sf_dir, "benchmark"), "item_id").distinct(), "item_id")
+def sparse_top(spark, sf_dir):
+    return doc_index(spark, sf_dir).top(search.tokens(load(spark, sf_dir, "benchmark"), "item_id").distinct(), "item_id").select("item_id", "doc_id", "rank", "score")
 
 
 @query(f"with {TF} select doc_id, tok, round(w, 9) as w from post")
@@ -237,7 +237,46 @@ DENSE = "de as (select item_id, d.vec_id as doc_id, round(list_dot_product(d.emb
 
 @query(f"with {TF}, r as (select *, {RANKED} from sp) select item_id, doc_id, rank, score from r where rank <= 50")
 def bm25_topk(spark, sf_dir):
-    return search.top(sparse_hits(spark, sf_dir), "item_id", "doc_id").select("item_id", "doc_id", "rank", "score")
+    """From the blocks of postings whose bounds can reach a query's best 50."""
+    return sparse_top(spark, sf_dir)
+
+
+@query(f"with {TF}, r as (select *, {RANKED} from sp) select item_id, doc_id, rank, score from r where rank <= 50")
+def bm25_topk_pruned(spark, sf_dir):
+    """bm25_topk from the blocks of postings whose bounds can reach a query's best 50, as a large index is searched."""
+    asked = search.tokens(load(spark, sf_dir, "benchmark"), "item_id").distinct()
+    return doc_index(spark, sf_dir).top(asked, "item_id", prune=True).select("item_id", "doc_id", "rank", "score")
+
+
+def revised_index(spark, sf_dir) -> index.SearchIndex:
+    """The index of documents grown by batches: a third first, then a third of which some were other texts and some are to go, then the rest with these texts set right, and deletes."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+
+    def grow(path: str) -> index.SearchIndex:
+        early = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("the draft of "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+        made = index.build(docs.where("doc_id % 3 = 0").withColumn("text", early), path, "doc_id", "text", payload=["doc_id", "lang", "source"], order=["lang"])
+        made = made.upsert(docs.where("doc_id % 3 = 1").withColumn("text", early), epoch=("daily", 1))
+        rest = docs.where("doc_id % 3 = 2 or doc_id % 4 = 0")
+        made = made.upsert(rest, docs.where("doc_id % 5 = 0 and doc_id % 3 <> 2 and doc_id % 4 <> 0"), epoch=("daily", 2))
+        return made.upsert(rest, epoch=("daily", 2))  # comes again, changes nothing
+
+    return once(spark, sf_dir, "revised-index", grow)
+
+
+LEFT = "with documents as (select * from documents where not (doc_id % 5 = 0 and doc_id % 3 <> 2 and doc_id % 4 <> 0)), "
+
+
+@query(f"{LEFT}{TF}, r as (select *, {RANKED} from sp) select item_id, doc_id, rank, score from r where rank <= 50")
+def bm25_topk_after_upserts(spark, sf_dir):
+    """The same search over an index of several segments with tombstones: what one built at once would give."""
+    asked = search.tokens(load(spark, sf_dir, "benchmark"), "item_id").distinct()
+    return revised_index(spark, sf_dir).top(asked, "item_id", prune=True).select("item_id", "doc_id", "rank", "score")
+
+
+@query(f"{LEFT}{TF} select tok, df, round(idf, 9) as idf from idf")
+def index_terms_after_compaction(spark, sf_dir):
+    """Document frequencies of the grown index once its segments are one."""
+    return revised_index(spark, sf_dir).compact(most=1).terms.select("tok", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"with {DENSE}, r as (select *, {RANKED} from de) select item_id, doc_id, rank, score from r where rank <= 50")
@@ -270,7 +309,7 @@ def rrf_filtered(spark, sf_dir):
 
 @query(fused_sql(dense=False))
 def rrf_sparse_only_when_no_dense(spark, sf_dir):
-    return search.fuse([search.top(sparse_hits(spark, sf_dir), "item_id", "doc_id")], "item_id", "doc_id", 10).select("item_id", "doc_id", "rank", "score")
+    return search.fuse([sparse_top(spark, sf_dir)], "item_id", "doc_id", 10).select("item_id", "doc_id", "rank", "score")
 
 
 @query(f"with h as ({fused_sql()}) select item_id, count(*) as n_hits, count(case when lang in ('de', 'es') then 1 end) as n_excluded from h join documents using (doc_id) group by item_id")

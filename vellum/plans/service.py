@@ -144,8 +144,8 @@ def get_paragraph(spark, sf_dir):
 def built_index_terms(spark, sf_dir):
     """The built index: document frequency, IDF and all occurrences of each token."""
     made = built(spark, sf_dir)
-    total = made.table("postings").groupBy("bucket", "tok").agg(F.sum("tf").alias("tf"))
-    return made.terms.join(total, ["bucket", "tok"]).select("tok", "df", F.round("idf", 9).alias("idf"), "tf")
+    total = made.postings.groupBy("tok").agg(F.sum("tf").alias("tf"))
+    return made.terms.join(total, "tok").select("tok", "df", F.round("idf", 9).alias("idf"), "tf")
 
 
 ENTRIES = "select item_id as ord, concat('u', item_id % 7, ' v', item_id % 5, ' w', item_id % 11) as term, text as definition, concat('KSA::', item_id % 3, '::', case when item_id % 2 = 0 then '정의-' else 'A' end, item_id) as source_id, concat('', item_id % 3) as standard_no from benchmark"

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vellum.operators import search
+from vellum.operators.index import SearchIndex
+
 
 def upsert(spark: SparkSession, target: str, batch: DataFrame, key: str, epoch: int) -> None:
     """Appends a batch, the last row of each key in it, under its epoch; a batch that runs again replaces itself, so a retry changes nothing."""
@@ -29,3 +32,15 @@ def compact(spark: SparkSession, target: str, key: str, compacted: str) -> DataF
 def build(rows: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
     """rows: a streaming frame of paragraphs."""
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda b, epoch: upsert(b.sparkSession, target, b, key, epoch)).start()
+
+
+def build_index(rows: DataFrame, path: str, key: str, order: str, checkpoint: str, deleted: str | None = None, name: str = "stream", most_segments: int = 8, tokenizer=search.ordered_tokens) -> StreamingQuery:
+    """rows: a streaming frame of points, into the search index in `path`, a segment a batch. Of a key's rows in a batch the last by `order` holds;
+    where its column `deleted` is true, the point goes. A batch that runs again after a failure finds its epoch applied. Segments are put together beyond `most_segments`."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        last = batch.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        SearchIndex(batch.sparkSession, path, tokenizer).upsert(last.where(~gone), last.where(gone), epoch=(name, epoch)).compact(most_segments)
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
