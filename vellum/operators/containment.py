@@ -2,7 +2,7 @@
 
 The hashes of all runs of `GRAM` characters are taken, and of each `WINDOW` consecutive ones the least. A string that
 stands in a text brings its windows with it, so the least hash of its first window is among the text's. Joined on
-that, a pair is a candidate, and is then looked at. Strings shorter than one window are held against all texts.
+that, a pair is a candidate, and is then looked at. Strings shorter than one window are found by automata, in one pass over each text.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.automaton import occurrences
+
 GRAM, WINDOW = 16, 8
 SHORTEST = GRAM + WINDOW - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,12 +59,9 @@ def contained(texts: DataFrame, key: list[str], text: str, strings: DataFrame, s
     pairs = marked.join(asked.where("_h is not null"), equal).select(*(marked[k] for k in key), *(F.col(c) for c in asked.columns if c != "_h")).distinct()
     held = texts.select(*(F.col(k).alias(f"_k_{k}") for k in key), F.col(text).alias("_t"))
     long = pairs.join(held, [F.col(k) == F.col(f"_k_{k}") for k in key]).where(F.contains("_t", string)).drop("_t", *(f"_k_{k}" for k in key))
-    short = asked.where(F.col("_h").isNull() & (F.length(string) > 0)).drop("_h")
-    near = F.contains(texts[text], short[string])
-    for c in on:
-        near = near & (texts[c] == short[f"_{c}"])
-    short = texts.join(short, near).select(*(texts[k] for k in key), *(short[c] for c in short.columns))
-    found = long.unionByName(short)
+    found = long
     for c in on:
         found = found.drop(c).withColumnRenamed(f"_{c}", c) if c not in key else found.drop(f"_{c}")
-    return found
+    short = strings.where((F.length(string) > 0) & (F.length(string) < SHORTEST))
+    hits = occurrences(texts, key, text, short, string, on).drop("n")
+    return found.unionByName(hits.join(short, [string, *on]).select(*found.columns))

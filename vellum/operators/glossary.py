@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import gloss_norm, last_segment, occurrences, strip
+from vellum.functions.text import gloss_norm, last_segment, strip
+from vellum.operators import automaton
 
 MAX_DEFINITIONS = 5
 #: The title of a section of definitions; the forms in which texts define a term.
@@ -82,21 +83,28 @@ def extracted(records: DataFrame) -> DataFrame:
     return out.join(rows.select("source_id", "standard_no", "source_type"), "source_id").withColumn("term_norm", gloss_norm(F.col("term")))
 
 
+def inside_others(terms: DataFrame) -> DataFrame:
+    """term, longer: each term that stands in another."""
+    distinct = terms.select("term").distinct()
+    pairs = automaton.occurrences(distinct.withColumnRenamed("term", "longer"), ["longer"], "longer", distinct, "term")
+    return pairs.where("term <> longer").select("term", "longer")
+
+
 def longest_matches(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """key, term: terms in a text that no longer match of the same text holds. The glossary is small and broadcast while its size allows."""
-    bare = texts.select(key, F.regexp_replace(text, r"(?U)\s+", "").alias("_t"))
-    hits = bare.join(terms.select("term"), F.expr("instr(_t, term) > 0") & (F.length("term") >= 2)).select(key, "term")
-    longer = hits.select(F.col(key).alias("_k"), F.col("term").alias("_longer"))
-    return hits.join(longer, (F.col(key) == F.col("_k")) & (F.length("_longer") > F.length("term")) & F.expr("instr(_longer, term) > 0"), "left_anti")
+    """key, term: terms of two characters or more in a text that no longer match of the same text holds."""
+    terms = terms.where(F.length("term") >= 2)
+    hits = automaton.occurrences(texts, [key], F.regexp_replace(text, r"(?U)\s+", ""), terms, "term").select(key, "term")
+    covered = hits.select(key, F.col("term").alias("longer")).join(inside_others(terms), "longer").select(key, "term")
+    return hits.join(covered, [key, "term"], "left_anti")
 
 
 def result_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, picked: DataFrame) -> DataFrame:
     """key, term, cnt: terms counted in result texts (key, rank, text), not nested in what the query itself named; most frequent first, up to twice MAX_DEFINITIONS in all."""
     inside = F.transform(F.array_sort(F.collect_list(F.struct("rank", text))), lambda x: x[text])
-    bare = texts.groupBy(key).agg(F.array_join(inside, " ").alias("_t")).withColumn("_t", F.regexp_replace("_t", r"(?U)\s+", ""))
-    hits = bare.join(terms.select("term", "ord"), F.expr("instr(_t, term) > 0")).select(key, "term", "ord", occurrences(F.col("_t"), F.col("term")).alias("cnt"))
-    own = picked.select(F.col(key).alias("_k"), F.col("term").alias("_p"))
-    hits = hits.join(own, (F.col(key) == F.col("_k")) & F.expr("instr(_p, term) > 0"), "left_anti")
+    bare = texts.groupBy(key).agg(F.array_join(inside, " ").alias("_t"))
+    hits = automaton.occurrences(bare, [key], F.regexp_replace("_t", r"(?U)\s+", ""), terms, "term").withColumnRenamed("n", "cnt").join(terms.select("term", "ord"), "term")
+    nested = picked.select(key, F.col("term").alias("longer")).join(inside_others(terms), "longer").select(key, "term")
+    hits = hits.join(nested.unionByName(picked.select(key, "term")), [key, "term"], "left_anti")
     spent = picked.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cnt"), F.desc(F.length("term")), "ord"))
     return hits.join(spent, F.col(key) == F.col("_k"), "left").withColumn("_r", rank).where("_r <= greatest(1, 10 - coalesce(_n, 0))").select(key, "term", "cnt")
@@ -120,7 +128,10 @@ def term_levels(asked: DataFrame, entries: DataFrame) -> DataFrame:
     e = e.withColumn("_head", head).withColumn("_words", F.when(F.col("_head"), F.transform(F.split("term", r"\s+"), gloss_norm)))
     q = asked.select("raw", gloss_norm(F.col("raw")).alias("q"))
     level = F.when(F.col("term") == F.col("raw"), 1).when(F.col("norm") == F.col("q"), 2).when((F.length("q") >= 2) & F.array_contains(F.col("_words"), F.col("q")), 3).when((F.length("q") >= 2) & F.expr("instr(norm, q) > 0"), 4)
-    hits = q.join(e, F.expr("instr(norm, q) > 0 or term = raw")).withColumn("level", level).where("level is not null")
+    inside = automaton.occurrences(e.select("norm").distinct(), ["norm"], "norm", q, "q").select("norm", "q")
+    by_part = q.join(inside, "q").join(e, "norm").select("raw", "q", "ord")
+    by_equality = [q.join(e, F.col(a) == F.col(b)).select("raw", "q", "ord") for a, b in (("term", "raw"), ("norm", "q"))]
+    hits = by_part.unionByName(by_equality[0]).unionByName(by_equality[1]).distinct().join(e, "ord").withColumn("level", level).where("level is not null")
     best = F.first(F.struct("level", F.when(F.col("level") > 2, F.length("norm")).otherwise(0), F.when(F.col("level") > 2, F.col("norm")))).over(Window.partitionBy("raw").orderBy("level", F.when(F.col("level") > 2, F.length("norm")).otherwise(0), "ord"))
     hits = hits.withColumn("_best", best).where((F.col("level") == F.col("_best.level")) & ((F.col("level") < 3) | (F.col("norm") == F.col("_best.col3"))))
     return hits.select("raw", F.col("level").cast("int").alias("level"), "term", "ord", "source_id")
