@@ -87,7 +87,7 @@ def occurrences(texts: DataFrame, key: list[str], text: str | Column, strings: D
         groups = max(1, -(-(body.agg(F.sum(F.length("_text"))).first()[0] or 0) // group_chars))
         all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         dealt = body.withColumn("_group", F.monotonically_increasing_id() % groups).withColumn("_shard", all_of(shards))
-        probes = probes.withColumn("_shard", F.pmod(F.xxhash64("_string"), F.lit(shards)).cast("int")).withColumn("_group", all_of(groups).cast("long"))
+        probes = probes.withColumn("_shard", F.pmod(F.xxhash64("_string"), F.lit(shards)).cast("int")).withColumn("_at", all_of(groups)).withColumn("_group", F.col("_at").cast("long"))
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             pairs = zip(right.column("_string").to_pylist(), rows_of(right, scopes))
