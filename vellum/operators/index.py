@@ -264,10 +264,11 @@ def _write_segment(spark: SparkSession, path: str, rows: DataFrame | None, m: di
     entry = F.struct(F.col(key), "tf", "dl")
     blocks = posted.repartition(buckets * slices, "bucket", "slice").groupBy("bucket", "slice", "tok", "range").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     blocks = blocks.withColumn("super", F.floor(F.col("range") / RANGE)).drop("slice").sortWithinPartitions("bucket", "tok", "range")
-    blocks = put(blocks.withColumn("n", F.size("entries").cast("long")), f"{where}/blocks", "bucket")
+    folders = ["bucket"] if postings else []  # a table without rows would leave no file to tell its columns
+    blocks = put(blocks.withColumn("n", F.size("entries").cast("long")), f"{where}/blocks", *folders)
     supers = blocks.groupBy("bucket", "tok", "super").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
-    supers = put(supers.repartition("bucket").sortWithinPartitions("bucket", "tok", "super"), f"{where}/supers", "bucket")
-    put(supers.groupBy("bucket", "tok").agg(F.sum("n").alias("df")).sortWithinPartitions("bucket", "tok"), f"{where}/terms", "bucket")
+    supers = put(supers.repartition("bucket").sortWithinPartitions("bucket", "tok", "super"), f"{where}/supers", *folders)
+    put(supers.groupBy("bucket", "tok").agg(F.sum("n").alias("df")).sortWithinPartitions("bucket", "tok"), f"{where}/terms", *folders)
     sizes = docs.agg(F.count("*").alias("points"), F.count_if(F.col("dl") > 0).alias("with_tokens"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
     return {"id": segment, "buckets": buckets, "postings": postings, "dead": False, **sizes.asDict()}
 

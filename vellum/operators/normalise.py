@@ -1,14 +1,11 @@
 """Normalising source files into paragraph files: what a line is, which lines open paragraphs, under which numbers.
 
-Lines are rows (file, line_no, line, ...). Everything that looks a fixed way back or ahead is a window over a
-file; only what depends on its own earlier decisions (series, expected cases) is a fold, one file at a time.
+Lines are rows (file, line_no, line, ...). What looks back or ahead is a window over a file; only the expected cases of
+appendices depend on their own earlier decisions, and go through an SQL aggregate.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +30,8 @@ ZONE_BOILERPLATE = [
     r"^\*\*(기업회계기준서?|국제회계기준|한국채택국제회계기준|K-IFRS|IFRS|IAS|SIC|IFRIC).{0,70}\*\*$",
 ]
 RESOLUTIONS = [r"^회계기준위원회 위원\s*:", r"회계기준위원회\S*\s*위원\s*\d+인.*의결하였다"]
-#: The beginnings of native numbers, and of what is no number at all.
-NATIVE, CURRENCY = ("BC", "IE", "IG"), "CU"
+#: Fixed value: a line that opens a case.
+CASE_LINE = r"^사례\s*(\d+)(?:[\s\-–—::].*)?$"
 
 
 def by_line() -> "Window":
@@ -56,23 +53,37 @@ def emitted(events: DataFrame) -> DataFrame:
     in a row the last that is not counts. A continuation that looks like a head is indented.
     """
 
-    def step(f: pd.DataFrame) -> pd.DataFrame:
-        written, waiting, out = None, None, []
-        for kind, text in zip(f["kind"], f["text"]):
-            if kind == "section":
-                waiting = text if text != written else waiting
-                out.append(None)
-            else:
-                out.append(waiting)
-                written, waiting = written if waiting is None else waiting, None
-        return f.assign(_s=pd.Series(out, f.index, dtype=object))
-
-    rows = fold(events.select("file", F.col("pos").alias("line_no"), "kind", "number", "text"), step, "_s string").where("kind <> 'section'")
+    order = Window.partitionBy("file").orderBy("pos")
+    lines_before = F.coalesce(F.count_if(F.col("kind") != "section").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    events = events.select("file", "pos", "kind", "number", "text", lines_before.alias("_run"))
+    rows = events.where("kind <> 'section'").join(_written_sections(events.where("kind = 'section'")), ["file", "_run"], "left")
     head = F.concat(F.col("number"), F.lit(".\t"), F.coalesce("text", F.lit("")))
     cont = F.when(F.col("text").rlike(HEAD), F.concat(F.lit("\t"), "text")).otherwise(F.col("text"))
     body = F.regexp_replace(F.when(F.col("kind") == "para", head).otherwise(cont), r"(?U)\s+$", "")
     lines = F.concat(F.when(F.col("_s").isNotNull(), F.array(F.lit(""), F.concat(F.lit("## "), "_s"))).otherwise(F.array().cast("array<string>")), F.when(F.col("kind") == "para", F.array(F.lit(""), body)).otherwise(F.array(body)))
-    return rows.select("file", F.col("line_no").alias("pos"), F.posexplode(lines).alias("part", "line"))
+    return rows.select("file", "pos", F.posexplode(lines).alias("part", "line"))
+
+
+def _written_sections(sections: DataFrame) -> DataFrame:
+    """sections: file, pos, text, _run (those between the same two lines) -> file, _run, _s: the section that each run writes, if any.
+
+    A run writes its last section, or, where that is the one written last, its last other one. So what stands written after a run is one of these two; which one
+    depends on the run before through a map of one bit, and such maps are put together by the last constant one and the number of negations since.
+    """
+    run, order = Window.partitionBy("file", "_run"), Window.partitionBy("file").orderBy("_run")
+    last = F.max_by("text", "pos")
+    runs = sections.withColumn("_t", last.over(run)).groupBy("file", "_run", "_t").agg(F.max_by("text", F.when(~F.col("text").eqNullSafe(F.col("_t")), F.col("pos"))).alias("_u"), F.max(F.when(~F.col("text").eqNullSafe(F.col("_t")), True)).alias("_two"))
+    runs = runs.withColumns({"_two": F.coalesce("_two", F.lit(False)), "_t1": F.lag("_t").over(order), "_u1": F.lag("_u").over(order), "_first": F.row_number().over(order) == 1})
+    after = lambda c: F.col("_two") & F.coalesce(F.col(c) == F.col("_t"), F.lit(False))
+    runs = runs.withColumns({"_f0": after("_t1"), "_f1": after("_u1")})
+    runs = runs.withColumn("_constant", F.col("_first") | (F.col("_f0") == F.col("_f1")))
+    runs = runs.withColumn("_group", F.count_if("_constant").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    group = Window.partitionBy("file", "_group").orderBy("_run").rowsBetween(Window.unboundedPreceding, 0)
+    negations = F.count_if(F.col("_f0") & ~F.col("_f1")).over(group)
+    runs = runs.withColumn("_other", F.first("_f0").over(group) != (negations % 2 == 1))
+    before = F.when(F.coalesce(F.lag("_other").over(order), F.lit(False)), F.col("_u1")).otherwise(F.col("_t1"))
+    written = F.when(F.col("_other"), F.col("_u")).when(F.col("_first") | ~before.eqNullSafe(F.col("_t")), F.col("_t"))
+    return runs.select("file", "_run", written.alias("_s"))
 
 
 def rendered(lines: DataFrame, meta: DataFrame) -> DataFrame:
@@ -87,7 +98,7 @@ def rendered(lines: DataFrame, meta: DataFrame) -> DataFrame:
 
 def corrected(rows: DataFrame, corrections: DataFrame) -> DataFrame:
     """Numbers of (file, idx) that the source has wrong, out of a table: file, idx, number."""
-    fixed = F.broadcast(corrections.select("file", "idx", F.col("number").alias("_n")))
+    fixed = corrections.select("file", "idx", F.col("number").alias("_n"))
     return rows.join(fixed, ["file", "idx"], "left").withColumn("number", F.coalesce("_n", "number")).drop("_n")
 
 
@@ -143,59 +154,46 @@ def isqm_rebuilt(events: DataFrame, opening: str) -> DataFrame:
     return first.unionByName(events.select("file", "pos", "kind", "number", "text"))
 
 
-def fold(rows: DataFrame, step, more: str) -> DataFrame:
-    """`step`, a pandas function of one file's rows in order, over each file; it adds the columns `more`."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy("file").applyInPandas(lambda f: step(f.sort_values("line_no", kind="stable")), f"{kinds}, {more}")
-
-
 def promoted(rows: DataFrame) -> DataFrame:
     """Heads without a period. rows: file, line_no, line, number (of a paragraph that is sure, or null), candidate (whether the line may be promoted). Adds promoted.
 
-    One is promoted where it starts a series or goes on with the letters of the paragraph before, sure or promoted itself.
+    One is promoted where it starts a series or goes on with the letters of the paragraph before, sure or promoted itself. One that
+    goes on leaves the letters as they are, so only sure paragraphs and starts need be looked back for.
     """
-    rows = rows.withColumn("_head", F.when(F.col("candidate") & F.col("line").rlike(NO_PERIOD), F.regexp_extract("line", NO_PERIOD, 1)))
-    rows = rows.withColumn("_starts", F.col("_head").rlike(SERIES_START)).withColumn("_series", para_series(F.coalesce("_head", "number")))
-
-    def step(f: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for number, head, starts, series in zip(f["number"], f["_head"], f["_starts"], f["_series"]):
-            up = isinstance(head, str) and (bool(starts) or (isinstance(series, str) and series == last))
-            if up or isinstance(number, str):
-                last = series if isinstance(series, str) else None
-            out.append(head if up else None)
-        return f.assign(promoted=out)
-
-    return fold(rows, step, "promoted string").drop("_head", "_starts", "_series")
+    head = F.when(F.col("candidate") & F.col("line").rlike(NO_PERIOD), F.regexp_extract("line", NO_PERIOD, 1))
+    rows = rows.withColumn("_head", head).withColumn("_starts", F.coalesce(F.col("_head").rlike(SERIES_START), F.lit(False))).withColumn("_series", para_series(F.coalesce("_head", "number")))
+    sets = F.when(F.col("number").isNotNull() | F.col("_starts"), F.struct("_series"))
+    in_force = F.last(sets, True).over(by_line().rowsBetween(Window.unboundedPreceding, -1))
+    goes_on = F.coalesce(in_force["_series"] == F.col("_series"), F.lit(False))
+    return rows.withColumn("promoted", F.when(F.col("_starts") | goes_on, F.col("_head"))).drop("_head", "_starts", "_series")
 
 
 def appendix_numbers(rows: DataFrame) -> DataFrame:
     """Virtual numbers of appendices. rows: file, line_no, line, opens (an appendix begins), reference, single_case (of that appendix), numbered (a real paragraph). Adds virtual.
 
-    The first line of an appendix that is no paragraph gets `부록N`, of a list of references `참조N`, of a lone case
-    `부록-사례N`. A line `사례 N` opens a case only if N is the next one expected, which a mention in the text is not.
+    The first line of an appendix that is no paragraph, with no paragraph before it, gets `부록N`, of a list of references `참조N`, of a lone case
+    `부록-사례N`. A line `사례 N` opens a case only if N is the next one expected, which a mention in the text is not: only these lines
+    and lone cases, few in a file, go through an aggregate in order.
     """
-
-    def step(f: pd.DataFrame) -> pd.DataFrame:
-        appendix = reference = 0
-        case, inside, pending, out = 1, False, None, []
-        for line, opens, is_reference, lone, numbered in zip(f["line"], f["opens"], f["reference"], f["single_case"], f["numbered"]):
-            given = None
-            if opens:
-                inside, appendix = True, appendix + 1
-                reference += bool(is_reference)
-                pending = f"참조{reference}" if is_reference else f"부록-사례{case}" if lone else f"부록{appendix}"
-            elif numbered:
-                pending = None
-            elif inside and line and line.strip():
-                named = re.match(r"사례\s*(\d+)(?:[\s\-–—::].*)?$", line.lstrip(">").strip())
-                if named and int(named[1]) == case:
-                    given = f"부록-사례{case}"
-                elif pending:
-                    given = pending
-                if given:
-                    case, pending = case + given.startswith("부록-사례"), None
-            out.append(given)
-        return f.assign(virtual=out)
-
-    return fold(rows, step, "virtual string")
+    w = by_line()
+    so_far, opens = w.rowsBetween(Window.unboundedPreceding, 0), F.coalesce(F.col("opens"), F.lit(False))
+    is_reference, lone = (F.coalesce(F.col(c), F.lit(False)) for c in ("reference", "single_case"))
+    found = rows.withColumns({"_appendix": F.count_if(opens).over(so_far), "_reference": F.count_if(opens & is_reference).over(so_far)})
+    found = found.withColumn("_kind", F.last(F.when(opens, F.when(is_reference, "reference").when(lone, "case").otherwise("appendix")), True).over(so_far))
+    numbered = F.coalesce(F.col("numbered"), F.lit(False))
+    eligible = (F.col("_appendix") > 0) & ~opens & ~numbered & F.coalesce(F.col("line").rlike(r"(?U)\S"), F.lit(False))
+    within = Window.partitionBy("file", "_appendix").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_eligible", eligible).withColumn("_takes", F.col("_eligible") & (F.coalesce(F.count_if(F.col("_eligible") | (numbered & ~opens)).over(within), F.lit(0)) == 0))
+    stripped = F.regexp_replace(F.regexp_replace("line", "^>+", ""), r"(?U)^\s+|\s+$", "")
+    named = F.when(F.col("_eligible"), F.regexp_extract(stripped, CASE_LINE, 1))
+    found = found.withColumn("_named", F.when(named != "", named.cast("decimal(38,0)"))).withColumn("_lone", F.col("_takes") & (F.col("_kind") == "case"))
+    event = F.struct("line_no", "_named", "_lone")
+    cases = found.where("_named is not null or _lone").groupBy("file").agg(F.array_sort(F.collect_list(event)).alias("e"))
+    line_no = dict(rows.dtypes)["line_no"]
+    none = F.struct(F.lit(1).cast("long").alias("next"), F.array().cast(f"array<struct<line_no: {line_no}, case: bigint>>").alias("got"))
+    step = lambda s, e: F.when(e["_lone"] | F.coalesce(e["_named"] == s["next"], F.lit(False)), F.struct((s["next"] + 1).alias("next"), F.concat(s["got"], F.array(F.struct(e["line_no"].alias("line_no"), s["next"].alias("case")))).alias("got"))).otherwise(s)
+    cases = cases.select("file", F.explode(F.aggregate("e", none, step)["got"]).alias("c")).select("file", "c.line_no", F.col("c.case").alias("_case"))
+    found = found.join(cases, ["file", "line_no"], "left")
+    of_appendix = F.when(F.col("_kind") == "reference", F.concat(F.lit("참조"), "_reference")).otherwise(F.concat(F.lit("부록"), "_appendix"))
+    virtual = F.when(F.col("_case").isNotNull(), F.concat(F.lit("부록-사례"), "_case")).when(F.col("_takes"), of_appendix)
+    return found.withColumn("virtual", virtual).select(*rows.columns, "virtual")

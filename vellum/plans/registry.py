@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import checks, evaluation, fingerprint, glossary, index, parse, search
+from vellum.operators import checks, dense, evaluation, fingerprint, glossary, index, parse, search
 from vellum.operators.containment import contained
 from vellum.plans import more_sql
 from vellum.plans.base import known, load, new_folder, once, query, sql_of
@@ -285,6 +285,15 @@ def dense_topk(spark, sf_dir):
     return search.top(search.dense_scores(asked, "item_id", vectors, "doc_id"), "item_id", "doc_id").select("item_id", "doc_id", "rank", "score")
 
 
+@query("""with s as (select b.item_id, d.vec_id as doc_id, round(list_dot_product(d.embedding::double[], e.embedding::double[]), 9) as score from benchmark b join embeddings e on b.item_id = e.vec_id, embeddings d),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s) select item_id, doc_id, score from r where rank = 1""")
+def dense_index_nearest(spark, sf_dir):
+    """The nearest vector by the index of sign patterns: a query visits its own code first, so what equals it is found for sure."""
+    vectors, asked = dense_sides(spark, sf_dir)
+    made = once(spark, sf_dir, "dense-index", lambda path: dense.build(vectors, path, "doc_id"))
+    return made.top(asked, "item_id", 1).select("item_id", "doc_id", "score")
+
+
 def fused_sql(where: str = "true", dense: bool = True) -> str:
     branches = ["select item_id, doc_id, rank from a where rank <= 50"] + ["select item_id, doc_id, rank from b where rank <= 50"] * dense
     return f"""with {TF}, {DENSE}, ok as (select doc_id from documents where {where}), a as (select *, {RANKED} from sp where doc_id in (select doc_id from ok)),

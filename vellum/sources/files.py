@@ -1,12 +1,7 @@
-"""JSON and JSON lines, reports, the index's metadata and tables, and formats that need a reader this package does not bring."""
+"""JSON and JSON lines, reports, the index's metadata and tables."""
 
 from __future__ import annotations
 
-import shutil
-import subprocess
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,39 +47,3 @@ def write_metadata(path: str, manifest: DataFrame, vocabulary: DataFrame, glossa
 def create_collection(spark: SparkSession, table: str, schema: str, path: str, buckets: int = 64) -> None:
     """The table of points, clustered by the fields that searches filter by; nothing happens if it is there."""
     spark.sql(f"create table if not exists {table} ({schema}) using parquet clustered by (source_type, standard_no) into {buckets} buckets location '{path}'")
-
-
-def pdf_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, page, pos, text of a PDF's lines. Needs PyMuPDF on the executors, and says so where it is absent."""
-
-    kinds = pa.schema([("path", pa.string()), ("page", pa.int32()), ("pos", pa.int32()), ("text", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import fitz
-
-        for path, content in contents(batches):
-            with fitz.open(stream=content, filetype="pdf") as document:
-                for number, page in enumerate(document, 1):
-                    found = ("".join(s["text"] for s in line["spans"]) for block in page.get_text("dict")["blocks"] for line in block.get("lines", ()))
-                    yield pa.RecordBatch.from_pylist([{"path": path, "page": number, "pos": i, "text": text} for i, text in enumerate(found)], schema=kinds)
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, page int, pos int, text string")
-
-
-def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-
-
-def doc_lines(spark: SparkSession, paths: str | list[str], program: str = "catdoc", options: tuple[str, ...] = ("-d", "utf-8")) -> DataFrame:
-    """path, pos, text of a legacy document's lines through an external reader on the executors, `-` for its input; without the reader a file has no lines."""
-
-    kinds = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("text", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, content in contents(batches):
-            if shutil.which(program):
-                text = subprocess.run([program, *options, "-"], input=content, capture_output=True, check=True).stdout.decode("utf-8", "replace")
-                yield pa.RecordBatch.from_pylist([{"path": path, "pos": i, "text": line.strip()} for i, line in enumerate(text.split("\n")) if line.strip()], schema=kinds)
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, pos int, text string")

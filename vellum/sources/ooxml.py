@@ -89,7 +89,7 @@ class Numbering:
         if list_id == "0":
             list_id = None
         kind, template, start = self.levels.get(self.abstract.get(list_id), {}).get(level, (None, None, None))
-        if kind is None:
+        if self.abstract.get(list_id) not in self.levels:
             list_id = None
         return {"style": style, "list_id": list_id, "abstract_id": self.abstract.get(list_id), "level": level, "format": kind, "template": template, "start": start, "override": self.starts.get((list_id, level))}
 
@@ -133,6 +133,7 @@ def table_events(content: bytes) -> list[dict]:
 
 
 EVENTS = "path string, pos int, kind string, text string, style string, list_id string, abstract_id string, level int, format string, template string, start double, override double"
+DEFINITIONS, STARTS = "path string, abstract_id string, level int, format string, template string, start int", "path string, list_id string, level int, override int"
 TABLE_EVENTS = "path string, pos int, kind string, number string, text string"
 
 
@@ -150,6 +151,18 @@ def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _scan(spark, paths, events, EVENTS)
 
 
+def list_definitions(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Every level of every abstract list, and every list's own starts, as numbering.numbering_expand takes them."""
+
+    def lists(content: bytes) -> Numbering:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            return Numbering(z)
+
+    levels = lambda content: [{"abstract_id": a, "level": k, "format": f, "template": t, "start": s} for a, of in lists(content).levels.items() for k, (f, t, s) in of.items()]
+    starts = lambda content: [{"list_id": n, "level": k, "override": s} for (n, k), s in lists(content).starts.items()]
+    return _scan(spark, paths, levels, DEFINITIONS), _scan(spark, paths, starts, STARTS)
+
+
 def scan_table(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _scan(spark, paths, table_events, TABLE_EVENTS)
 
