@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import l2_norm, l2_normalise
@@ -185,23 +185,29 @@ def drift(rows: DataFrame, by: str, expected: dict[str, int]) -> DataFrame:
 
 
 def load_gate(records: DataFrame, vectors: DataFrame, expected: int, dim: int) -> DataFrame:
-    """check, n_violations: the checks of a load; all are to be 0. records: composite_id, source_file, seq, part_no, part_total; vectors: composite_id, dense."""
-    logical = F.substring_index("composite_id", "#", 1)
-    parts = records.where("part_no is not null").withColumn("logical", logical)
-    totals = parts.groupBy("logical").agg(F.min("part_total").alias("t"), F.max("part_total").alias("u"), F.count("*").alias("n")).where("t <> u or t <> n")
-    found = {
-        "points": records.agg(F.abs(F.count("*") - expected).alias("n")),
-        "sequence": continuity(records.select("source_file", "seq").distinct(), "source_file", "seq").agg(F.count("*").alias("n")),
-        "unique ids": duplicates(records, "composite_id").agg(F.count("*").alias("n")),
-        "vectors": vector_problems(vectors, "composite_id", "dense", dim).agg(F.count("*").alias("n")),
-        "keys": key_agreement(records, vectors, "composite_id").agg(F.count("*").alias("n")),
-        "parts": continuity(parts, "logical", "part_no").select("logical").union(totals.select("logical")).distinct().agg(F.count("*").alias("n")),
-    }
-    out = None
-    for name, rows in found.items():
-        rows = rows.select(F.lit(name).alias("check"), F.col("n").cast("long").alias("n_violations"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """check, n_violations: the checks of a load; all are to be 0. records: composite_id, source_file, seq, part_no, part_total; vectors: composite_id, dense.
+
+    One pass: every row says under which key each check looks at it, and one aggregate by (check, key) settles them all.
+    """
+    look = lambda check, key, n=1, have=None, other=None: F.struct(F.lit(check).alias("check"), key.cast("string").alias("key"), *(F.lit(x).cast("long").alias(c) if not isinstance(x, Column) else x.cast("long").alias(c) for c, x in (("n", n), ("have", have), ("other", other))))
+    parted = F.col("part_no").isNotNull()
+    mine = [look("points", F.lit("all")), look("sequence", F.col("source_file"), 1, F.col("seq")), look("unique ids", F.col("composite_id")), look("keys", F.col("composite_id"), 1, 1), F.when(parted, look("parts", F.substring_index("composite_id", "#", 1), 1, F.col("part_no"), F.col("part_total")))]
+    norm = l2_norm(F.col("dense"))
+    bad = F.coalesce((F.size("dense") != dim) | F.isnan(norm) | (F.abs(norm - 1) > 1e-3), F.lit(True))
+    theirs = [look("vectors", F.col("composite_id"), bad.cast("long")), look("keys", F.col("composite_id"), 0, 2)]
+    rows = records.select(F.explode(F.array_compact(F.array(*mine))).alias("s")).unionByName(vectors.select(F.explode(F.array(*theirs)).alias("s"))).select("s.*")
+    checked = rows.groupBy("check", "key").agg(F.sum("n").alias("n"), F.min("have").alias("lo"), F.max("have").alias("hi"), F.count_distinct("have").alias("kinds"), F.count("have").alias("there"), F.min("other").alias("least"), F.max("other").alias("most"))
+    whole = (F.col("lo") == 1) & (F.col("hi") == F.col("kinds"))
+    check = F.col("check")
+    wrong = (
+        F.when(check == "points", F.abs(F.col("n") - expected)).when(check == "sequence", (~F.coalesce(whole, F.lit(False))).cast("long")).when(check == "unique ids", (F.col("n") > 1).cast("long"))
+        .when(check == "vectors", F.col("n")).when(check == "keys", (F.col("kinds") < 2).cast("long"))
+        .otherwise((~F.coalesce(whole & (F.col("least") == F.col("most")) & (F.col("most") == F.col("there")) & (F.col("kinds") == F.col("there")), F.lit(False))).cast("long"))
+    )
+    names = records.sparkSession.createDataFrame([(c,) for c in ("points", "sequence", "unique ids", "vectors", "keys", "parts")], "check string")
+    total = checked.groupBy("check").agg(F.sum(wrong).alias("n_violations"))
+    none = F.when(F.col("check") == "points", F.lit(expected)).otherwise(F.lit(0)).cast("long")
+    return names.join(total, "check", "left").withColumn("n_violations", F.coalesce("n_violations", none))
 
 
 class ContractMismatch(Exception):

@@ -21,7 +21,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.operators import search
@@ -47,6 +47,14 @@ def put(rows: DataFrame, path: str, *by: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+class GateRefused(ValueError):
+    """What a batch holds may not be published; `violations` says which checks found how many rows."""
+
+    def __init__(self, violations: dict[str, int]):
+        super().__init__(f"not published: {violations}")
+        self.violations = violations
+
+
 class SearchIndex:
     """The index in `path` as of its latest snapshot, or of `version`. `tokenizer` gives (key, pos, tok) of rows, and is to be the one it was built with."""
 
@@ -204,15 +212,15 @@ class SearchIndex:
 
     # ---- writing
 
-    def upsert(self, rows: DataFrame, deletes: DataFrame | None = None, epoch: tuple[str, int] | None = None) -> SearchIndex:
-        """The index after a batch: rows whose keys it has replace what stands under them, others are new; `deletes` has keys. Keys of rows are distinct.
+    def upsert(self, rows: DataFrame, deletes: DataFrame | None = None, epoch: tuple[str, int] | None = None, gate: dict[str, Column] | None = None) -> SearchIndex:
+        """The index after a batch: rows whose keys it has replace what stands under them, others are new; `deletes` has keys. Keys of rows are distinct. `gate` as in build.
 
         An epoch (of a named stream) that was applied before, or one before it, changes nothing; so a batch may come again.
         """
         m = self.manifest
         if epoch and m["epochs"].get(epoch[0], -1) >= epoch[1]:
             return self
-        new = _write_segment(self.spark, self.path, rows, m, self.tokenizer)
+        new = _write_segment(self.spark, self.path, rows, m, self.tokenizer, gate=gate)
         where = f"{self.path}/segments/{new['id']}"
         gone = self.spark.read.parquet(f"{where}/docs").select(self.key)
         gone = gone if deletes is None else gone.unionByName(deletes.select(self.key)).distinct()
@@ -246,12 +254,22 @@ def _write_snapshot(spark: SparkSession, path: str, manifest: dict) -> None:
     spark.createDataFrame([row], SNAPSHOT).drop("version").coalesce(1).write.mode("error").json(f"{path}/snapshots/version={manifest['version']}")
 
 
-def _write_segment(spark: SparkSession, path: str, rows: DataFrame | None, m: dict, tokenizer, made: tuple[DataFrame, DataFrame] | None = None) -> dict:
-    """Writes the segment of `rows`, or of payload and counts that are there, and gives what a snapshot says of it."""
+def _write_segment(spark: SparkSession, path: str, rows: DataFrame | None, m: dict, tokenizer, made: tuple[DataFrame, DataFrame] | None = None, gate: dict[str, Column] | None = None) -> dict:
+    """Writes the segment of `rows`, or of payload and counts that are there, and gives what a snapshot says of it.
+
+    What the gate asks for is counted as the payload is written, in that pass; a segment that is refused is named by no snapshot.
+    """
     key, segment = m["key"], uuid.uuid4().hex
     where = f"{path}/segments/{segment}"
-    points, counts = made or (rows.select(*m["payload"]) if m["payload"] else rows, search.term_counts(tokenizer(rows, key, m["text"]), key))
-    points, counts = put(points, f"{where}/points"), put(counts, f"{where}/counts")
+    points, counts = made or (rows, search.term_counts(tokenizer(rows, key, m["text"]), key))
+    seen = Observation()
+    points = points.observe(seen, F.count("*").alias("points"), F.count_if(F.col(key).isNull()).alias("keys that are null"), *(x.cast("long").alias(c) for c, x in (gate or {}).items()))
+    points = put(points.select(*m["payload"]) if m["payload"] else points, f"{where}/points")
+    found = dict(seen.get)
+    total = found.pop("points")
+    if gate is not None and (refused := {c: n for c, n in found.items() if n}):
+        raise GateRefused(refused)
+    counts = put(counts, f"{where}/counts")
     order = [*m["order"], key]
     lengths = counts.groupBy(key).agg(F.sum("tf").alias("dl"))
     docs = points.select(*dict.fromkeys(order)).distinct().join(lengths, key, "left").withColumn("dl", F.coalesce("dl", F.lit(0).cast("long")))
@@ -269,15 +287,20 @@ def _write_segment(spark: SparkSession, path: str, rows: DataFrame | None, m: di
     supers = blocks.groupBy("bucket", "tok", "super").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
     supers = put(supers.repartition("bucket").sortWithinPartitions("bucket", "tok", "super"), f"{where}/supers", *folders)
     put(supers.groupBy("bucket", "tok").agg(F.sum("n").alias("df")).sortWithinPartitions("bucket", "tok"), f"{where}/terms", *folders)
+    if gate is not None and (repeated := total - docs.count()):
+        raise GateRefused({"rows of repeated keys": repeated})
     sizes = docs.agg(F.count("*").alias("points"), F.count_if(F.col("dl") > 0).alias("with_tokens"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
     return {"id": segment, "buckets": buckets, "postings": postings, "dead": False, **sizes.asDict()}
 
 
-def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.ordered_tokens, k1: float = search.K1, b: float = search.B, contract: dict | None = None, payload: list[str] | None = None, order: list[str] | None = None) -> SearchIndex:
-    """Writes the index of `points`, whose keys are distinct, with those columns kept that `payload` names (all, if none). `order` puts alike documents side by side, which makes bounds tight."""
+def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.ordered_tokens, k1: float = search.K1, b: float = search.B, contract: dict | None = None, payload: list[str] | None = None, order: list[str] | None = None, gate: dict[str, Column] | None = None) -> SearchIndex:
+    """Writes the index of `points`, whose keys are distinct, with those columns kept that `payload` names (all, if none). `order` puts alike documents side by side, which makes bounds tight.
+
+    gate: aggregates over points, by name, that are to be 0, as counts of what may not be; with one, keys are held to be there and distinct too. If any is not, GateRefused is raised and nothing is published.
+    """
     spark, path = points.sparkSession, path.rstrip("/")
     m = {"key": key, "text": text, "order": order or [], "payload": payload or [], "k1": k1, "b": b, "contract": json.dumps(contract or {}), "epochs": {}, "version": 0}
-    new = _write_segment(spark, path, points, m, tokenizer)
+    new = _write_segment(spark, path, points, m, tokenizer, gate=gate)
     segment = {k: new[k] for k in ("id", "buckets", "postings", "points", "dead")}
     _write_snapshot(spark, path, m | {"segments": [segment], **{c: new[c] for c in ("points", "with_tokens", "tokens")}})
     return SearchIndex(spark, path, tokenizer)

@@ -115,6 +115,16 @@ def uuid5_ids(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.uuid5(NAMESPACE, F.concat(F.lit("DOC::"), F.col("doc_id").cast("string"))).alias("id"))
 
 
+@query("""with a as (select doc_id::varchar as key, case when doc_id % 17 = 3 then upper(text) else text end as text from documents where doc_id % 13 <> 5), b as (select doc_id::varchar as key, text from documents where doc_id % 11 <> 4)
+select coalesce(a.key, b.key) as key, case when a.key is null then 'added' when b.key is null then 'removed' else 'changed' end as change from a full join b on a.key = b.key where a.key is null or b.key is null or a.text is distinct from b.text""")
+def corpus_changes(spark, sf_dir):
+    """An older state of the corpus against the present one, by their hash trees: some documents added, some removed, some in other words."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    older = docs.where("doc_id % 13 <> 5").withColumn("text", F.when(F.col("doc_id") % 17 == 3, F.upper("text")).otherwise(F.col("text")))
+    trees = [fingerprint.write_tree(rows, new_folder(spark, "tree"), "doc_id", "text") for rows in (older, docs.where("doc_id % 11 <> 4"))]
+    return fingerprint.changed(*trees)
+
+
 @query("select source, substr(sha256(string_agg(text, chr(0) order by doc_id)), 1, 16) as fingerprint from documents group by source")
 def content_fingerprint(spark, sf_dir):
     return fingerprint.per_group(load(spark, sf_dir, "documents"), "source", "doc_id", "text")
