@@ -243,7 +243,7 @@ def test_own_tokenizer_and_encoder(spark, tmp_path):
     def letters(rows, key, text="text"):
         return rows.select(key, F.posexplode(F.split(F.col(text), "")).alias("pos", "tok"))
 
-    made = build(spark.createDataFrame([(1, "abca"), (2, "bd")], "k int, text string"), str(tmp_path / "i"), "k", "text", letters, 2)
+    made = build(spark.createDataFrame([(1, "abca"), (2, "bd")], "k int, text string"), str(tmp_path / "i"), "k", "text", letters)
     asked = spark.createDataFrame([(7, "axbx")], "q int, text string")
     assert sorted(r.tok for r in made.tokens(asked, "q", "text").collect()) == ["a", "b", "x"]
     assert made.out_of_vocabulary(made.tokenizer(asked, "q", "text"), "q").first().oov == ["x"]

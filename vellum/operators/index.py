@@ -65,6 +65,7 @@ class SearchIndex:
         if latest is None:
             raise ValueError(f"no such snapshot in {self.path}")
         self.manifest = latest.asDict(recursive=True)
+        self.manifest = json.loads(self.manifest["contract"]) | self.manifest
         self.manifest["avgdl"] = self.manifest["tokens"] / self.manifest["with_tokens"] if self.manifest["with_tokens"] else 0.0
         self.key = self.manifest["key"]
 
@@ -276,7 +277,7 @@ def _write_segment(spark: SparkSession, path: str, rows: DataFrame | None, m: di
     order, parts = [*m["order"], docs["dl"], key], int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = put(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(key, "dl", F.floor(F.monotonically_increasing_id() / RANGE).alias("range")), f"{where}/docs")
     postings = counts.count()
-    buckets = min(MOST_BUCKETS, 1 << (postings // PER_BUCKET).bit_length())
+    buckets = min(MOST_BUCKETS, m.get("buckets") or 1 << (postings // PER_BUCKET).bit_length())
     slices = -(-max(parts, postings // PER_TASK) // buckets)
     posted = counts.join(docs, key).withColumn("bucket", bucket(F.col("tok"), buckets)).withColumn("slice", F.pmod(F.xxhash64("tok", F.floor(F.col("range") / SPREAD)), F.lit(slices)))
     entry = F.struct(F.col(key), "tf", "dl")
@@ -293,14 +294,15 @@ def _write_segment(spark: SparkSession, path: str, rows: DataFrame | None, m: di
     return {"id": segment, "buckets": buckets, "postings": postings, "dead": False, **sizes.asDict()}
 
 
-def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.ordered_tokens, k1: float = search.K1, b: float = search.B, contract: dict | None = None, payload: list[str] | None = None, order: list[str] | None = None, gate: dict[str, Column] | None = None) -> SearchIndex:
+def build(points: DataFrame, path: str, key: str, text: str, tokenizer=search.ordered_tokens, k1: float = search.K1, b: float = search.B, contract: dict | None = None, payload: list[str] | None = None, order: list[str] | None = None, gate: dict[str, Column] | None = None, buckets: int | None = None) -> SearchIndex:
     """Writes the index of `points`, whose keys are distinct, with those columns kept that `payload` names (all, if none). `order` puts alike documents side by side, which makes bounds tight.
 
     gate: aggregates over points, by name, that are to be 0, as counts of what may not be; with one, keys are held to be there and distinct too. If any is not, GateRefused is raised and nothing is published.
+    buckets: a power of two; by default the number of postings tells. contract: what a service is to agree with, kept in the manifest.
     """
     spark, path = points.sparkSession, path.rstrip("/")
     m = {"key": key, "text": text, "order": order or [], "payload": payload or [], "k1": k1, "b": b, "contract": json.dumps(contract or {}), "epochs": {}, "version": 0}
-    new = _write_segment(spark, path, points, m, tokenizer, gate=gate)
+    new = _write_segment(spark, path, points, m | {"buckets": buckets}, tokenizer, gate=gate)
     segment = {k: new[k] for k in ("id", "buckets", "postings", "points", "dead")}
     _write_snapshot(spark, path, m | {"segments": [segment], **{c: new[c] for c in ("points", "with_tokens", "tokens")}})
     return SearchIndex(spark, path, tokenizer)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import cid_parts, gloss_norm, logical_id
+from vellum.functions.text import cid_parts, dot, gloss_norm, logical_id
 from vellum.operators import glossary, search
 from vellum.operators.index import SearchIndex
 
@@ -62,7 +62,7 @@ def reassembly_note(n_parts: Column) -> Column:
 def get_paragraph(requests: DataFrame, points: DataFrame) -> DataFrame:
     """requests: rid, cid, context -> rid, error, found, paragraphs (in order of seq), notes.
 
-    Neighbours are of the same source file, within `context` of the paragraph's seq. Only points of asked paragraphs and of files asked with a context are put together.
+    Neighbours are of the same source file, within `context` of the paragraph's seq, found among narrow rows; then only the texts of what is shown are put together.
     """
     parts = cid_parts(F.col("cid"))
     bad_shape = parts.isNull() | ~F.coalesce(parts["code"].isin(list(SOURCE_TYPES)), F.lit(False))
@@ -74,13 +74,13 @@ def get_paragraph(requests: DataFrame, points: DataFrame) -> DataFrame:
     asked = requests.select("rid", "cid", F.col("context").cast("long").alias("context"), wrong.alias("error"))
     good = asked.where("error is null")
     keyed = points.withColumn("cid", logical_id(F.col("composite_id")))
-    targets = reassembled_points(keyed.join(good.select("cid").distinct(), "cid", "left_semi"))
-    hit = good.join(targets.select("cid", "source_file", "seq"), "cid")
-    files = keyed.join(hit.where("context > 0").select("source_file").distinct(), "source_file", "left_semi")
-    near = hit.where("context > 0").select("rid", "source_file", F.col("seq").alias("_at"), F.explode(F.sequence(F.col("seq") - F.col("context"), F.col("seq") + F.col("context"))).alias("seq")).where("seq <> _at")
-    near = near.join(reassembled_points(files), ["source_file", "seq"]).withColumn("is_context", F.lit(True)).drop("_at")
-    own = hit.select("rid", "cid").join(targets, "cid").withColumn("is_context", F.lit(False))
-    rows = own.unionByName(near)
+    narrow = keyed.select("cid", "source_file", "seq").distinct()
+    hit = good.join(narrow, "cid")
+    near = hit.where("context > 0").select("rid", "source_file", F.col("cid").alias("_own"), F.explode(F.sequence(F.col("seq") - F.col("context"), F.col("seq") + F.col("context"))).alias("seq"))
+    near = near.join(narrow, ["source_file", "seq"]).where("cid <> _own").select("rid", "cid", F.lit(True).alias("is_context"))
+    wanted = hit.select("rid", "cid", F.lit(False).alias("is_context")).unionByName(near)
+    whole = reassembled_points(keyed.join(wanted.select("cid").distinct(), "cid", "left_semi"))  # texts of these alone
+    rows = wanted.join(whole, "cid")
     shown = F.struct("seq", "cid", "source_type", "standard_no", "standard_title", "para_no", "para_type", "section_path", "text", "is_context")
     note = reassembly_note(F.col("n_parts"))
     told = F.when(F.col("is_context"), F.concat("cid", F.lit(": "), note)).otherwise(note)
@@ -127,31 +127,39 @@ def _wanted() -> Column:
 
 
 def ranked_hits(index: SearchIndex, asked: DataFrame, query_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
-    """qid, key, rank, score, hidden: the fused lists of the search (hidden = false) and of the one without opt-outs (baseline)."""
+    """qid, key, rank, score, baseline: the fused lists of the search (baseline = false) and of the one without opt-outs.
+
+    Payload meets vectors, and filters meet queries, before the two sides meet: what a filter hides is never scored, and each task keeps PREFETCH a list before anything is shuffled.
+    """
     key = index.manifest["key"]
     filters = asked.select("qid", F.col("standard_no").alias("f_standard"), F.col("source_type").alias("f_source"), F.col("para_type").alias("f_type"), "hide_types", "hide_standards")
     payload = index.points.select(key, "standard_no", "source_type", "para_type")
-    toks = index.tokens(asked, "qid", "query")
+    sparse = index.sparse_scores(index.tokens(asked, "qid", "query"), "qid").join(payload, key).join(filters, "qid").where(_wanted())
+    dense = vectors.join(payload, key).join(query_vectors.select("qid", F.col("vec").alias("_q")).join(filters, "qid"), _wanted()).withColumn("score", F.round(dot(F.col("vec"), F.col("_q")), 9))
     lists = []
-    for scored in (index.sparse_scores(toks, "qid"), search.dense_scores(query_vectors.join(asked.select("qid"), "qid", "left_semi"), "qid", vectors, key)):
-        rows = scored.join(payload, key).join(filters, "qid").where(_wanted())
-        rows = rows.withColumn("out", F.array_contains("hide_types", F.col("para_type")) | F.array_contains("hide_standards", F.col("standard_no")))
-        both = rows.select("qid", key, "score", F.lit(True).alias("baseline")).unionByName(rows.where("not out").select("qid", key, "score", F.lit(False).alias("baseline")))
+    for rows in (sparse, dense):
+        out = F.array_contains("hide_types", F.col("para_type")) | F.array_contains("hide_standards", F.col("standard_no"))
+        which = F.when(out, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+        both = rows.select("qid", key, "score", F.explode(which).alias("baseline"))
         rank = F.row_number().over(Window.partitionBy("qid", "baseline").orderBy(F.desc("score"), key))
         lists.append(both.withColumn("rank", rank).where(F.col("rank") <= search.PREFETCH))
     fused = lists[0].unionByName(lists[1]).groupBy("qid", "baseline", key).agg(F.round(F.sum(1 / (F.lit(float(search.RRF_K)) + F.col("rank"))), 9).alias("score"))
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "baseline").orderBy(F.desc("score"), key)).cast("long"))
 
 
-def search_points(index: SearchIndex, requests: DataFrame, query_vectors: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def search_points(index: SearchIndex, requests: DataFrame, query_vectors: DataFrame, vectors: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The results (qid, rank, cid, score, payload, text, notes), what was applied (a row for each valid request), and all requests with their errors.
 
     query_vectors: qid, vec; vectors: the index's key, vec. Parts of a paragraph count once, at the best of their
-    ranks, before the limit. A query without known tokens is fused from the dense list alone.
+    ranks, before the limit. A query without known tokens is fused from the dense list alone. With a folder the
+    ranked lists, of which results, texts and counts are made, are written there once.
     """
     key, checked = index.manifest["key"], policy(requests)
     asked = checked.where("error is null")
     hits = ranked_hits(index, asked, query_vectors, vectors)
+    if folder:
+        hits.write.mode("overwrite").parquet(folder)
+        hits = requests.sparkSession.read.schema(hits.schema).parquet(folder)
     points = index.points
     own = hits.where("not baseline").join(points.select(key, "composite_id"), key).withColumn("cid", logical_id(F.col("composite_id")))
     own = own.groupBy("qid", "cid").agg(F.min("rank").alias("best"), F.max("score").alias("score"))
@@ -212,9 +220,9 @@ def injected_definitions(asked: DataFrame, results: DataFrame, entries: DataFram
     return picked.select("qid", "pos", "term", F.col("source_id").alias("source_cid"), "standard_no", F.col("definition").alias("text"))
 
 
-def search_responses(index: SearchIndex, requests: DataFrame, query_vectors: DataFrame, vectors: DataFrame, entries: DataFrame) -> DataFrame:
+def search_responses(index: SearchIndex, requests: DataFrame, query_vectors: DataFrame, vectors: DataFrame, entries: DataFrame, folder: str | None = None) -> DataFrame:
     """The whole answer to each request in one row: qid, error, results and definitions in order, applied. One that is not valid has its error alone."""
-    results, applied, checked = search_points(index, requests, query_vectors, vectors)
+    results, applied, checked = search_points(index, requests, query_vectors, vectors, folder)
     definitions = injected_definitions(requests.select("qid", "query", "standard_no").join(applied.select("qid"), "qid", "left_semi"), results, entries)
     listed = lambda rows, order, name: rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in rows.columns if c not in ("qid", order))))).alias(name))
     whole = checked.join(applied.select("qid", F.struct(*(c for c in applied.columns if c != "qid")).alias("applied")), "qid", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import index, parse, search
 from vellum.operators import service as S
-from vellum.plans.base import load, once, query
+from vellum.plans.base import load, new_folder, once, query
 
 CODE = "case doc_id % 3 when 0 then 'KIFRS' when 1 then 'KSA' else 'GUIDE' end"
 SOURCE_TYPE = "case doc_id % 3 when 0 then '회계기준' when 1 then '감사기준' else '실무지침' end"
@@ -56,7 +56,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "documents").createOrReplaceTempView("vellum_documents")
     base = spark.sql(BASE.replace("from documents", "from vellum_documents"))
     base = base.withColumn("para_type", parse.para_type(F.col("source_type"), F.col("para_no"))).withColumn("cid", parse.composite_id(F.col("code"), F.col("standard_no"), F.col("para_no")))
-    base = base.withColumn("seq", F.row_number().over(Window.partitionBy("source_file").orderBy("doc_id")).cast("long"))
+    numbered = base.select("doc_id", F.row_number().over(Window.partitionBy("source_file").orderBy("doc_id")).cast("long").alias("seq"))  # among narrow rows
+    base = base.join(numbered, "doc_id")
     half = F.floor(F.length("text") / 2).cast("int")
     part = lambda n, text: F.struct(F.lit(n).cast("long").alias("part_no"), text.alias("document"))
     parts = F.when(F.col("split"), F.array(part(1, F.substring(F.col("text"), F.lit(1), half)), part(2, F.substring(F.col("text"), half + 1, F.length("text"))))).otherwise(F.array(part(None, F.col("text"))))
@@ -80,14 +81,14 @@ def answers(spark: SparkSession, sf_dir: str):
     made, vectors = built(spark, sf_dir), load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     asked = requests(spark, sf_dir)
     of_points = made.points.select("point", "doc_id").join(vectors, F.col("doc_id") == F.col("vec_id")).select("point", "vec")
-    return S.search_points(made, asked, asked.join(vectors, F.col("qid") == F.col("vec_id")).select("qid", "vec"), of_points)
+    return S.search_points(made, asked, asked.join(vectors, F.col("qid") == F.col("vec_id")).select("qid", "vec"), of_points, new_folder(spark, "hits"))
 
 
-@query(f"with {RESULTS} select qid, re.rank, cid, re.score, whole.para_type, whole.standard_no, sha256(whole.text) as digest, (n_parts > 1)::bigint + (whole.para_type = '참조')::bigint as n_notes from re join whole using (cid) join ask using (qid) where re.rank <= top_k")
+@query(f"with {RESULTS} select qid, re.rank, cid, re.score, whole.para_type, whole.standard_no, sha256(whole.text) as digest, case when n_parts > 1 then '분할 문단 ' || n_parts || '조각 재조립;' else '' end || case when whole.para_type = '참조' then '발췌 대조표 — 원전 문단 우선 인용;' else '' end as notes from re join whole using (cid) join ask using (qid) where re.rank <= top_k")
 def search_response_results(spark, sf_dir):
     """What a search returns: filters, opt-outs, parts put together, notes."""
     found = answers(spark, sf_dir)[0]
-    return found.select("qid", "rank", "cid", "score", "para_type", "standard_no", F.sha2("text", 256).alias("digest"), F.size("notes").cast("long").alias("n_notes"))
+    return found.select("qid", "rank", "cid", "score", "para_type", "standard_no", F.sha2("text", 256).alias("digest"), F.array_join(F.transform("notes", lambda n: F.concat(n, F.lit(";"))), "").alias("notes"))
 
 
 @query(f"""with {HITS}, se as (select qid, count(case when list_contains(hide_t, pt.para_type) and pt.para_type in ('부록', '적용사례') then 1 end) as e, count(case when list_contains(hide_t, pt.para_type) and pt.para_type = '결론도출근거' then 1 end) as b,
@@ -117,7 +118,7 @@ def search_responses(spark, sf_dir):
     load(spark, sf_dir, "benchmark").createOrReplaceTempView("vellum_benchmark")
     of_points = made.points.select("point", "doc_id").join(vectors, F.col("doc_id") == F.col("vec_id")).select("point", "vec")
     entries = spark.sql(ENTRIES.replace("from benchmark", "from vellum_benchmark"))
-    found = S.search_responses(made, asked, asked.join(vectors, F.col("qid") == F.col("vec_id")).select("qid", "vec"), of_points, entries)
+    found = S.search_responses(made, asked, asked.join(vectors, F.col("qid") == F.col("vec_id")).select("qid", "vec"), of_points, entries, new_folder(spark, "hits"))
     filters = F.to_json("applied.filters", {"ignoreNullFields": "false"})
     return found.select("qid", F.col("error.code").alias("code"), F.when(F.col("error").isNull(), F.size("results")).cast("long").alias("n_results"), F.array_join(F.transform("results", lambda r: r["cid"]), " ").alias("cids"), filters.alias("filters"))
 
