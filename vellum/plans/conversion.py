@@ -85,3 +85,51 @@ def combined_file_split(spark, sf_dir):
     from vellum.sources.ooxml import split_combined
 
     return split_combined(turns(spark, sf_dir, COMBINED)).select("path", "pos", "standard")
+
+
+HEADS = "select conv_id as file, turn as line_no, case turn % 4 when 0 then concat('A', conv_id % 3 + 1, ' ', role) when 1 then 'B1 y' when 2 then 'B7 z' else role end as line, case when turn % 7 = 5 then 'A9' end as number, turn % 3 < 2 as candidate from conversations"
+
+
+@query(f"""with r as (select *, case when candidate and regexp_matches(line, '^[AB][0-9] ') then substr(line, 1, 2) end as head from ({HEADS})), s as (select *, coalesce(head in ('A1', 'B1'), false) as starts, substr(coalesce(head, number), 1, 1) as series from r),
+f as (select *, last_value(case when number is not null or starts then series end ignore nulls) over (partition by file order by line_no rows between unbounded preceding and 1 preceding) as in_force from s)
+select file, line_no, case when starts or series = in_force then head end as promoted from f""")
+def series_promotion(spark, sf_dir):
+    """Heads without a period that start a series or go on with one."""
+    return normalise.promoted(turns(spark, sf_dir, HEADS)).select("file", "line_no", "promoted")
+
+
+APPENDICES = "select conv_id as file, turn as line_no, case when turn % 3 = 1 then concat('사례 ', (turn + conv_id) % 3, ' - ', role) else role end as line, turn in (0, 4) as opens, turn in (0, 4) and conv_id % 3 = 1 as reference, turn = 4 and conv_id % 3 = 2 as single_case, turn = 6 as numbered from conversations"
+
+
+@query(f"""with recursive o as (select *, row_number() over (partition by file order by line_no) as k, nullif(regexp_extract(line, '^사례 ([0-9]+) - ', 1), '')::bigint as n from ({APPENDICES})),
+s as (select distinct file, 0::bigint as k, null::bigint as line_no, 1::bigint as cse, null::varchar as pending, 0::bigint as app, 0::bigint as ref, null::varchar as virtual from o
+ union all select file, k, line_no, case when hit then cse + 1 else cse end, case when opens then case when reference then '참조' || (ref + 1) when single_case then 'case' else '부록' || (app + 1) end when numbered or eligible then null else pending end,
+  app + opens::int, ref + reference::int, case when hit then '부록-사례' || cse when eligible then pending end
+  from (select *, eligible and coalesce(n = cse or pending = 'case', false) as hit from (select o.*, s.cse, s.pending, s.app, s.ref, not opens and not numbered and s.app > 0 as eligible from s join o on o.file = s.file and o.k = s.k + 1)))
+select file, line_no, virtual from s where k > 0""")
+def appendix_virtual_numbers(spark, sf_dir):
+    """Appendices, lists of references, lone cases, and cases that open only when they are expected."""
+    return normalise.appendix_numbers(turns(spark, sf_dir, APPENDICES)).select("file", "line_no", "virtual")
+
+
+CELLS_OF_TERMS = "select conv_id as file, turn as line_no, '1' as standard_no, case when turn % 3 = 2 then null when turn % 2 = 0 then 'a' else 'b' end as term, role as definition, turn % 3 = 2 as continues from conversations"
+
+
+@query(f"""with r as ({CELLS_OF_TERMS}), w as (select file, line_no, coalesce(term = 'b' and lag(term) over (partition by file order by line_no) = 'a', false) as wrap from r where not continues),
+g as (select r.*, sum(case when not continues and not coalesce(wrap, false) then 1 else 0 end) over (partition by r.file order by r.line_no rows unbounded preceding) as k from r left join w using (file, line_no))
+select file, min(line_no) as line_no, '정의-' || replace(string_agg(term, ' ' order by line_no), ' ', '') as number, string_agg(term, ' ' order by line_no) as term, string_agg(definition, chr(10) || chr(9) order by line_no) as definition from g group by file, k""")
+def wrapped_term_cells(spark, sf_dir):
+    """Term cells that a table broke over two rows."""
+    wraps = spark.createDataFrame([("1", "b", "a")], "standard_no string, fragment string, previous string")
+    return normalise.wrapped(turns(spark, sf_dir, CELLS_OF_TERMS), wraps).drop("standard_no")
+
+
+@query(f"""with e as ({EVENTS}), x as (select * from e union all select file, min(pos) - 1, 'section', null, 'Scope' from e group by file),
+s as (select *, last_value(case when kind = 'section' then text end ignore nulls) over (partition by file order by pos rows unbounded preceding) as sec from x),
+t as (select *, sec is not null and sec is distinct from lag(sec) over (partition by file order by pos) as new_ from s where kind <> 'section')
+select file, count(case when new_ then 1 end) as n_sections, sum(case when new_ then 2 else 0 end + case when kind = 'para' then 2 else 1 end)::bigint as n_lines, min(case when new_ then sec end) as least from t group by file""")
+def rebuilt_table_files(spark, sf_dir):
+    """Events of a two-column table under an opening section, through the emitter: sections written, lines, the least section."""
+    lines = normalise.emitted(normalise.isqm_rebuilt(turns(spark, sf_dir, EVENTS), "Scope"))
+    section = F.when(F.col("line").startswith("## "), F.substring("line", 4, 1000))
+    return lines.groupBy("file").agg(F.count(section).alias("n_sections"), F.count("*").alias("n_lines"), F.min(section).alias("least"))

@@ -130,14 +130,14 @@ def content_fingerprint(spark, sf_dir):
     return fingerprint.per_group(load(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
-@query("select doc_id, n_chars // 40 + case when n_chars % 40 > 0 then 1 else 0 end as n_chunks, substr(text, 1, 40) as first_chunk from documents where n_chars > 0")
+@query("select doc_id, n_chars // 40 + case when n_chars % 40 > 0 then 1 else 0 end as n_chunks, sha256(array_to_string(list_transform(range((length(text) + 39) // 40), lambda i: substr(text, (i * 40 + 1)::int, 40)), chr(0))) as digest from documents where n_chars > 0")
 def chunk_fixed_width(spark, sf_dir):
-    return load(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", T.chunks(F.col("text")).alias("c")).select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.col("c")[0].alias("first_chunk"))
+    return load(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", T.chunks(F.col("text")).alias("c")).select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.sha2(F.array_join("c", "\0").cast("binary"), 256).alias("digest"))
 
 
 @query("select doc_id, i as chunk_no, substr(text, i * 40 + 1, 40) as chunk from (select doc_id, text, unnest(range((length(text) + 39) // 40)) as i from documents where length(text) > 0)")
 def chunk_fixed_width_every_chunk(spark, sf_dir):
-    """Every chunk of a text with its position, where chunk_fixed_width shows the first and the number."""
+    """Every chunk of a text with its position, where chunk_fixed_width has their number and a digest."""
     d = load(spark, sf_dir, "documents").where(F.length("text") > 0)
     return d.select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
@@ -342,15 +342,16 @@ def logical_dedupe(spark, sf_dir):
     return search.one_per_logical(fused(spark, sf_dir, 2 * search.PREFETCH), "item_id", F.floor(F.col("doc_id") / 10).cast("long"), 10).select("item_id", "logical", "doc_id", "rank")
 
 
-@query("with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as seq from conversations) select a.conv_id, a.seq as target_seq, b.seq, b.seq <> a.seq as is_context from c a join c b on a.conv_id = b.conv_id and abs(a.seq - b.seq) <= 2 where a.turn % 3 = 0")
+@query("with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as seq from conversations) select a.conv_id, a.seq as target_seq, b.seq, b.seq <> a.seq as is_context from c a join c b on a.conv_id = b.conv_id and abs(a.seq - b.seq) <= 1")
 def context_neighbors(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("seq"))
-    return search.context(c.where("turn % 3 = 0").select("conv_id", "seq"), c.select("conv_id", "seq"), "conv_id", 2).select("conv_id", "target_seq", "seq", "is_context")
+    """Every turn with the one before and the one after it."""
+    c = load(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("seq"))
+    return search.context(c, c, "conv_id", 1).select("conv_id", "target_seq", "seq", "is_context")
 
 
 @query("with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as seq from conversations) select a.conv_id, a.seq as target_seq, b.seq, b.seq <> a.seq as is_context from c a join c b on a.conv_id = b.conv_id and abs(a.seq - b.seq) <= 2")
 def context_neighbors_every_turn(spark, sf_dir):
-    """context_neighbors with every turn as a target."""
+    """As many as two on either side."""
     c = load(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("seq"))
     return search.context(c, c, "conv_id", 2).select("conv_id", "target_seq", "seq", "is_context")
 

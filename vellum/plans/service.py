@@ -187,10 +187,10 @@ def paragraph_identity(spark, sf_dir):
     return found.select("doc_id", "seq", parse.composite_id(F.lit("KSA"), F.col("doc_id").cast("string"), F.col("para_no")).alias("composite_id"), "para_no", F.sha2("document", 256).alias("digest"), "char_len")
 
 
-SPLIT = "tg as (select doc_id, ord, marker from (select doc_id, text, unnest([1, 2]) as ord, unnest(['The ', 'A']) as marker from documents where doc_id % 3 = 0) union all select -1, 1, 'x')"
+SPLIT = "tg as (select doc_id, ord, marker from (select doc_id, text, unnest([1, 2]) as ord, unnest(['The ', 'A']) as marker from documents where text is not null) union all select -1, 1, 'x')"
 
 
-@query(f"""with {SPLIT}, l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents where doc_id % 3 = 0),
+@query(f"""with {SPLIT}, l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents where text is not null),
 c as (select tg.doc_id, ord, min(case when starts_with(trim(line), marker) then line_no end) as cut from tg left join l using (doc_id) group by all),
 b as (select *, lag(cut) over (partition by doc_id order by ord) as before_ from c),
 f as (select doc_id, case when cut is null then 'marker not found' when cut = 0 then 'cut at the first line' when cut <= before_ then 'cuts out of order' end as reason from b),
@@ -200,6 +200,6 @@ select distinct 'D' || doc_id as composite_id, reason from f where reason is not
 def split_target_failures(spark, sf_dir):
     """Targets that cannot be cut as asked, with the reason."""
     docs = load(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("D"), "doc_id").alias("composite_id"), F.col("text").alias("document"), "doc_id")
-    marks = docs.where("doc_id % 3 = 0").select("composite_id", F.explode(F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(m).alias("marker")) for o, m in ((1, "The "), (2, "A"))))).alias("t")).select("composite_id", "t.*")
+    marks = docs.select("composite_id", F.explode(F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(m).alias("marker")) for o, m in ((1, "The "), (2, "A"))))).alias("t")).select("composite_id", "t.*")
     marks = marks.unionByName(spark.createDataFrame([("D-1", 1, "x")], "composite_id string, ord int, marker string"))
     return parse.split_targets(docs.drop("doc_id"), marks)[1]
