@@ -129,7 +129,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probes: int = 0, lis
     lists = lists or int(min(MAX_LISTS, max(1, np.sqrt(n))))
     probes = probes or max(16, -(-lists * 7 // 10))
     share = min(1 << 30, (1 << 30) * SAMPLE // max(1, n))
-    sample = classes.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < share).select("vector").limit(SAMPLE).toPandas()["vector"]
+    turn = F.xxhash64("vector")
+    sample = classes.where(F.pmod(turn, F.lit(1 << 30)) < share).select("vector", turn.alias("turn")).orderBy("turn", "vector").limit(SAMPLE).toPandas()["vector"]  # in order, so that a rerun trains the same
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     asked = rows.join(asked, "vec_id", "left_semi").join(classes, "vector").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).distinct()
     asked = scratch.write(asked, "asked")
