@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import checks, evaluation, parse, search
 from vellum.plans.base import load, query
-from vellum.plans.registry import RECALL, fused, gold_pairs, per_query
+from vellum.plans.registry import DENSE, GOLD, RANKED, RECALL, dense_sides, fused, gold_pairs, per_query
 from vellum.plans.service import POINTS, points
 
 SENTENCES = "l as (select doc_id, row_number() over (partition by doc_id order by n) - 1 as line_no, line from (select doc_id, generate_subscripts(w, 1) as n, unnest(w) as line from (select doc_id, string_split(replace(replace(text, '. ', '.' || chr(10)), '? ', '?' || chr(10)), chr(10)) as w from documents where text is not null)))"
@@ -32,6 +32,14 @@ def zero_recall_list(spark, sf_dir):
     return evaluation.zero_recall(per_query(spark, sf_dir), "item_id")
 
 
+@query(f"with {DENSE}, h as (select * from (select *, {RANKED} from de) where rank <= 20), {GOLD}, j as (select g.item_id, h.rank from (select distinct item_id, doc_id from gold) g left join h using (item_id, doc_id)) select item_id, count(*) as n_gold from j group by item_id having count(rank) = 0")
+def zero_recall_of_vectors_alone(spark, sf_dir):
+    """The test vectors know nothing of the texts, so a search by them alone misses the documents that hold an item."""
+    vectors, asked = dense_sides(spark, sf_dir)
+    hits = search.top(search.dense_scores(asked, "item_id", vectors, "doc_id"), "item_id", "doc_id", 20)
+    return evaluation.zero_recall(evaluation.recall_at(hits, gold_pairs(spark, sf_dir), "item_id", "doc_id"), "item_id")
+
+
 @query("select item_id, 'R' as track, 'R:' || item_id as track_id, text from benchmark union all select item_id, 'C', 'C:' || item_id, coalesce(nullif(trim(regexp_replace(regexp_replace(text, '[Tt]he [a-z]+', '', 'g'), '\\s{2,}', ' ', 'g')), ''), text) from benchmark")
 def query_tracks(spark, sf_dir):
     return evaluation.tracks(load(spark, sf_dir, "benchmark"), "item_id", "text", "[Tt]he [a-z]+")

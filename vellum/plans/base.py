@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 known: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 sql_of: dict[str, str] = {}
@@ -47,9 +48,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 _built: dict[tuple, object] = {}
 
 
+def version(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = ("documents", "benchmark", "embeddings")) -> int:
+    """A number for the files of some tables as they are: names, lengths and times of change, no contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in tables])
+    return files.select(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0] or 0
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object]):
-    """What `build` makes in a folder, made once for a session and a set of tables, as an index is."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What `build` makes in a folder, made once for a session and a set of tables, as an index is; again when the tables' files change."""
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), name)
     if key not in _built:
         _built[key] = build(new_folder(spark, name))
     return _built[key]

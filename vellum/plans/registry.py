@@ -417,11 +417,13 @@ def citation_extract(spark, sf_dir):
 
 @query(f"""with {CITED}, x as (select conv_id, unnest(regexp_extract_all(text, '(KSA|KIFRS|GUIDE)::([A-Za-z0-9.-]+)::', 0)) as m from c), e as (select distinct conv_id, replace(rtrim(m, ':'), '::', ':') as code from x),
 g as (select distinct conv_id, 'KSA:' || (conv_id % 5) as code from conversations), b as (select coalesce(g.conv_id, e.conv_id) as conv_id, g.code as gc, e.code as ec from g full join e on g.conv_id = e.conv_id and g.code = e.code)
-select conv_id, count(gc) as n_gold, count(case when gc is not null and ec is not null then 1 end) as n_hit, count(case when gc is null then 1 end) as n_extra, round(count(case when gc is not null and ec is not null then 1 end) / count(gc), 4) as recall from b group by conv_id""")
+select conv_id, count(gc) as n_gold, count(case when gc is not null and ec is not null then 1 end) as n_hit, count(case when gc is null then 1 end) as n_extra, round(count(case when gc is not null and ec is not null then 1 end) / count(gc), 4) as recall,
+ coalesce(string_agg(case when gc is not null and ec is not null then gc end, ' ' order by gc), '') as hit, coalesce(string_agg(case when ec is null then gc end, ' ' order by gc), '') as missed, coalesce(string_agg(case when gc is null then ec end, ' ' order by ec), '') as extra from b group by conv_id""")
 def citation_recall(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     cited = c.select("conv_id", F.explode(T.citations(cited_text())).alias("code"))
-    return evaluation.cited_recall(c.select("conv_id", F.expr("concat('KSA:', conv_id % 5)").alias("code")), cited, "conv_id", "code").drop("hit", "missed", "extra")
+    found = evaluation.cited_recall(c.select("conv_id", F.expr("concat('KSA:', conv_id % 5)").alias("code")), cited, "conv_id", "code")
+    return found.withColumns({x: F.array_join(x, " ") for x in ("hit", "missed", "extra")})
 
 
 @query("""with s as (select page_id % 5 as scope, string_agg(regexp_replace(html, '<[^>]*>', '', 'g'), ' ' order by page_id) as stream from pages group by 1),

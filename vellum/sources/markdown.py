@@ -59,9 +59,3 @@ def annotations(line: Column) -> Column:
     said = lambda x: entry(stripped(F.substring_index(x, ":", 1)), F.when(F.instr(x, ":") > 0, stripped(F.regexp_replace(x, r"^[^:]*:", ""))).otherwise(F.lit("true")))
     parts = F.filter(F.split(inner, r"\|"), lambda x: stripped(x) != "")
     return F.when(inner != "", last_of_each(F.transform(parts, said)))
-
-
-def write_markdown(rows: DataFrame, path: str, key: str, order: str, line: str) -> None:
-    """One file's text per key, lines in order, runs of three or more line feeds reduced to two; partitioned by key."""
-    text = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n"), r"\n{3,}", "\n\n")
-    rows.groupBy(key).agg(text.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
