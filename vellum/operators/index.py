@@ -141,7 +141,9 @@ class SearchIndex:
 
     def weighted(self, asked: DataFrame, qid: str) -> DataFrame:
         """asked: qid, tok (distinct) -> qid, tok, idf of the tokens that some live point has."""
-        df = asked.join(self.frequencies(self._asked_buckets(asked)), "tok").groupBy(qid, "tok").agg(F.sum("df").alias("df")).where("df > 0")
+        df = asked.join(self.frequencies(self._asked_buckets(asked)), "tok")
+        if len(self.manifest["segments"]) > 1:
+            df = df.groupBy(qid, "tok").agg(F.sum("df").alias("df")).where("df > 0")
         return self._with_idf(df).select(qid, "tok", "idf")
 
     def _weight(self, tf: str, dl: str) -> Column:

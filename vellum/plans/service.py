@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.operators import index, parse, search, sql_surface
+from vellum.operators import index, parse, sql_surface
 from vellum.operators import service as S
 from vellum.plans.base import load, new_folder, once, query
 
