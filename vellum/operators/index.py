@@ -11,7 +11,7 @@ their tokens are taken off the document frequencies, so statistics are sums over
 snapshot (one JSON row) names the segments; it is written last, a reader takes the latest whole one, and two writers cannot write the same one.
 `compact` puts segments together from their counts and payload, without any text.
 
-A search for the best k of a table of queries reads bounds first: of the ranges that promise most to a query a few are scored, the k-th best
+A search for the best k of a table of queries reads bounds first: the k ranges that promise most to a query are scored, the k-th best
 score there is the query's threshold, and only blocks whose range may reach it are read. Tombstones and filters take part in both steps, so the result is exact.
 """
 
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from vellum.operators import search
 
 RANGE = 32
-LEADERS = 4
 SPREAD = 4096  # ranges of a token that may share a file
 PER_BUCKET, MOST_BUCKETS, PER_TASK = 4_000_000, 1024, 1_000_000  # postings
 PRUNED_FROM = 100_000_000  # postings
@@ -165,7 +164,7 @@ class SearchIndex:
     def candidates(self, weighted: DataFrame, qid: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """qid, segment, range: the ranges that may hold one of a query's best k. weighted: as from `weighted`; allowed: keys that pass a filter.
 
-        Bounds of super-ranges and ranges lead to a few ranges that promise most; these are scored, and the k-th best score
+        Bounds of super-ranges and ranges lead to the k ranges that promise most; these are scored, and the k-th best score
         is the query's threshold (none, if there are fewer: then every range may). What cannot reach it is out, super-ranges first.
         """
         narrow = self.every("blocks").select("segment", "tok", "super", "range", "max_tf", "min_dl")
@@ -179,7 +178,7 @@ class SearchIndex:
         def ranges(of: DataFrame) -> DataFrame:
             return narrow.join(of.join(weighted, qid), ["segment", "tok", "super"]).groupBy(qid, "segment", "range").agg(bound)
 
-        sample = self._scored(self._blocks_of(leading(ranges(leading(supers, LEADERS)), -(-k // RANGE) + LEADERS), weighted, qid), qid)
+        sample = self._scored(self._blocks_of(leading(ranges(leading(supers, k)), k), weighted, qid), qid)  # k, as the best may each lie in another range
         if allowed is not None:
             sample = sample.join(allowed, self.key, "left_semi")
         nth = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("score")))
