@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from vellum.functions.text import dot
 
 K1, B, PREFETCH, RRF_K = 1.5, 0.75, 50, 60
+SENT_ROWS = 100_000
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+def few(rows: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """Rows of queries: marked to go along with every task, if there are `most` at most, as counted; more are left to Spark's size check."""
+    return F.broadcast(rows) if len(rows.select(F.lit(1)).take(most + 1)) <= most else rows
+
+
 def tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, tok: a row for each token; any tokenizer with this shape will do."""
     return rows.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("tok"))
@@ -74,8 +80,9 @@ def sparse_scores(queries: DataFrame, qid: str, posted: DataFrame, key: str, idf
 
 
 def dense_scores(queries: DataFrame, qid: str, vectors: DataFrame, key: str) -> DataFrame:
-    """qid, key, score: dot products of unit vectors. Exact, so every query meets every vector; top() keeps k a query in each task before anything is shuffled."""
-    return vectors.join(queries.select(qid, F.col("vec").alias("_q")), F.lit(True)).select(qid, key, F.round(dot(F.col("vec"), F.col("_q")), 9).alias("score"))
+    """qid, key, score: dot products of unit vectors. Exact, so every query meets every vector: few queries go to the vectors, dealt over all tasks; top() keeps k a query in each task before anything is shuffled."""
+    dealt = vectors.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return dealt.join(few(queries.select(qid, F.col("vec").alias("_q"))), F.lit(True)).select(qid, key, F.round(dot(F.col("vec"), F.col("_q")), 9).alias("score"))
 
 
 def top(scored: DataFrame, qid: str, key: str, k: int = PREFETCH) -> DataFrame:
