@@ -132,10 +132,11 @@ def ranked_hits(index: SearchIndex, asked: DataFrame, query_vectors: DataFrame,
     Payload meets vectors, and filters meet queries, before the two sides meet: what a filter hides is never scored, and each task keeps PREFETCH a list before anything is shuffled.
     """
     key = index.manifest["key"]
-    filters = asked.select("qid", F.col("standard_no").alias("f_standard"), F.col("source_type").alias("f_source"), F.col("para_type").alias("f_type"), "hide_types", "hide_standards")
+    filters = search.few(asked.select("qid", F.col("standard_no").alias("f_standard"), F.col("source_type").alias("f_source"), F.col("para_type").alias("f_type"), "hide_types", "hide_standards"))
     payload = index.points.select(key, "standard_no", "source_type", "para_type")
-    sparse = index.sparse_scores(index.tokens(asked, "qid", "query"), "qid").join(payload, key).join(filters, "qid").where(_wanted())
-    dense = vectors.join(payload, key).join(query_vectors.select("qid", F.col("vec").alias("_q")).join(filters, "qid"), _wanted()).withColumn("score", F.round(dot(F.col("vec"), F.col("_q")), 9))
+    sparse = index.sparse_scores(index.tokens(asked, "qid", "query"), "qid", payload).join(filters, "qid").where(_wanted())
+    dealt = vectors.join(payload, key).repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    dense = dealt.join(search.few(query_vectors.select("qid", F.col("vec").alias("_q")).join(filters, "qid")), _wanted()).withColumn("score", F.round(dot(F.col("vec"), F.col("_q")), 9))
     lists = []
     for rows in (sparse, dense):
         out = F.array_contains("hide_types", F.col("para_type")) | F.array_contains("hide_standards", F.col("standard_no"))
@@ -164,7 +165,9 @@ def search_points(index: SearchIndex, requests: DataFrame, query_vectors: DataFr
     own = hits.where("not baseline").join(points.select(key, "composite_id"), key).withColumn("cid", logical_id(F.col("composite_id")))
     own = own.groupBy("qid", "cid").agg(F.min("rank").alias("best"), F.max("score").alias("score"))
     own = own.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("best")).cast("long")).join(asked.select("qid", "top_k"), "qid").where("rank <= top_k")
-    whole = reassembled_points(points.withColumn("_c", logical_id(F.col("composite_id"))).join(own.select(F.col("cid").alias("_c")).distinct(), "_c", "left_semi").drop("_c"))
+    shown = own.select(F.col("cid").alias("_c")).distinct()
+    shown = search.few(shown) if folder else shown
+    whole = reassembled_points(points.withColumn("_c", logical_id(F.col("composite_id"))).join(shown, "_c", "left_semi").drop("_c"))
     notes = F.filter(F.array(reassembly_note(F.col("n_parts")), F.when(F.col("para_type") == REFERENCE_TYPE, F.lit(REFERENCE_NOTE))), lambda n: n.isNotNull())
     results = own.join(whole, "cid").select("qid", "rank", "cid", "score", "standard_no", "standard_title", "para_no", "para_type", "section_path", "text", notes.alias("notes"))
 
