@@ -1,8 +1,12 @@
 """What keeps searches in proportion to the index: what goes along with tasks, what lies together, what is not shuffled."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from vellum.operators import index, search
+from vellum.operators import service as S
+from vellum.plans import service
 
 
 def plan_of(rows) -> str:
@@ -36,3 +40,32 @@ def test_blocks_are_built_and_scored_where_texts_lie(spark, tmp_path):
     beside = made.points.where("k % 2 = 0").select("k", (F.col("k") % 5).alias("five"))
     assert {(r.k, r.five) for r in made.sparse_scores(asked, "qid", beside).where("qid = 2").collect()} == {(k, k % 5) for k in range(3000) if k % 50 == 7 and k % 2 == 0}
     assert {(r.k, r.five) for r in made.sparse_scores(asked, "qid", beside).where("qid = 1").collect()} == {(k, k % 5) for k in range(0, 3000, 2)}
+
+
+SMOKE = "/root/testdata/sf0.001"
+
+
+def test_terms_and_lookups_from_sql_need_no_index(spark, monkeypatch):
+    """They built the whole search index before; and a lookup met every paragraph of its file, a range of seq at a time."""
+
+    def never(*_):
+        raise AssertionError("an index")
+
+    monkeypatch.setattr(service, "built", never)
+    assert service.sql_define_term(spark, SMOKE).count() > 0
+    found = service.sql_get_paragraph(spark, SMOKE)
+    assert found.count() > 0 and not re.search(r"Join Inner,.*[<>]= ", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_requests_of_a_table_do_not_go_beside_points(spark):
+    """The vectors of requests meet points as the lists are written, few requests sent along; what SQL reads is the lists."""
+    assert "zip_with" not in service.sql_search(spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    made, vectors = service.built(spark, SMOKE), spark.read.parquet(f"{SMOKE}/embeddings.parquet").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        asked = S.policy(service.requests(spark, SMOKE)).where("error is null")
+        hits = S.ranked_hits(made, asked, asked.select("qid").join(vectors, "qid"), made.points.select("point", "doc_id").join(vectors.withColumnRenamed("qid", "doc_id"), "doc_id").select("point", "vec"))
+        assert "CartesianProduct" not in plan_of(hits)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -72,6 +72,11 @@ def built(spark: SparkSession, sf_dir: str) -> index.SearchIndex:
     return once(spark, sf_dir, "service-index", lambda path: index.build(points(spark, sf_dir), path, "point", "document"))
 
 
+def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points, written once: lookups need no index."""
+    return once(spark, sf_dir, "service-points", lambda path: index.put(points(spark, sf_dir), path))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "benchmark").createOrReplaceTempView("vellum_benchmark")
     return spark.sql(REQUEST.replace("from benchmark", "from vellum_benchmark"))
@@ -171,27 +176,24 @@ def define_terms(spark, sf_dir):
     return found.select("rid", "pos", "raw", F.col("error.code").alias("code"), "matched", "source_cid", F.array_join(F.transform("alternates", lambda a: a["source_cid"]), " ").alias("alternates"))
 
 
-def sql_functions(spark: SparkSession, sf_dir: str) -> None:
-    made, vectors = built(spark, sf_dir), load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    load(spark, sf_dir, "benchmark").createOrReplaceTempView("vellum_benchmark")
-    of_points = made.points.select("point", "doc_id").join(vectors, F.col("doc_id") == F.col("vec_id")).select("point", "vec")
-    sql_surface.register(spark, made, of_points, spark.sql(ENTRIES.replace("from benchmark", "from vellum_benchmark")), "vellum")
-    requests(spark, sf_dir).join(vectors, F.col("qid") == F.col("vec_id"), "left").createOrReplaceTempView("vellum_requests")
-
-
 @query(f"with {RESULTS} select qid, re.rank, cid, re.score, whole.para_type, whole.standard_no, sha256(whole.text) as digest from re join whole using (cid) join ask using (qid) where re.rank <= top_k")
 def sql_search(spark, sf_dir):
-    """Searches from SQL: a table function beside a table of requests, one plan."""
-    sql_functions(spark, sf_dir)
-    return spark.sql("""select r.qid, s.rank, s.cid, s.score, s.para_type, s.standard_no, sha2(s.text, 256) as digest from vellum_requests r,
-      lateral vellum_search(r.query, cast(r.vec as array<double>), r.standard_no, r.source_type, r.para_type, r.top_k, r.include_examples, r.include_bc, r.include_framework) s""")
+    """Searches from SQL: the view of all requests' answers beside the table of requests."""
+    made, vectors = built(spark, sf_dir), load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    asked = requests(spark, sf_dir)
+    asked.createOrReplaceTempView("vellum_requests")
+    of_points = made.points.select("point", "doc_id").join(vectors, F.col("doc_id") == F.col("vec_id")).select("point", "vec")
+    sql_surface.register_answers(made, asked, asked.join(vectors, F.col("qid") == F.col("vec_id")).select("qid", "vec"), of_points, new_folder(spark, "hits"), "vellum")
+    return spark.sql("select r.qid, s.rank, s.cid, s.score, s.para_type, s.standard_no, sha2(s.text, 256) as digest from vellum_requests r join vellum_answers s on s.qid = r.qid")
 
 
 @query(f"with {POINTS} select b.item_id, n.seq, n.cid, n.seq <> t.seq as is_context, sha256(n.text) as digest from benchmark b join base d on d.doc_id = b.item_id join whole t on t.cid = d.cid join whole n on n.source_file = t.source_file and abs(n.seq - t.seq) <= b.item_id % 4")
 def sql_get_paragraph(spark, sf_dir):
     """Lookups from SQL, each with its own context."""
-    sql_functions(spark, sf_dir)
-    built(spark, sf_dir).points.select("doc_id", F.substring_index("composite_id", "#", 1).alias("cid")).distinct().createOrReplaceTempView("vellum_cids")
+    load(spark, sf_dir, "benchmark").createOrReplaceTempView("vellum_benchmark")
+    stored = stored_points(spark, sf_dir)
+    sql_surface.register_paragraphs(spark, stored, "vellum")
+    stored.select("doc_id", F.substring_index("composite_id", "#", 1).alias("cid")).distinct().createOrReplaceTempView("vellum_cids")
     return spark.sql("select b.item_id, p.seq, p.cid, p.is_context, sha2(p.text, 256) as digest from vellum_benchmark b join vellum_cids c on c.doc_id = b.item_id, lateral vellum_get_paragraph(c.cid, cast(b.item_id % 4 as int)) p")
 
 
@@ -202,7 +204,8 @@ b as (select *, min(level) over (partition by raw, ctx) as l, first_value(norm)
 select raw, ctx::varchar as ctx, row_number() over (partition by raw, ctx order by standard_no is distinct from ctx::varchar, ord) as place, source_id from b where (l < 3 and level = l) or (l > 2 and norm = picked)""")
 def sql_define_term(spark, sf_dir):
     """Definitions from SQL: the entries of the first level that matches, the context's own first."""
-    sql_functions(spark, sf_dir)
+    load(spark, sf_dir, "benchmark").createOrReplaceTempView("vellum_benchmark")
+    sql_surface.register_terms(spark, spark.sql(ENTRIES.replace("from benchmark", "from vellum_benchmark")), "vellum")
     asked = "select distinct raw, string(item_id % 4) as ctx from vellum_benchmark lateral view explode(array(concat('v', item_id % 6), concat('u', item_id % 7, ' v', item_id % 5, ' w', item_id % 11), concat('1w', item_id % 4), 'zz')) x as raw"
     return spark.sql(f"select a.raw, a.ctx, d.place, d.source_id from ({asked}) a, lateral vellum_define_term(a.raw, a.ctx) d")
 
