@@ -69,3 +69,13 @@ def test_requests_of_a_table_do_not_go_beside_points(spark):
         assert "CartesianProduct" not in plan_of(hits)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hashes_of_texts_stay_arrays(spark):
+    """A task made Python lists of all hashes of ten thousand texts before; now it sends rows on as arrays."""
+    from vellum.operators.containment import least_hashes, marked
+
+    texts = [" ".join(f"w{i * k % 97}" for k in range(300)) for i in range(1, 30)] + ["short", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string").coalesce(1)
+    assert least_hashes(texts[0]).dtype == "int64"
+    assert sorted((r.k, r._h) for r in marked(rows, ["k"], "t").collect()) == sorted((i, h) for i, t in enumerate(texts) for h in least_hashes(t).tolist())
