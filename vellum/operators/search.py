@@ -18,9 +18,14 @@ def few(rows: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     return F.broadcast(rows) if len(rows.select(F.lit(1)).take(most + 1)) <= most else rows
 
 
+def listed(text: Column) -> Column:
+    """The tokens of a text, as an array."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, tok: a row for each token; any tokenizer with this shape will do."""
-    return rows.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("tok"))
+    return rows.select(key, F.explode(listed(F.col(text))).alias("tok"))
 
 
 def term_counts(toks: DataFrame, key: str) -> DataFrame:
@@ -38,7 +43,10 @@ def weight(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B)
 
 def ordered_tokens(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, pos, tok: as tokens(), with each token's place."""
-    return rows.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+    return rows.select(key, F.posexplode(listed(F.col(text))).alias("pos", "tok"))
+
+
+ordered_tokens.listed = listed  # an index built with a tokenizer that has this need not take its tokens row by row
 
 
 def encoded(rows: DataFrame, key: str, text: str, encode) -> DataFrame:
